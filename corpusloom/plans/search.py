@@ -300,15 +300,15 @@ def passage_search_quality(t: Tables) -> DataFrame:
     found = sparse.bm25(t.passages(), child_index(t), 50, prune=True)
     docs = ranking.backtrack(found, t.children().select("child_id", "file_id"), ["query_id"], parent="file_id")
     got = docs.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "file_id"))).alias("got"))
-    refs = containing_documents(t).groupBy("query_id").agg(F.collect_set("file_id").alias("refs"))
+    refs = containing_documents(t).groupBy("query_id").agg(F.collect_set("file_id").alias("truth"))
     rows = t.passages().select("query_id").join(got, "query_id", "left").join(refs, "query_id", "left")
     ids = F.transform(F.coalesce("got", F.array()), lambda s: s["file_id"])
     return rows.select(
         "query_id",
-        F.size(F.coalesce("refs", F.array())).cast("long").alias("refs"),
-        F.round(M.precision_at(ids, F.col("refs"), 8), 6).alias("precision_at_8"),
-        F.round(M.recall_at(ids, F.col("refs"), 8), 6).alias("recall_at_8"),
-        F.round(M.mrr_at(ids, F.col("refs"), 8), 6).alias("mrr_at_8"),
+        F.size(F.coalesce("truth", F.array())).cast("long").alias("refs"),
+        F.round(M.precision_at(ids, F.col("truth"), 8), 6).alias("precision_at_8"),
+        F.round(M.recall_at(ids, F.col("truth"), 8), 6).alias("recall_at_8"),
+        F.round(M.mrr_at(ids, F.col("truth"), 8), 6).alias("mrr_at_8"),
     )
 
 
