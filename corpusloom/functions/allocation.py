@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom.functions.querytype import QUERY_TYPES
-from corpusloom.functions.text import let
+from corpusloom.functions.text import let, record
 
 # Distribution profiles, and where an unavailable type's count may go.
 PROFILES = {"balanced": (0.25, 0.25, 0.25, 0.25), "multihop_focus": (0.10, 0.10, 0.40, 0.40)}
@@ -50,7 +50,7 @@ def allocate(total: Column, shares: Column) -> Column:
         base = F.transform(values, lambda x: F.floor(x).cast("int"))
         rest = F.transform(values, lambda x: x - F.floor(x))
         left = F.greatest(total, F.lit(0)) - F.aggregate(base, F.lit(0), lambda a, x: a + x)
-        whole = F.struct(base.alias("base"), rest.alias("rest"), left.alias("left"))
+        whole = record(base=base, rest=rest, left=left)
 
         def extra(s: Column) -> Column:
             ahead = lambda r, i: F.size(F.filter(s["rest"], lambda x, j: (x > r) | ((x == r) & (j < i))))

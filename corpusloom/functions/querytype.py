@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import record
+
 # The known types in their order, and the cue patterns.
 QUERY_TYPES = ("single_hop_specific", "single_hop_abstract", "multi_hop_specific", "multi_hop_abstract")
 ABSTRACT_PATTERNS = (r"\bwhy\b", r"\bhow\b", r"\bcompare\b", r"\bdifference\b", r"\bsummar", r"\boverview\b", r"\bexplain\b")
@@ -121,11 +123,11 @@ def reasoning_hops(query_type: Column, doc_ids: Column, file_ids: Column) -> Col
     none = F.array().cast("array<string>")
 
     def hop(i: Column, docs: Column, files: Column) -> Column:
-        return F.struct(
-            F.concat(F.lit("hop_"), (i + 1).cast("string")).alias("hop_id"),
-            F.lit("evidence_link").alias("hop_intent"),
-            docs.alias("reference_doc_ids"),
-            files.alias("reference_file_ids"),
+        return record(
+            hop_id=F.concat(F.lit("hop_"), (i + 1).cast("string")),
+            hop_intent=F.lit("evidence_link"),
+            reference_doc_ids=docs,
+            reference_file_ids=files,
         )
 
     by_doc = F.transform(F.slice(doc_ids, 1, 2), lambda d, i: hop(i, F.array(d), F.slice(file_ids, 1, 1)))

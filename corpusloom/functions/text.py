@@ -30,6 +30,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def record(**fields: Column) -> Column:
+    """A struct whose field names also hold inside lambdas, where aliases may be cleaned away."""
+    return F.named_struct(*[x for name, col in fields.items() for x in (F.lit(name), col)])
+
+
 def squeeze(text: Column) -> Column:
     """Collapse every run of white space to one blank and trim."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions import html as H
-from corpusloom.functions.text import let
+from corpusloom.functions.text import let, record
 from corpusloom.functions.languages import HTML_EXTENSIONS, LANGUAGE_OF, TEXT_EXTENSIONS, separators
 from corpusloom.operators.recursive_split import locate, split_text
 
@@ -77,9 +77,9 @@ def windows(text: Column, size: int, overlap: int) -> Column:
     def cut(pieces: Column) -> Column:
         return F.transform(
             F.slice(pieces, 1, count),
-            lambda piece, i: F.struct(
-                F.concat(piece, F.substring(F.coalesce(F.get(pieces, i + 1), F.lit("")), 1, overlap)).alias("text"),
-                (i * step).cast("int").alias("start_index"),
+            lambda piece, i: record(
+                text=F.concat(piece, F.substring(F.coalesce(F.get(pieces, i + 1), F.lit("")), 1, overlap)),
+                start_index=(i * step).cast("int"),
             ),
         )
 
@@ -318,11 +318,11 @@ def linked_chunks(files: DataFrame, size=PARENT_SIZE, overlap=PARENT_OVERLAP, ch
     parents = parents.withColumn("parent_id", content_id(F.col("file_id"), F.col("parent_index"), F.col("text")))
     children = F.transform(
         windows(F.col("text"), child_size, child_overlap),
-        lambda w, i: F.struct(
-            content_id(F.col("parent_id"), i, w["text"]).alias("child_id"),
-            i.cast("int").alias("child_index"),
-            w["start_index"].alias("start_index"),
-            w["text"].alias("text"),
+        lambda w, i: record(
+            child_id=content_id(F.col("parent_id"), i, w["text"]),
+            child_index=i.cast("int"),
+            start_index=w["start_index"],
+            text=w["text"],
         ),
     )
     parents = parents.withColumn("children", children)

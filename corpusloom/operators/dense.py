@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.functions.text import let
+from corpusloom.functions.text import let, record
 from corpusloom.operators.running import top_rows
 
 VECTOR_BLOCK = 8192
@@ -35,7 +35,7 @@ def letter_embedding(text: Column) -> Column:
 def unit(vector: Column) -> Column:
     """Vector scaled to length one; null for the zero vector."""
     length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    with_length = let(vector, lambda v: F.struct(v.alias("v"), length(v).alias("n")))
+    with_length = let(vector, lambda v: record(v=v, n=length(v)))
     return let(with_length, lambda s: F.when(s["n"] > 0, F.transform(s["v"], lambda x: x / s["n"])))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators.registry_ops import latest
+from corpusloom.operators.registry_ops import latest  # noqa: F401  (also used by stream sinks)
 
 
 def upsert(target: DataFrame, changes: DataFrame, key: str, order: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import STOP_WORDS, let, terms
+from corpusloom.functions.text import STOP_WORDS, let, record, terms
 from corpusloom.operators.running import top_rows
 from corpusloom.session import durable
 
@@ -35,7 +35,7 @@ def counted(tokens: Column) -> Column:
         tokens,
         lambda all_: F.transform(
             F.array_distinct(all_),
-            lambda t: F.struct(t.alias("term"), F.size(F.filter(all_, lambda x: x == t)).alias("tf")),
+            lambda t: record(term=t, tf=F.size(F.filter(all_, lambda x: x == t))),
         ),
     )
 

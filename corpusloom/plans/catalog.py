@@ -4,7 +4,7 @@ import importlib
 
 from corpusloom.plans.registry import ORACLES, QUERIES
 
-for _part in ("search", "chunks", "dialogues", "planning", "datasets"):
+for _part in ("search", "chunks", "dialogues", "planning", "datasets", "scoring", "requests"):
     importlib.import_module(f"corpusloom.plans.{_part}")
 
 __all__ = ["ORACLES", "QUERIES"]
