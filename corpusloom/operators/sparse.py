@@ -19,8 +19,12 @@ SEED_POSTINGS = 20000
 
 @dataclass(frozen=True)
 class SparseIndex:
-    """``forward``: one row per chunk with its term counts; ``postings``: one row per (term, chunk);
-    ``term_stats``: document frequency and largest term weight; ``corpus``: one row (n, avgdl)."""
+    """``forward``: one row per chunk with its term counts, dealt by chunk id; ``postings``: one row per (term, chunk),
+    dealt the same way; ``term_stats``: document frequency and largest term weight; ``corpus``: one row (n, avgdl).
+
+    The index is split by chunk, not by term: a frequent term is spread over all tasks, all hits of a chunk meet in
+    one task, and scores are summed and cut to the best ``k`` there. Only those few rows are shuffled.
+    """
 
     forward: DataFrame
     postings: DataFrame
@@ -67,16 +71,19 @@ def build_index(
     Chunks are tokenised once; the forward table is written to the shared folder and everything else reads it.
     """
     tokens = chunks.select(id_col, *keep, terms(F.col(text), stop_words).alias("tokens")).where(F.size("tokens") > 0)
-    forward = durable(tokens.select(id_col, *keep, F.size("tokens").alias("dl"), counted(F.col("tokens")).alias("counts")))
-    corpus = forward.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = forward.select(id_col, *keep, "dl", F.explode("counts").alias("c")).select(
-        F.col("c.term").alias("term"), id_col, *keep, F.col("c.tf").alias("tf"), "dl"
-    )
+    written = durable(tokens.select(id_col, *keep, F.size("tokens").alias("dl"), counted(F.col("tokens")).alias("counts")))
+    corpus = written.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    forward = written.repartition(id_col)
+
+    def entries(rows: DataFrame) -> DataFrame:
+        hits = rows.select(id_col, *keep, "dl", F.explode("counts").alias("c"))
+        return hits.select(F.col("c.term").alias("term"), id_col, *keep, F.col("c.tf").alias("tf"), "dl")
+
     avgdl = corpus.select("avgdl").scalar()
-    term_stats = postings.groupBy("term").agg(
+    term_stats = entries(written).groupBy("term").agg(
         F.count("*").alias("df"), F.max(saturation(F.col("tf"), F.col("dl"), avgdl, variant)).alias("top_weight")
     )
-    return SparseIndex(forward, postings, term_stats, corpus, id_col)
+    return SparseIndex(forward, entries(forward), term_stats, corpus, id_col)
 
 
 def query_terms(queries: DataFrame, index: SparseIndex, keep: Sequence[str] = (), stop_words=STOP_WORDS, variant="lucene") -> DataFrame:
@@ -122,7 +129,8 @@ def bm25(
     never reads the postings of common terms for chunks that cannot reach the top ``k``.
     """
     match = dict(match or {})
-    wanted = query_terms(queries, index, list(match), stop_words, variant)
+    # Written first, so that Spark plans with the true size: a small table of query terms is broadcast, a large one is not.
+    wanted = durable(query_terms(queries, index, list(match), stop_words, variant))
     if prune:
         scores = _pruned_scores(wanted, index, match, variant, k, seed_postings)
     else:
@@ -149,25 +157,29 @@ def _pruned_scores(wanted: DataFrame, index: SparseIndex, match: dict, variant:
     floors = best.groupBy(*keys).agg(F.when(F.count("*") == k, F.min("score")).alias("floor"))
 
     by_bound = Window.partitionBy(*keys).orderBy("top_score", "term").rowsBetween(Window.unboundedPreceding, 0)
-    bounded = (
+    bounded = durable(
         wanted.join(floors, keys, "left")
         # Scores are rounded before ranking, so the floor gives way by one rounding step.
         .withColumn("floor", F.coalesce(F.col("floor") - 1e-5, F.lit(0.0)))
         .withColumn("reach", F.sum("top_score").over(by_bound))
-        .withColumn("essential", F.col("reach") >= F.col("floor"))
+        # Half the floor is left as slack, so that most candidates fail the bound below.
+        .withColumn("essential", F.col("reach") >= F.col("floor") / 2)
     )
     slack = bounded.groupBy(*keys).agg(
         F.first("floor").alias("floor"),
         F.first(index.corpus.select("avgdl").scalar()).alias("avgdl"),
         F.coalesce(F.sum(F.when(~F.col("essential"), F.col("top_score"))), F.lit(0.0)).alias("slack"),
-        F.collect_list(F.struct("term", "weight")).alias("query"),
+        F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("query"),
     )
     found = _scored(index.postings, bounded.where("essential").select(*keys, "term", "weight"), index, match, variant)
+    # The candidates' own partial scores raise the floor once more.
+    better = top_rows(found, keys, [F.desc("score")], k).groupBy(*keys).agg(F.when(F.count("*") == k, F.min("score")).alias("better"))
+    slack = slack.join(better, keys, "left").withColumn("floor", F.greatest("floor", F.col("better") - 1e-5)).drop("better")
     candidates = found.join(slack, keys).where(F.col("score") + F.col("slack") >= F.col("floor"))
     full = candidates.drop("score").join(index.forward.select(index.id_col, "dl", "counts"), index.id_col)
 
     def part(hit: Column) -> Column:
-        weight = F.element_at(F.map_from_entries(F.col("query")), hit["term"])
+        weight = F.element_at(F.col("query"), hit["term"])
         return F.coalesce(weight, F.lit(0.0)) * saturation(hit["tf"], F.col("dl"), F.col("avgdl"), variant)
 
     score = F.aggregate("counts", F.lit(0.0), lambda acc, hit: acc + part(hit))

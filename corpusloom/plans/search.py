@@ -297,7 +297,7 @@ SELECT item_id AS query_id, coalesce(refs, 0) AS refs,
 FROM benchmark LEFT JOIN refs ON refs.query_id = item_id""")
 def passage_search_quality(t: Tables) -> DataFrame:
     """Which documents answer each passage best, and how good is the ranking?"""
-    found = sparse.bm25(t.passages(), child_index(t), 50, prune=True)
+    found = sparse.bm25(t.passages(), child_index(t), 50)
     docs = ranking.backtrack(found, t.children().select("child_id", "file_id"), ["query_id"], parent="file_id")
     got = docs.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "file_id"))).alias("got"))
     refs = containing_documents(t).groupBy("query_id").agg(F.collect_set("file_id").alias("truth"))
