@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import strip
+
 # Elements that never hold main content.
 BOILERPLATE_TAGS = ("script", "style", "nav", "footer", "header", "aside", "noscript", "form")
 # Entities decoded after tags are gone (ampersand last).
@@ -33,11 +35,11 @@ def strip_tags(html: Column) -> Column:
     html = F.regexp_replace(html, r"(?i)<br\s*/?>|</(p|div|li|tr|h[1-6]|ul|ol|table|article|section)\s*>", "\n")
     html = unescape(F.regexp_replace(html, r"(?s)<[^>]*>", ""))
     html = F.regexp_replace(html, r"[ \t]+", " ")
-    return F.trim(F.regexp_replace(html, r" ?\n[ \n]*", "\n"))
+    return strip(F.regexp_replace(html, r" ?\n[ \n]*", "\n"))
 
 
 def title(html: Column) -> Column:
-    return unescape(F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
+    return unescape(strip(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
 
 
 def page_language(html: Column) -> Column:

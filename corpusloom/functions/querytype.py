@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import record
+from corpusloom.functions.text import record, strip
 
 # The known types in their order, and the cue patterns.
 QUERY_TYPES = ("single_hop_specific", "single_hop_abstract", "multi_hop_specific", "multi_hop_abstract")
@@ -23,7 +23,7 @@ TRANSIENT_CLASSES = ("apiconnectionerror", "apitimeouterror", "connecterror", "r
 
 
 def normalize_type(value: Column) -> Column:
-    cleaned = F.replace(F.lower(F.trim(F.coalesce(value, F.lit("unknown")))), F.lit("-"), F.lit("_"))
+    cleaned = F.replace(F.lower(strip(F.coalesce(value, F.lit("unknown")))), F.lit("-"), F.lit("_"))
     return F.when(cleaned.isin(*QUERY_TYPES), cleaned).otherwise("unknown")
 
 
@@ -37,13 +37,13 @@ def abstraction_of(query_type: Column) -> Column:
 
 def stated_or(value: Column, derived: Column) -> Column:
     """A stated value wins unless it is blank or ``unknown``."""
-    stated = F.trim(F.coalesce(value, F.lit("")))
+    stated = strip(F.coalesce(value, F.lit("")))
     return F.when(stated.isin("", "unknown"), derived).otherwise(stated)
 
 
 def ordered_unique(values: Column) -> Column:
     """Trimmed, without blanks, first occurrence kept."""
-    trimmed = F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.trim(x))
+    trimmed = F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: strip(x))
     return F.array_distinct(F.filter(trimmed, lambda x: x.isNotNull() & (x != "")))
 
 
@@ -53,7 +53,7 @@ def _any_match(text: Column, patterns) -> Column:
 
 def detect(text: Column, doc_ids: Column, file_ids: Column) -> dict[str, Column]:
     """Heuristic type of a question with its confidence and reasons."""
-    lowered = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    lowered = F.lower(strip(F.coalesce(text, F.lit(""))))
     abstract = _any_match(lowered, ABSTRACT_PATTERNS)
     evidence = (F.size(ordered_unique(doc_ids)) >= 2) | (F.size(ordered_unique(file_ids)) >= 2)
     worded = _any_match(lowered, MULTI_PATTERNS)
@@ -88,7 +88,7 @@ def evidence_counts(hops: Column, doc_ids: Column, file_ids: Column) -> dict[str
 def issues(query_type: Column, text: Column, evidence: Column, min_hop_evidence: int = 2) -> Column:
     """Array of (severity, code) found in one sample."""
     floor = max(min_hop_evidence, 2)
-    kind = F.trim(F.coalesce(query_type, F.lit("unknown")))
+    kind = strip(F.coalesce(query_type, F.lit("unknown")))
     lowered = F.lower(F.coalesce(text, F.lit("")))
     cue = lowered.rlike("|".join(ABSTRACT_CUES))
 
@@ -137,7 +137,7 @@ def reasoning_hops(query_type: Column, doc_ids: Column, file_ids: Column) -> Col
 
 
 def error_class(error_class: Column, message: Column) -> dict[str, Column]:
-    text = F.lower(F.trim(F.coalesce(message, F.lit(""))))
+    text = F.lower(strip(F.coalesce(message, F.lit(""))))
     contains = lambda patterns: F.greatest(*[text.contains(p).cast("int") for p in patterns]) == 1
     cluster = contains(CLUSTER_PATTERNS)
     transient = contains(TRANSIENT_PATTERNS) | F.lower(F.coalesce(error_class, F.lit(""))).isin(*TRANSIENT_CLASSES)
@@ -153,7 +153,7 @@ def error_class(error_class: Column, message: Column) -> dict[str, Column]:
 def capabilities(answer: Column, contexts: Column, doc_ids: Column, rubric: Column | None = None, tool_calls: Column | None = None) -> Column:
     filled = lambda c: F.size(F.coalesce(c, F.array())) > 0
     flags = [
-        F.when(F.trim(F.coalesce(answer, F.lit(""))) != "", F.lit("has_reference_answer")),
+        F.when(strip(F.coalesce(answer, F.lit(""))) != "", F.lit("has_reference_answer")),
         F.when(filled(contexts), F.lit("has_reference_contexts")),
         F.when(filled(doc_ids), F.lit("has_reference_doc_ids")),
     ]

@@ -25,6 +25,15 @@ HAN = r"\p{IsHan}"
 HAN_OR_WORD = rf"{HAN}+|[\p{{L}}\p{{N}}&&[^{HAN}]]+"
 
 
+# Fixed value: characters that count as white space at the ends of a text.
+BLANKS = " \t\n\r\x0b\x0c"
+
+
+def strip(text: Column | str) -> Column:
+    """Text without white space at its ends; unlike ``trim`` alone this includes line ends."""
+    return F.trim(F.col(text) if isinstance(text, str) else text, F.lit(BLANKS))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, also where ``body`` uses it inside a lambda."""
     return F.transform(F.array(value), body)[0]
@@ -37,7 +46,7 @@ def record(**fields: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Collapse every run of white space to one blank and trim."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return strip(F.regexp_replace(text, r"\s+", " "))
 
 
 def or_missing(text: Column) -> Column:
@@ -70,7 +79,7 @@ def terms(text: Column, stop_words: Sequence[str] = STOP_WORDS, min_length: int
 
 def sentences(text: Column) -> Column:
     """Sentences of a text, cut after ``.``, ``!`` or ``?`` and at line ends; blanks dropped."""
-    return F.filter(F.split(text, r"[.!?\n]+"), lambda s: F.trim(s) != "")
+    return F.filter(F.split(text, r"[.!?\n]+"), lambda s: strip(s) != "")
 
 
 def suffix(path: Column) -> Column:

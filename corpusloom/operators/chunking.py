@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions import html as H
-from corpusloom.functions.text import let, record
+from corpusloom.functions.text import let, record, strip
 from corpusloom.functions.languages import HTML_EXTENSIONS, LANGUAGE_OF, TEXT_EXTENSIONS, separators
 from corpusloom.operators.recursive_split import locate, split_text
 
@@ -159,7 +159,7 @@ def markdown_sections(files: DataFrame, key: str = "file_id") -> DataFrame:
     Header lines stay in the text. A header directly below a shallower one shares its section.
     """
     lines = files.select(key, F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    lines = lines.withColumn("raw", F.trim("raw"))
+    lines = lines.withColumn("raw", strip("raw"))
     doc = Window.partitionBy(key).orderBy("line")
     before = doc.rowsBetween(Window.unboundedPreceding, -1)
     upto = doc.rowsBetween(Window.unboundedPreceding, 0)
@@ -173,7 +173,7 @@ def markdown_sections(files: DataFrame, key: str = "file_id") -> DataFrame:
     lines = lines.withColumn("level", level).withColumn("gap", F.coalesce(F.lag(blank).over(doc), F.lit(False)))
     lines = lines.where(~blank)
 
-    title = F.trim(F.regexp_replace("raw", r"^#+", ""))
+    title = strip(F.regexp_replace("raw", r"^#+", ""))
     lines = (
         lines.withColumn("h1_no", F.coalesce(F.sum((F.col("level") == 1).cast("int")).over(upto), F.lit(0)))
         .withColumn("header_1", F.last(F.when(F.col("level") == 1, title), ignorenulls=True).over(upto))
@@ -209,7 +209,7 @@ def html_sections(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     body = F.regexp_extract(H.without_boilerplate(F.col(html)), r"(?is)<body[^>]*>(.*)</body>", 1)
     parts = F.split(body, r"(?i)(?=<h[12][\s>])")
     cut = pages.select(key, F.posexplode(parts).alias("part", "raw"))
-    heading = F.trim(H.unescape(F.regexp_replace(F.regexp_extract("raw", r"(?is)^<h[12][^>]*>(.*?)</h[12]\s*>", 1), r"<[^>]*>", "")))
+    heading = strip(H.unescape(F.regexp_replace(F.regexp_extract("raw", r"(?is)^<h[12][^>]*>(.*?)</h[12]\s*>", 1), r"<[^>]*>", "")))
     level = F.nullif(F.regexp_extract("raw", r"(?i)^<h([12])", 1), F.lit("")).cast("int")
     cut = cut.select(key, "part", level.alias("level"), heading.alias("heading"), H.strip_tags(F.col("raw")).alias("text"))
     upto = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)

@@ -98,8 +98,10 @@ def nearest(
     if part == ["_all"]:
         queries = queries.withColumn("_all", F.lit(0))
         vectors = vectors.withColumn("_all", F.lit(0))
-    q = queries.select(query_id, *part, F.col("embedding").alias("q_vec")).where(F.col("q_vec").isNotNull())
-    v = vectors.select(vector_id, *part, F.col("embedding").alias("v_vec")).where(F.col("v_vec").isNotNull())
+    # Aliases give both sides columns of their own, also where queries and vectors are one table.
+    own = lambda names: [F.col(n).alias(n) for n in names]
+    q = queries.select(*own([query_id, *part]), F.col("embedding").alias("q_vec")).where(F.col("q_vec").isNotNull())
+    v = vectors.select(*own([vector_id, *part]), F.col("embedding").alias("v_vec")).where(F.col("v_vec").isNotNull())
     q_cells = _deal(q, query_id, part, "_qb", query_block, v, "_vb", vector_block)
     v_cells = _deal(v, vector_id, part, "_vb", vector_block, q, "_qb", query_block)
     cell = [*part, "_vb", "_qb"]

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import strip
+
 from corpusloom.operators.running import top_rows
 
 # Range operators of a filter, and the keys that are search settings rather than filters.
@@ -60,7 +62,7 @@ def check_queries(queries: DataFrame, scopes: DataFrame) -> DataFrame:
     """Add ``reject_reason``: empty query, or a scope without files (null = fine)."""
     known = scopes.select("scope_id").distinct().withColumn("_known", F.lit(True))
     rows = queries.join(known, "scope_id", "left")
-    empty = F.trim(F.coalesce("text", F.lit(""))) == ""
+    empty = strip(F.coalesce("text", F.lit(""))) == ""
     reason = F.when(empty, "empty_query").when(F.col("_known").isNull(), "empty_scope")
     return rows.withColumn("reject_reason", reason).drop("_known")
 
@@ -86,7 +88,7 @@ def stamped(rows: DataFrame, keys: list[str], order: str, requested: str, query_
 
 def reference_answers(samples: DataFrame, answer: Column) -> DataFrame:
     """A newly generated answer replaces the one from history unless it is blank; the source is recorded."""
-    fresh = F.nullif(F.trim(answer), F.lit(""))
+    fresh = F.nullif(strip(answer), F.lit(""))
     return samples.withColumns(
         {
             "reference_answer_source": F.when(fresh.isNotNull(), "ai").otherwise("history"),

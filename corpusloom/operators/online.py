@@ -7,12 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import strip
+
 from corpusloom.operators.registry_ops import latest  # noqa: F401  (also used by stream sinks)
 
 
 def upsert(target: DataFrame, changes: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """Target after applying changes: last change per key wins, blank keys are skipped, other rows stay."""
-    usable = changes.where(F.col(key).isNotNull() & (F.trim(F.col(key).cast("string")) != ""))
+    usable = changes.where(F.col(key).isNotNull() & (strip(F.col(key).cast("string")) != ""))
     newest = latest(usable, [key], list(order)).select(*target.columns)
     kept = target.join(newest.select(key), key, "left_anti").select(*target.columns)
     return kept.unionByName(newest)
@@ -20,7 +22,7 @@ def upsert(target: DataFrame, changes: DataFrame, key: str, order: Sequence[str]
 
 def upsert_counts(target: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """One row: inserted, updated and skipped (blank key) counts."""
-    blank = F.col(key).isNull() | (F.trim(F.col(key).cast("string")) == "")
+    blank = F.col(key).isNull() | (strip(F.col(key).cast("string")) == "")
     keys = changes.where(~blank).select(key).distinct()
     known = target.select(key, F.lit(1).alias("_known"))
     joined = keys.join(known, key, "left")
@@ -47,7 +49,7 @@ def payload(entries: DataFrame) -> DataFrame:
     for name in entries.columns:
         col = F.col(name)
         if name == "request_id":
-            out[name] = F.trim(F.coalesce(col.cast("string"), F.lit("")))
+            out[name] = strip(F.coalesce(col.cast("string"), F.lit("")))
         elif name in BLANK_TEXT:
             out[name] = F.coalesce(col.cast("string"), F.lit(""))
         elif name in UNKNOWN_TEXT:

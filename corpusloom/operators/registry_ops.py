@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.languages import SUPPORTED_EXTENSIONS
-from corpusloom.functions.text import base_name, directory, suffix
+from corpusloom.functions.text import base_name, directory, strip, suffix
 
 
 def registry_rows(paths: DataFrame, path: str = "path") -> DataFrame:
     """Directory, name and extension of each path, and why a path is refused (null = accepted)."""
     extension = suffix(F.col(path))
-    reason = F.when(F.col(path).isNull() | (F.trim(path) == ""), "missing_path").when(
+    reason = F.when(F.col(path).isNull() | (strip(path) == ""), "missing_path").when(
         ~extension.isin(*SUPPORTED_EXTENSIONS), F.concat(F.lit("unsupported_type:"), extension)
     )
     return paths.withColumns(

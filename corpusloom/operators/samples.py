@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import querytype as Q
-from corpusloom.functions.text import or_missing, squeeze
+from corpusloom.functions.text import or_missing, squeeze, strip
 
 # Review rules by category and source.
 REVIEWED_CATEGORIES = ("regression", "baseline", "specialized", "synthetic")
@@ -40,7 +40,7 @@ REVIEW_SHEET = (
 
 def normalize(samples: DataFrame) -> DataFrame:
     """Blank-free ordered lists, known query type, derived hop and abstraction where none is stated, capabilities."""
-    contexts = F.filter(F.transform("reference_contexts", lambda x: F.trim(x)), lambda x: x != "")
+    contexts = F.filter(F.transform("reference_contexts", lambda x: strip(x)), lambda x: x != "")
     rows = samples.withColumns(
         {
             "reference_contexts": F.coalesce(contexts, F.array().cast("array<string>")),
@@ -70,7 +70,7 @@ def first_filled(*names: str) -> Column:
 def usable_rows(rows: DataFrame) -> DataFrame:
     """Generated rows with a question and at least one non-blank context, under one name each."""
     question = first_filled("user_input", "question", "query")
-    contexts = F.filter("contexts", lambda c: F.trim(c) != "")
+    contexts = F.filter("contexts", lambda c: strip(c) != "")
     return rows.withColumns({"user_input": question, "contexts": contexts}).where(question.isNotNull() & (F.size("contexts") > 0))
 
 
@@ -134,7 +134,7 @@ def validation_counts(samples: DataFrame, mode: str = "warn", min_hop_evidence:
 def apply_review(samples: DataFrame, review: DataFrame, keep_rejected: bool = False) -> DataFrame:
     """Reviewed cells replace the sample's; blank cells and unknown ids change nothing; rejected samples leave."""
     cells = ("review_status", "review_notes", "difficulty_level", "scenario_type")
-    new = review.select(F.trim("sample_id").alias("sample_id"), *[F.trim(c).alias(f"_{c}") for c in cells])
+    new = review.select(strip("sample_id").alias("sample_id"), *[strip(c).alias(f"_{c}") for c in cells])
     joined = samples.join(new, "sample_id", "left")
     rows = joined.withColumns({c: F.coalesce(or_missing(F.col(f"_{c}")), F.col(c)) for c in cells}).drop(*[f"_{c}" for c in cells])
     return rows if keep_rejected else rows.where(F.col("review_status") != "rejected")
@@ -194,7 +194,7 @@ def dimension_counts(samples: DataFrame, dimensions: Sequence[str] = REPORT_DIME
 def coverage_flags(samples: DataFrame) -> DataFrame:
     """One row: how many samples have what, and how large a share that is."""
     has = {
-        "with_reference_answer": F.trim(F.coalesce("reference_answer", F.lit(""))) != "",
+        "with_reference_answer": strip(F.coalesce("reference_answer", F.lit(""))) != "",
         "with_reference_contexts": F.size("reference_contexts") > 0,
         "with_reference_doc_ids": F.size("reference_doc_ids") > 0,
         "with_scope_file_ids": F.size("scope_file_ids") > 0,

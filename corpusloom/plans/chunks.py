@@ -139,7 +139,7 @@ def strip_sql(html: str) -> str:
     lines = f"regexp_replace({html}, '(?i)<br\\s*/?>|</(p|div|li|tr|h[1-6]|ul|ol|table|article|section)\\s*>', chr(10), 'g')"
     text = unescape_sql(f"regexp_replace({lines}, '(?s)<[^>]*>', '', 'g')")
     text = f"regexp_replace({text}, '[ \\t]+', ' ', 'g')"
-    return f"trim(regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g'))"
+    return f"trim(regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13))"
 
 
 TITLE_SQL = unescape_sql("trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))")

@@ -18,10 +18,10 @@ def scratch(spark: SparkSession) -> str:
 
 def read_texts(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
     """Every file below a folder as one row (path, text, text_length, last_modified); files are never split."""
-    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
+    reader = spark.read.option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    rows = reader.text(folder)
+    rows = reader.text(folder, wholetext=True)
     return rows.select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"), F.length("value").alias("text_length"),
         F.col("_metadata.file_modification_time").alias("last_modified"), F.lit("TextLoader").alias("document_loader"),
@@ -44,7 +44,7 @@ def read_seed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Seed rows from JSON lines, a JSON list, or an object with a ``samples`` list."""
     if path.endswith(".jsonl"):
         return read_jsonl(spark, path, schema)
-    whole = spark.read.option("wholetext", "true").text(path).select(F.trim(F.regexp_replace("value", "^﻿", "")).alias("v"))
+    whole = spark.read.text(path, wholetext=True).select(F.trim(F.regexp_replace("value", "^﻿", "")).alias("v"))
     listed = F.when(F.col("v").startswith("["), F.from_json("v", f"array<struct<{_inline(schema)}>>")).otherwise(
         F.from_json("v", f"struct<samples:array<struct<{_inline(schema)}>>>")["samples"]
     )
@@ -66,7 +66,7 @@ def write_dataset(samples: DataFrame, manifest: DataFrame, sheet: DataFrame, roo
     path = f"{root.rstrip('/')}/category={category}/name={name}/version={version}"
     samples.write.mode("overwrite").parquet(f"{path}/samples")
     write_jsonl(manifest, f"{path}/manifest")
-    sheet.write.mode("overwrite").option("header", "true").csv(f"{path}/review_sheet")
+    sheet.write.mode("overwrite").option("header", "true").option("escape", '"').csv(f"{path}/review_sheet")
     return path
 
 
@@ -117,7 +117,7 @@ def write_scores_csv(parts: Sequence[DataFrame], path: str) -> list[str]:
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part, allowMissingColumns=True)
-    rows.write.mode("overwrite").option("header", "true").csv(path)
+    rows.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
     return rows.columns
 
 

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from corpusloom.operators import online
@@ -137,19 +138,38 @@ def appending(path: str, *by: str):
     return write
 
 
+BUCKETS = 64
+
+
+def _bucketed(rows: DataFrame, key: str) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+
+
+def current_rows(table: DataFrame, before: int | None = None) -> DataFrame:
+    """Rows of each bucket's newest version (older than ``before``). Only partition values decide, so old files are not read."""
+    versions = table if before is None else table.where(F.col("v") < before)
+    newest = versions.groupBy("bucket").agg(F.max("v").alias("v"))
+    return versions.join(F.broadcast(newest), ["bucket", "v"])  # at most one row per bucket
+
+
 def upserting(path: str, key: str, order: list[str]):
-    """Keyed upsert into versioned snapshots: each batch writes the next version from the previous one.
+    """Keyed upsert that rewrites only the buckets a batch touches.
 
-    Snapshot numbers follow batch numbers, so a retried batch writes the same version again.
+    A batch writes the next version of those buckets under its own number; readers take each bucket's newest version.
+    A batch that is retried writes the same files again, and a version is never changed once a later batch reads it.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if batch_id == 0:
-            merged = online.latest(batch, [key], order)
-        else:
-            merged = online.upsert(spark.read.parquet(f"{path}/v={batch_id - 1}"), batch, key, order)
-        merged.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        newest = _bucketed(online.latest(batch, [key], order), key)
+        schema = T.StructType([*newest.schema.fields, T.StructField("v", T.IntegerType())])
+        if batch_id > 0:
+            stored = current_rows(spark.read.schema(schema).parquet(path), before=batch_id).drop("v")
+            touched = F.broadcast(newest.select("bucket").distinct())  # at most one row per bucket
+            kept = stored.join(touched, "bucket", "left_semi")
+            newest = online.upsert(kept.select(*newest.columns), newest, key, order)
+        rows = newest.withColumn("v", F.lit(batch_id))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "v").parquet(path)
 
     return write
 
@@ -196,9 +216,7 @@ def run_upsert(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch(spark)
     rows = source(spark, folder).select(F.col("user_id").cast("string").alias("conversation_id"), F.col("event_id").alias("last_event"), F.col("value").alias("latency_ms"))
     drain(rows, "append", upserting(path, "conversation_id", ["last_event"]))
-    versions = spark.read.parquet(path)
-    newest = versions.agg(F.max("v").alias("v")).scalar()
-    return versions.where(F.col("v") == newest).drop("v")
+    return current_rows(spark.read.parquet(path)).drop("bucket", "v")
 
 
 def run_pairs(spark: SparkSession, folder: str) -> DataFrame:
