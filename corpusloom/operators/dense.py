@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from corpusloom.functions.text import let, record
 from corpusloom.operators.running import top_rows
+from corpusloom.session import durable
 
 VECTOR_BLOCK = 8192
 QUERY_BLOCK = 4096
@@ -61,17 +62,17 @@ def _similarity(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.nda
     return queries @ vectors.T
 
 
-def _deal(df: DataFrame, key: str, part: Sequence[str], own: str, own_size: int, other: DataFrame, other_col: str, other_size: int) -> DataFrame:
-    """Give each row its own block number and copy it to every block of the other side of its part."""
-    mine = df.groupBy(*part).agg(F.count("*").alias("_mine"))
-    theirs = other.groupBy(*part).agg(F.count("*").alias("_theirs"))
-    sizes = mine.join(theirs, list(part))
-    blocks = lambda n, size: F.ceil(F.col(n) / size).cast("int")
+def _deal(df: DataFrame, key: str, sizes: DataFrame, part: Sequence[str], mine: tuple, theirs: tuple) -> DataFrame:
+    """Give each row its own block number and copy it to every block of the other side of its part.
+
+    ``mine`` and ``theirs`` are (block column, rows-per-part column, rows per block).
+    """
+    blocks = lambda side: F.ceil(F.col(side[1]) / side[2]).cast("int")
     return (
         df.join(sizes, list(part))
-        .withColumn(own, F.pmod(F.xxhash64(key), blocks("_mine", own_size)).cast("int"))
-        .withColumn(other_col, F.explode(F.sequence(F.lit(0), blocks("_theirs", other_size) - 1)))
-        .drop("_mine", "_theirs")
+        .withColumn(mine[0], F.pmod(F.xxhash64(key), blocks(mine)).cast("int"))
+        .withColumn(theirs[0], F.explode(F.sequence(F.lit(0), blocks(theirs) - 1)))
+        .drop(mine[1], theirs[1])
     )
 
 
@@ -102,8 +103,13 @@ def nearest(
     own = lambda names: [F.col(n).alias(n) for n in names]
     q = queries.select(*own([query_id, *part]), F.col("embedding").alias("q_vec")).where(F.col("q_vec").isNotNull())
     v = vectors.select(*own([vector_id, *part]), F.col("embedding").alias("v_vec")).where(F.col("v_vec").isNotNull())
-    q_cells = _deal(q, query_id, part, "_qb", query_block, v, "_vb", vector_block)
-    v_cells = _deal(v, vector_id, part, "_vb", vector_block, q, "_qb", query_block)
+    # One row per part, written so that Spark knows its size: where it is small, no vector moves before the cells.
+    sizes = durable(
+        q.groupBy(*part).agg(F.count("*").alias("_qn")).join(v.groupBy(*part).agg(F.count("*").alias("_vn")), part)
+    )
+    q_side, v_side = ("_qb", "_qn", query_block), ("_vb", "_vn", vector_block)
+    q_cells = _deal(q, query_id, sizes, part, q_side, v_side)
+    v_cells = _deal(v, vector_id, sizes, part, v_side, q_side)
     cell = [*part, "_vb", "_qb"]
 
     fields = [q.schema[query_id], *[q.schema[p] for p in part], v.schema[vector_id], T.StructField("score", T.DoubleType())]

@@ -77,15 +77,17 @@ def usable_rows(rows: DataFrame) -> DataFrame:
 def map_contexts(rows: DataFrame, chunks: DataFrame, key: str, fallback: str = "fallback_ids") -> DataFrame:
     """Chunk and file ids of each row's contexts by equal normalised text; rows without a match keep the fallback ids.
 
+    Only chunks of the row's own scope count, so a passage copied all over the corpus finds its few copies there.
     Texts are joined by their hash, so neither side shuffles a text.
     """
     digest = lambda c: F.sha2(squeeze(c), 256)
-    contexts = rows.select(key, F.posexplode("contexts").alias("pos", "context")).select(key, "pos", digest(F.col("context")).alias("digest"))
-    known = chunks.select(digest(F.col("text")).alias("digest"), "parent_id", "file_id")
-    matches = contexts.join(known, "digest").groupBy(key).agg(F.array_sort(F.collect_set(F.struct("pos", "parent_id", "file_id"))).alias("_m"))
+    contexts = rows.select(key, "scope_file_ids", F.posexplode("contexts").alias("pos", "context"))
+    contexts = contexts.select(key, "pos", digest(F.col("context")).alias("digest"), F.explode("scope_file_ids").alias("file_id"))
+    known = chunks.select(digest(F.col("text")).alias("digest"), "parent_id", F.col("file_id").cast("string").alias("file_id"))
+    matches = contexts.join(known, ["file_id", "digest"]).groupBy(key).agg(F.array_sort(F.collect_set(F.struct("pos", "parent_id", "file_id"))).alias("_m"))
     joined = rows.join(matches, key, "left")
     ids = F.array_distinct(F.transform("_m", lambda m: m["parent_id"]))
-    files = F.array_distinct(F.transform("_m", lambda m: m["file_id"].cast("string")))
+    files = F.array_distinct(F.transform("_m", lambda m: m["file_id"]))
     return joined.withColumns(
         {
             "reference_doc_ids": F.when(F.size(F.coalesce(ids, F.array())) > 0, ids).otherwise(F.col(fallback)),

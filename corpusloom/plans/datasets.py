@@ -145,11 +145,11 @@ def reasoning_hops(t: Tables) -> DataFrame:
 
 @query("context_to_ids", f"""WITH {SAMPLES_SQL}, n AS (SELECT parent_id, file_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS norm FROM parents),
 c AS (SELECT sample_id, i, trim(regexp_replace(reference_contexts[i], '\\s+', ' ', 'g')) AS norm FROM (SELECT *, unnest(range(1, len(reference_contexts) + 1)) AS i FROM samples)),
-m AS (SELECT sample_id, parent_id, n.file_id, min(i) AS pos FROM c JOIN n USING (norm) GROUP BY ALL),
+m AS (SELECT c.sample_id, parent_id, n.file_id, min(i) AS pos FROM c JOIN n USING (norm) JOIN samples s ON s.sample_id = c.sample_id AND list_contains(s.scope_file_ids, n.file_id::VARCHAR) GROUP BY ALL),
 g AS (SELECT sample_id, string_agg(parent_id, '|' ORDER BY pos, parent_id, file_id) AS ids, (SELECT string_agg(f, '|' ORDER BY p, q) FROM (SELECT file_id::VARCHAR AS f, min(pos) AS p, min_by(parent_id, (pos, parent_id)) AS q FROM m x WHERE x.sample_id = m.sample_id GROUP BY 1)) AS files FROM m GROUP BY sample_id)
 SELECT sample_id, coalesce(ids, array_to_string(reference_doc_ids, '|')) AS reference_doc_ids, coalesce(files, '') AS reference_file_ids FROM samples LEFT JOIN g USING (sample_id)""")
 def context_to_ids(t: Tables) -> DataFrame:
-    rows = normal(t).select("sample_id", F.col("reference_contexts").alias("contexts"), F.col("reference_doc_ids").alias("fallback_ids"))
+    rows = normal(t).select("sample_id", "scope_file_ids", F.col("reference_contexts").alias("contexts"), F.col("reference_doc_ids").alias("fallback_ids"))
     mapped = S.map_contexts(rows, t.parents(), "sample_id")
     return mapped.select("sample_id", *[F.array_join(c, "|").alias(c) for c in ("reference_doc_ids", "reference_file_ids")])
 

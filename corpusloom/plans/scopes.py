@@ -75,15 +75,14 @@ def missing_types(t: Tables) -> DataFrame:
     return have.select("difficulty_level", F.array_join(F.array_except(known, F.col("have")), "|").alias("missing"))
 
 
-@query("generated_rows", f"""WITH {PARENTS_SQL}, s AS (SELECT file_id, parent_index, unnest(list_filter(regexp_split_to_array(text, '[.!?\\n]+'), lambda s: trim(s) <> '')) AS q, length(text) AS n FROM parents WHERE parent_index = 0),
-x AS (SELECT file_id, q, row_number() OVER (PARTITION BY file_id ORDER BY q) AS generated_no, n FROM s)
-SELECT file_id, generated_no::INTEGER AS generated_no, q AS user_input, 'single_hop_specific' AS query_type, 'template' AS query_type_source FROM x WHERE generated_no <= 3 AND generated_no <= n // 200""")
+@query("generated_rows", f"""WITH {PARENTS_SQL}, s AS (SELECT parent_id, unnest(list_filter(regexp_split_to_array(text, '[.!?\\n]+'), lambda s: trim(s) <> '')) AS q, length(text) AS n FROM parents),
+x AS (SELECT parent_id, q, row_number() OVER (PARTITION BY parent_id ORDER BY q) AS generated_no, n FROM s)
+SELECT parent_id, generated_no::INTEGER AS generated_no, q AS user_input, 'single_hop_specific' AS query_type, 'template' AS query_type_source FROM x WHERE generated_no <= 3 AND generated_no <= n // 200""")
 def generated_rows(t: Tables) -> DataFrame:
-    """Template generator: the sentences of each file's first chunk; long chunks are asked for more."""
-    first = t.parents().where(F.col("parent_index") == 0)
-    rows = first.select("file_id", F.explode(sentences(F.col("text"))).alias("user_input"), F.floor(F.length("text") / 200).alias("requested"))
-    out = filters.stamped(rows, ["file_id"], "user_input", "requested", F.lit("single_hop_specific"), "template", 3)
-    return out.select("file_id", "generated_no", "user_input", "query_type", "query_type_source")
+    """Template generator: the sentences of each chunk; long chunks are asked for more."""
+    rows = t.parents().select("parent_id", F.explode(sentences(F.col("text"))).alias("user_input"), F.floor(F.length("text") / 200).alias("requested"))
+    out = filters.stamped(rows, ["parent_id"], "user_input", "requested", F.lit("single_hop_specific"), "template", 3)
+    return out.select("parent_id", "generated_no", "user_input", "query_type", "query_type_source")
 
 
 @query("reference_answers", f"""WITH {PAIRS_SQL} SELECT conv_id, ai_turn, CASE WHEN length(answer) >= 400 THEN 'ai' ELSE 'history' END AS reference_answer_source,

@@ -319,9 +319,10 @@ def containing_documents(t: Tables) -> DataFrame:
     """
     from corpusloom.functions.text import words
 
-    doc_words = t.files().select("file_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
-    sizes = doc_words.groupBy("word").agg(F.count("*").alias("df"))
     inner = t.passages().select("query_id", F.explode(F.array_distinct(whole_words(F.col("text")))).alias("word"))
+    wanted = durable(inner.select("word").distinct())
+    doc_words = t.files().select("file_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(wanted, "word", "left_semi")
+    sizes = doc_words.groupBy("word").agg(F.count("*").alias("df"))
     rare = inner.join(sizes, "word").groupBy("query_id").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
     pairs = rare.join(doc_words, "word").select("query_id", "file_id")
     texts = pairs.join(t.files().select("file_id", F.col("text").alias("body")), "file_id").join(t.passages(), "query_id")
