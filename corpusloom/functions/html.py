@@ -54,20 +54,25 @@ def main_fragment(html: Column) -> Column:
     return F.coalesce(F.nullif(article, F.lit("")), F.nullif(main, F.lit("")))
 
 
+def body_fragment(html: Column) -> Column:
+    """The body without boilerplate; a page with no body tag, or an unclosed one, is kept whole."""
+    html = F.regexp_replace(without_boilerplate(html), r"(?is)<head(\s[^>]*)?>.*?</head\s*>", "")
+    html = F.regexp_replace(html, r"(?is)^.*?<body[^>]*>", "")
+    return F.regexp_replace(html, r"(?is)</body\s*>.*$", "")
+
+
 def main_text(html: Column) -> Column:
     return F.nullif(strip_tags(main_fragment(html)), F.lit(""))
 
 
 def body_text(html: Column) -> Column:
     """Plain variant: everything in the body, boilerplate removed, no content heuristics."""
-    body = F.regexp_extract(without_boilerplate(html), r"(?is)<body[^>]*>(.*)</body>", 1)
-    return F.nullif(strip_tags(body), F.lit(""))
+    return F.nullif(strip_tags(body_fragment(html)), F.lit(""))
 
 
 def to_markdown(html: Column) -> Column:
     """Headings of the body as markdown lines, the rest as plain text lines."""
-    body = F.regexp_extract(without_boilerplate(html), r"(?is)<body[^>]*>(.*)</body>", 1)
-    body = F.regexp_replace(body, r"\s*\n\s*", " ")
+    body = F.regexp_replace(body_fragment(html), r"\s*\n\s*", " ")
     for level in (1, 2, 3):
         body = F.regexp_replace(body, rf"(?is)<h{level}[^>]*>(.*?)</h{level}\s*>", "\n" + "#" * level + " $1\n")
     return strip_tags(body)

@@ -206,7 +206,7 @@ def markdown_sections(files: DataFrame, key: str = "file_id") -> DataFrame:
 
 def html_sections(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """(key, html) -> (key, section_index, text, header_1, header_2); cut before ``h1`` and ``h2`` of the body."""
-    body = F.regexp_extract(H.without_boilerplate(F.col(html)), r"(?is)<body[^>]*>(.*)</body>", 1)
+    body = H.body_fragment(F.col(html))
     parts = F.split(body, r"(?i)(?=<h[12][\s>])")
     cut = pages.select(key, F.posexplode(parts).alias("part", "raw"))
     heading = strip(H.unescape(F.regexp_replace(F.regexp_extract("raw", r"(?is)^<h[12][^>]*>(.*?)</h[12]\s*>", 1), r"<[^>]*>", "")))
@@ -274,34 +274,29 @@ def merge_blocks(blocks: list[tuple[str, tuple]], size: int, separator: str = "\
     return merged
 
 
-def merge_sections(sections: DataFrame, key: str = "file_id", size: int = PARENT_SIZE) -> DataFrame:
-    """Structural merge of each document's sections. A group is one document, so it is bounded by one text."""
-    key_type = sections.schema[key].dataType.simpleString()
-    schema = f"{key} {key_type}, block_index int, text string, header_1 string, header_2 string"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("section_index")
-        paths = [
-            tuple((n, h) for n, h in ((1, a), (2, b)) if isinstance(h, str))
-            for a, b in zip(pdf["header_1"], pdf["header_2"])
-        ]
-        merged = merge_blocks(list(zip(pdf["text"], paths)), size)
-        value = pdf[key].iloc[0]
-        return pd.DataFrame(
-            [(value, i, t, dict(p).get(1), dict(p).get(2)) for i, (t, p) in enumerate(merged)],
-            columns=[key, "block_index", "text", "header_1", "header_2"],
-        )
-
-    return sections.groupBy(key).applyInPandas(run, schema)
+def structured_parents(sections: DataFrame, key: str = "file_id", size: int = PARENT_SIZE, overlap: int = PARENT_OVERLAP) -> DataFrame:
+    """Structural merge of each document's sections; only merged blocks that are still too long are split again.
 
+    A document's sections are put into one row, bounded by its text, and rows stream through in Arrow batches.
+    """
+    kind = sections.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, block_index int, chunk_index int, text string, header_1 string, header_2 string"
+    columns = [key, "block_index", "chunk_index", "text", "header_1", "header_2"]
+    ordered = F.array_sort(F.collect_list(F.struct("section_index", "text", "header_1", "header_2")))
+    documents = sections.groupBy(key).agg(ordered.alias("sections"))
 
-def structured_parents(sections: DataFrame, key: str = "file_id", size: int = PARENT_SIZE, overlap: int = PARENT_OVERLAP) -> DataFrame:
-    """Merge, then split again only the blocks that are too long."""
-    blocks = merge_sections(sections, key, size)
-    fits = F.length("text") <= size
-    kept = blocks.where(fits).select("*", F.lit(0).alias("chunk_index"))
-    cut = split_rows(blocks.where(~fits), size, overlap).drop("start_index")
-    return kept.unionByName(cut)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for value, found in zip(batch[key], batch["sections"]):
+                blocks = [(s["text"], tuple((n, h) for n, h in ((1, s["header_1"]), (2, s["header_2"])) if h is not None)) for s in found]
+                for i, (text, path) in enumerate(merge_blocks(blocks, size)):
+                    headers = dict(path)
+                    chunks = [text] if len(text) <= size else split_text(text, size, overlap)
+                    out.extend((value, i, j, chunk, headers.get(1), headers.get(2)) for j, chunk in enumerate(chunks))
+            yield pd.DataFrame(out, columns=columns)
+
+    return documents.mapInPandas(run, schema)
 
 
 # --- ids, links, pages ---------------------------------------------------------------------------------------

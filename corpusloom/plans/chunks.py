@@ -144,7 +144,7 @@ def strip_sql(html: str) -> str:
 
 TITLE_SQL = unescape_sql("trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))")
 ARTICLE_SQL = f"regexp_extract({cleaned_sql('html')}, '(?is)<article[^>]*>(.*)</article>', 1)"
-BODY_SQL = f"regexp_extract({cleaned_sql('html')}, '(?is)<body[^>]*>(.*)</body>', 1)"
+BODY_SQL = f"""regexp_replace(regexp_replace(regexp_replace({cleaned_sql('html')}, '(?is)<head(\\s[^>]*)?>.*?</head\\s*>', '', 'g'), '(?is)^.*?<body[^>]*>', ''), '(?is)</body\\s*>.*$', '')"""
 
 
 @query("html_extract", f"""SELECT page_id, {TITLE_SQL} AS title, regexp_extract(html, '(?i)<html[^>]*\\slang="([^"]*)"', 1) AS lang,
