@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -35,12 +36,22 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for intermediate tables. Only a session that names none gets its own."""
+    """The folder the cluster names in ``spark.checkpoint.dir`` for intermediate tables.
+
+    Only a session on one machine may leave it unset and then gets a temporary folder of its own; on a cluster executors
+    could not see each other's files there, so that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _own_folder()
+
+
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="corpusloom-")
 
 
 def durable(df: DataFrame) -> DataFrame:
