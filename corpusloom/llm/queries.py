@@ -25,6 +25,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query()
+def op1_repeated_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the words of 35-word windows that stand anywhere else too."""
+    from corpusloom.llm.recompression import repeated_spans_removed
+
+    rows = repeated_spans_removed(table(spark, folder, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query(
     """
     WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, string_split(text, chr(10)) AS lines FROM documents),
