@@ -34,6 +34,14 @@ def op1_repeated_spans(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query()
+def op2_importance_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its log importance weight and whether the Gumbel top-k sample holds it."""
+    from corpusloom.llm.importance import weighed
+
+    return weighed(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query(
     """
     WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, string_split(text, chr(10)) AS lines FROM documents),
