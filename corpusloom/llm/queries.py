@@ -80,6 +80,14 @@ def op5_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return taken(table(spark, folder, "documents"))
 
 
+@query()
+def op6_jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its number of 5-word shingles and the smallest document that near-duplicate links reach."""
+    from corpusloom.llm.jaccard import joined
+
+    return joined(table(spark, folder, "documents"))
+
+
 @query()
 def op8_risk_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Every document judged by the base rules and by cutoffs with a bounded false rejection per language."""
