@@ -42,6 +42,14 @@ def op2_importance_sample(spark: SparkSession, folder: str) -> DataFrame:
     return weighed(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query()
+def op3_licence_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the licences that its sentences name, by ordered rules over sentence identifiers."""
+    from corpusloom.llm.license_rules import scanned
+
+    return scanned(table(spark, folder, "documents"))
+
+
 @query(
     """
     WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, string_split(text, chr(10)) AS lines FROM documents),
@@ -88,6 +96,14 @@ def op6_jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
     return joined(table(spark, folder, "documents"))
 
 
+@query()
+def op7_preference_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation beside the one with its neighbour's last answer: common prompt and masked completions."""
+    from corpusloom.llm.preference import formatted, neighbour_pairs
+
+    return formatted(neighbour_pairs(table(spark, folder, "conversations"))).withColumnRenamed("key", "conv_id")
+
+
 @query()
 def op8_risk_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Every document judged by the base rules and by cutoffs with a bounded false rejection per language."""
@@ -97,6 +113,17 @@ def op8_risk_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
 
 
+@query()
+def op9_edited_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts of every document before and after three edits, and how much of it the edits encoded."""
+    from corpusloom.llm.edit_tokens import counted, sample_edits
+
+    docs = table(spark, folder, "documents")
+    edits = sample_edits(F.col("text"), F.col("source"), F.col("n_chars"))
+    rows = counted(docs.withColumn("edits", edits))
+    return rows.select("doc_id", "n_tokens", "n_tokens_after", "n_pieces", "n_encoded", F.sha2("edited_text", 256).alias("edited_sha256"))
+
+
 @query()
 def op10_benchmark_hits(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the words inside benchmark windows and a digest of the items found."""
