@@ -57,8 +57,11 @@ def _probed(words: Column, known: dict[int, Callable[[Column], Column]], right:
         return let(window_keys(hashes, length), hits)
 
     def of(w: Column) -> Column:
+        def placed(length: int):
+            return lambda i: _at(w, i, length)
+
         def windows(h: Column) -> Column:
-            return F.concat(*[F.transform(starts(h, n), lambda i, n=n: _at(w, i, n)) for n in known])
+            return F.concat(*[F.transform(starts(h, n), placed(n)) for n in known])
 
         found = F.filter(let(F.transform(w, lambda x: F.xxhash64(x)), windows), lambda f: right(f["gram"]))
         return F.struct(F.size(w).cast("long").alias("n"), found.alias("found"))
