@@ -20,18 +20,17 @@ WORD_BITS, PAIR_BITS = 18, 16
 MOST_LABELLED = 20_000
 #: Share of held-out target documents that may fall below the sample's level, by words and by pairs each.
 MISSED = 0.005
-#: An n-gram counts against a text when the target model finds it this much rarer than the raw model (natural log).
-RARER = 1.0
+#: A word, or a pair, counts against a text when the target model finds it this much rarer than the raw model (natural log).
+RARER = (1.4, 1.0)
 #: How many times the level's distance from zero is larger than the scale of the Gumbel noise.
 SHARPNESS = 50.0
-SMOOTHING = 1.0
 SEED = "resample"
 _SLICE = 2_000_000
 
 
 @dataclass(frozen=True)
 class Ratio:
-    """log p_target / p_raw per bucket, only where it is below -RARER, else 0; and the levels of the scores."""
+    """log p_target / p_raw per bucket where it is below -RARER, else 0."""
 
     word: np.ndarray
     pair: np.ndarray
@@ -79,17 +78,20 @@ def _offsets(texts: pa.Array) -> np.ndarray:
     return np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
 
 
-def fitted(counts: DataFrame, rarer: float = RARER) -> Ratio:
-    """The two models' ratios. The counts that come to the driver are one row per bucket, 2^18 + 2^16 at most."""
+def fitted(counts: DataFrame, rarer: tuple[float, float] = RARER) -> Ratio:
+    """The two models' ratios. The counts that come to the driver are one row per bucket, 2^18 + 2^16 at most.
+
+    Each count is smoothed by one: a bucket's ratio is what the target holds of it, plus one, over what the raw model
+    expects in as much text, plus one. So buckets too rare to tell do not count, in corpora of any size.
+    """
     table = counts.toArrow()
     both = np.zeros((2, (1 << WORD_BITS) + (1 << PAIR_BITS)))
     at = table["bucket"].to_numpy()
     both[0, at], both[1, at] = table["raw"].to_numpy(), table["target"].to_numpy()
     out = []
-    for part in (both[:, : 1 << WORD_BITS], both[:, 1 << WORD_BITS :]):
-        raw, target = ((x + SMOOTHING) / (x.sum() + SMOOTHING * len(x)) for x in part)
-        ratio = np.log(target / raw)
-        out.append(np.where(ratio < -rarer, ratio, 0).astype(np.float32))
+    for (raw, target), least in zip((both[:, : 1 << WORD_BITS], both[:, 1 << WORD_BITS :]), rarer, strict=True):
+        ratio = np.log((target + 1) / (raw * (target.sum() / max(raw.sum(), 1)) + 1))
+        out.append(np.where(ratio < -least, ratio, 0).astype(np.float32))
     return Ratio(*out)
 
 
