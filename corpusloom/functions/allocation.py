@@ -38,8 +38,9 @@ def normalized(raw: Column) -> Column:
 
 
 def resolved(given_json: Column, given_file: Column, profile_name: str) -> Column:
-    """Stated distribution by precedence: json, then file, then profile."""
-    return F.coalesce(normalized(given_json), normalized(given_file), profile(profile_name))
+    """Stated distribution by precedence: json, then file, then profile; a source that is null is passed over."""
+    stated = [F.when(given.isNotNull(), normalized(given)) for given in (given_json, given_file)]
+    return F.coalesce(*stated, profile(profile_name))
 
 
 def allocate(total: Column, shares: Column) -> Column:

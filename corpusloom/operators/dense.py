@@ -187,14 +187,15 @@ def approximate(
 
 
 def mmr(
-    candidates: DataFrame, k: int, *, weight: float = 0.5, query_id: str = "query_id", vector_id: str = "child_id",
+    candidates: DataFrame, k: int, *, weight: float = 0.5, query_id: str = "query_id", vector_id: str = "child_id", part: Sequence[str] = (),
 ) -> DataFrame:
-    """Maximal marginal relevance over each query's fetched candidates.
+    """Maximal marginal relevance over each query's fetched candidates, in each scope (``part``) by itself.
 
-    ``candidates`` has (query_id, vector_id, rank, query_vec, embedding); a group is at most ``fetch_k`` rows.
+    ``candidates`` has (query_id, *part, vector_id, rank, query_vec, embedding); a group is at most ``fetch_k`` rows.
     """
+    keys = [query_id, *part]
     schema = T.StructType(
-        [T.StructField(query_id, candidates.schema[query_id].dataType), T.StructField(vector_id, candidates.schema[vector_id].dataType),
+        [*[T.StructField(c, candidates.schema[c].dataType) for c in keys], T.StructField(vector_id, candidates.schema[vector_id].dataType),
          T.StructField("rank", T.IntegerType())]
     )
 
@@ -216,14 +217,14 @@ def mmr(
             open_[pick] = False
             closest = np.maximum(closest, np.round(matrix @ matrix[pick], 9))
         ids = pdf[vector_id].to_numpy()
-        return pd.DataFrame({query_id: pdf[query_id].iloc[0], vector_id: ids[chosen], "rank": np.arange(1, len(chosen) + 1, dtype=np.int32)})
+        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in keys}, vector_id: ids[chosen], "rank": np.arange(1, len(chosen) + 1, dtype=np.int32)})
 
-    return candidates.groupBy(query_id).applyInPandas(run, schema)
+    return candidates.groupBy(*keys).applyInPandas(run, schema)
 
 
 def mmr_search(queries: DataFrame, vectors: DataFrame, k: int, fetch_k: int, *, metric: str = "l2", part: Sequence[str] = (), weight: float = 0.5, query_id: str = "query_id", vector_id: str = "child_id", skip_self: bool = False) -> DataFrame:
     """Fetch the nearest ``fetch_k``, then reselect ``k`` of them by MMR."""
     fetched = nearest(queries, vectors, fetch_k, metric=metric, part=part, query_id=query_id, vector_id=vector_id, skip_self=skip_self)
-    with_vectors = fetched.join(vectors.select(vector_id, "embedding"), vector_id)
-    with_query = with_vectors.join(queries.select(query_id, F.col("embedding").alias("query_vec")), query_id)
-    return mmr(with_query.select(query_id, vector_id, "rank", "query_vec", "embedding"), k, weight=weight, query_id=query_id, vector_id=vector_id)
+    with_vectors = fetched.join(vectors.select(*part, vector_id, "embedding"), [*part, vector_id])
+    with_query = with_vectors.join(queries.select(*part, query_id, F.col("embedding").alias("query_vec")), [*part, query_id])
+    return mmr(with_query.select(query_id, *part, vector_id, "rank", "query_vec", "embedding"), k, weight=weight, query_id=query_id, vector_id=vector_id, part=part)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import strip
 
-from corpusloom.operators.running import top_rows
+from corpusloom.operators.running import ranked_rows
 
 # Range operators of a filter, and the keys that are search settings rather than filters.
 RANGES = {"gt": Column.__gt__, "gte": Column.__ge__, "lt": Column.__lt__, "lte": Column.__le__}
@@ -80,10 +80,11 @@ def generate(batches: DataFrame, generator: Callable[[Iterator[pd.DataFrame]], I
     return batches.mapInPandas(generator, schema)
 
 
-def stamped(rows: DataFrame, keys: list[str], order: str, requested: str, query_type: Column, source: str, most: int) -> DataFrame:
-    """Generated rows with their type and source, cut to the number requested (at most ``most``)."""
-    kept = top_rows(rows, keys, [F.asc(order)], most, "generated_no").where(F.col("generated_no") <= F.col(requested))
-    return kept.withColumns({"query_type": query_type, "query_type_source": F.lit(source)})
+def stamped(rows: DataFrame, keys: list[str], order: str, requested: str, query_type: Column, source: str) -> DataFrame:
+    """Generated rows with their type, cut to the number requested. A row that names its own source keeps it."""
+    kept = ranked_rows(rows, keys, [F.asc(order)], None, "generated_no").where(F.col("generated_no") <= F.col(requested))
+    own = [F.nullif(F.col("query_type_source"), F.lit(""))] if "query_type_source" in rows.columns else []
+    return kept.withColumns({"query_type": query_type, "query_type_source": F.coalesce(*own, F.lit(source))})
 
 
 def reference_answers(samples: DataFrame, answer: Column) -> DataFrame:

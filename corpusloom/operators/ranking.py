@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import terms
-from corpusloom.operators.running import top_rows
+from corpusloom.operators.running import ranked_rows, top_rows
 
 RRF_C = 60
 MAX_K = 50
@@ -36,14 +36,17 @@ def with_overrides(queries: DataFrame, depths: DataFrame, key: str) -> DataFrame
     return queries.join(depths, key).withColumn("k", F.coalesce("k_override", "k"))
 
 
-def cut(ranked: DataFrame, depths: DataFrame, keys: Sequence[str], depth: str, upper: int = MAX_K) -> DataFrame:
-    """Keep ranks up to a per-scope depth; the literal upper bound goes first so that it can be pushed down."""
+def cut(ranked: DataFrame, depths: DataFrame, keys: Sequence[str], depth: str) -> DataFrame:
+    """Keep ranks up to a per-scope depth."""
     small = depths.select(*keys, F.col(depth).alias("_depth"))
-    return ranked.where(F.col("rank") <= upper).join(small, list(keys)).where(F.col("rank") <= F.col("_depth")).drop("_depth")
+    return ranked.join(small, list(keys)).where(F.col("rank") <= F.col("_depth")).drop("_depth")
 
 
-def fuse(lists: Sequence[tuple[DataFrame, float]], keys: Sequence[str], id_col: str = "child_id", upper: int = 2 * MAX_K, c: int = RRF_C) -> DataFrame:
-    """Weighted reciprocal-rank fusion. Equal scores keep the order of first appearance (list, then rank)."""
+def fuse(lists: Sequence[tuple[DataFrame, float]], keys: Sequence[str], id_col: str = "child_id", upper: int | None = None, c: int = RRF_C) -> DataFrame:
+    """Weighted reciprocal-rank fusion. Equal scores keep the order of first appearance (list, then rank).
+
+    Every id of the lists is ranked. ``upper`` cuts the result where the caller wants fewer, or states how many there can be.
+    """
     parts = [
         df.select(*keys, id_col, "rank", F.lit(weight).alias("w"), F.lit(no).alias("list_no"))
         for no, (df, weight) in enumerate(lists)
@@ -55,14 +58,14 @@ def fuse(lists: Sequence[tuple[DataFrame, float]], keys: Sequence[str], id_col:
         F.round(F.sum(F.col("w") / (F.col("rank") + c)), 9).alias("score"), F.min(F.struct("list_no", "rank")).alias("first_seen")
     )
     order = [F.desc("score"), F.asc("first_seen.list_no"), F.asc("first_seen.rank"), F.asc(id_col)]
-    return top_rows(fused, keys, order, upper).drop("first_seen")
+    return ranked_rows(fused, keys, order, upper).drop("first_seen")
 
 
-def backtrack(ranked: DataFrame, links: DataFrame, keys: Sequence[str], child: str = "child_id", parent: str = "parent_id", upper: int = 2 * MAX_K) -> DataFrame:
+def backtrack(ranked: DataFrame, links: DataFrame, keys: Sequence[str], child: str = "child_id", parent: str = "parent_id", upper: int | None = None) -> DataFrame:
     """Ranked children to ranked parents: first occurrence counts, unknown children drop out. Ids only, no text."""
     joined = ranked.select(*keys, child, "rank").join(links.select(child, parent), child)
     first = joined.groupBy(*keys, parent).agg(F.min("rank").alias("first_rank"))
-    return top_rows(first, keys, [F.asc("first_rank"), F.asc(parent)], upper).drop("first_rank")
+    return ranked_rows(first, keys, [F.asc("first_rank"), F.asc(parent)], upper).drop("first_rank")
 
 
 def overlap_score(query: Column, text: Column) -> Column:

@@ -96,3 +96,10 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
     """
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= n)
+
+
+def ranked_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | None, name: str = "rank") -> DataFrame:
+    """``top_rows`` with an optional limit: without one every row of a group gets its rank."""
+    if n is not None:
+        return top_rows(df, keys, order, n, name)
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

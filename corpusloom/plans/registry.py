@@ -9,16 +9,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import chunking
 from corpusloom.functions.text import STOP_WORDS
-from corpusloom.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-# Tables whose rows cost much work each.
-HEAVY_ROWS = ("documents", "pages")
-
-
 class Tables:
     """The given tables and the tables every plan derives from them. Reads are lazy and prune columns."""
 
@@ -29,8 +24,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return spread(table) if name in HEAVY_ROWS else table
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def files(self) -> DataFrame:
         return self.documents.select(
@@ -48,8 +42,9 @@ class Tables:
         return self.benchmark.select(F.col("item_id").alias("query_id"), "text")
 
     def scoped_passages(self) -> DataFrame:
-        """Every passage asked once in each language scope."""
-        langs = F.explode(F.array(*[F.lit(x) for x in LANGS]))
+        """Every passage asked once in each language scope of the documents; there are as many scopes as languages."""
+        scopes = sorted(r["lang"] for r in self.documents.where("lang is not null").select("lang").distinct().collect())
+        langs = F.explode(F.array(*[F.lit(x) for x in scopes]).cast("array<string>"))
         return self.passages().select("query_id", langs.alias("lang"), "text")
 
     def vectors(self) -> DataFrame:
@@ -63,10 +58,6 @@ class Tables:
         return self.conversations.select("conv_id", F.col("turn"), role.alias("role"), "text")
 
 
-# The languages of the documents table.
-LANGS = ("de", "en", "es", "fr")
-
-
 def query(name: str, sql: str | None = None):
     def add(build: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, folder: build(Tables(spark, folder))
@@ -114,7 +105,7 @@ def bm25_sql(name: str, k: int, scoped: bool, formula: str = "tf / (tf + 1.2 * (
     """CTEs ending in ``name``(query_id[, lang], child_id, score, rank)."""
     scope = ", lang" if scoped else ""
     source = (
-        "(SELECT item_id AS query_id, text, unnest(['de','en','es','fr']) AS lang FROM benchmark)"
+        "(SELECT item_id AS query_id, text, unnest((SELECT list(DISTINCT lang) FROM documents WHERE lang IS NOT NULL)) AS lang FROM benchmark)"
         if scoped
         else "(SELECT item_id AS query_id, text FROM benchmark)"
     )

@@ -9,7 +9,6 @@ from corpusloom.functions import querytype as Q
 from corpusloom.operators import online as O
 from corpusloom.operators import scoring
 from corpusloom.plans.registry import Tables, query
-from corpusloom.session import durable
 from corpusloom.streaming import jobs
 
 RECORDS_SQL = """records AS (SELECT event_id::VARCHAR AS request_id, user_id::VARCHAR AS conversation_id, ts AS request_created_at, value AS latency_ms, event_type AS query_type FROM events),

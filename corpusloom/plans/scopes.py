@@ -56,10 +56,10 @@ def scalar_metadata(t: Tables) -> DataFrame:
     return t.events.select("event_id", *[F.element_at(flat, F.lit(n)).alias(n) for n in ("k", "user_id", "raw")])
 
 
-@query("files_newest_first", "SELECT doc_id AS file_id, ts FROM documents JOIN events ON event_id = doc_id ORDER BY ts DESC, doc_id")
+@query("files_newest_first", "SELECT doc_id AS file_id, ts FROM documents LEFT JOIN events ON event_id = doc_id ORDER BY ts DESC NULLS LAST, doc_id")
 def files_newest_first(t: Tables) -> DataFrame:
     dates = t.events.select(F.col("event_id").alias("file_id"), F.col("ts"))
-    return t.files().select("file_id").join(dates, "file_id").orderBy(F.desc("ts"), "file_id")
+    return t.files().select("file_id").join(dates, "file_id", "left").orderBy(F.desc_nulls_last("ts"), "file_id")
 
 
 @query("unused_parents", f"WITH {PLAN_SQL} SELECT parent_id FROM parents WHERE parent_id NOT IN (SELECT parent_id FROM picked)")
@@ -77,11 +77,11 @@ def missing_types(t: Tables) -> DataFrame:
 
 @query("generated_rows", f"""WITH {PARENTS_SQL}, s AS (SELECT parent_id, unnest(list_filter(regexp_split_to_array(text, '[.!?\\n]+'), lambda s: trim(s) <> '')) AS q, length(text) AS n FROM parents),
 x AS (SELECT parent_id, q, row_number() OVER (PARTITION BY parent_id ORDER BY q) AS generated_no, n FROM s)
-SELECT parent_id, generated_no::INTEGER AS generated_no, q AS user_input, 'single_hop_specific' AS query_type, 'template' AS query_type_source FROM x WHERE generated_no <= 3 AND generated_no <= n // 200""")
+SELECT parent_id, generated_no::INTEGER AS generated_no, q AS user_input, 'single_hop_specific' AS query_type, 'template' AS query_type_source FROM x WHERE generated_no <= n // 200""")
 def generated_rows(t: Tables) -> DataFrame:
     """Template generator: the sentences of each chunk; long chunks are asked for more."""
     rows = t.parents().select("parent_id", F.explode(sentences(F.col("text"))).alias("user_input"), F.floor(F.length("text") / 200).alias("requested"))
-    out = filters.stamped(rows, ["parent_id"], "user_input", "requested", F.lit("single_hop_specific"), "template", 3)
+    out = filters.stamped(rows, ["parent_id"], "user_input", "requested", F.lit("single_hop_specific"), "template")
     return out.select("parent_id", "generated_no", "user_input", "query_type", "query_type_source")
 
 

@@ -13,7 +13,6 @@ from corpusloom.functions.querytype import QUERY_TYPES
 from corpusloom.operators import dense, scoring as S
 from corpusloom.plans.datasets import SAMPLES_SQL, normal
 from corpusloom.plans.registry import STOP_SQL, Tables, query, terms_sql
-from corpusloom.session import durable
 
 RUN_SQL = """sims AS (SELECT q.vec_id AS sample_id, c.vec_id AS doc_id, q.label = c.label AS same,
     array_cosine_similarity(q.embedding::DOUBLE[64], c.embedding::DOUBLE[64]) AS sim FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id),

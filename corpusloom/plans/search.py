@@ -146,7 +146,7 @@ EMBED_SQL = """emb AS (SELECT child_id, lang, {letters}::DOUBLE[26] AS vec FROM
 qemb AS (SELECT item_id AS query_id, {letters}::DOUBLE[26] AS vec FROM benchmark)""".format(letters=LETTERS_SQL)
 DENSE_SQL = EMBED_SQL + """,
 d_scores AS (SELECT q.query_id, l.lang AS lang, e.child_id, round(array_cosine_similarity(q.vec, e.vec), 9) AS score
-  FROM qemb q, (SELECT unnest(['de','en','es','fr']) AS lang) l JOIN emb e ON e.lang = l.lang
+  FROM qemb q, (SELECT unnest((SELECT list(DISTINCT lang) FROM documents WHERE lang IS NOT NULL)) AS lang) l JOIN emb e ON e.lang = l.lang
   WHERE list_sum(e.vec::DOUBLE[]) > 0 AND list_sum(q.vec::DOUBLE[]) > 0),
 d_all AS (SELECT *, row_number() OVER (PARTITION BY query_id, lang ORDER BY score DESC, child_id)::INTEGER AS rank FROM d_scores)"""
 
@@ -210,13 +210,13 @@ def fused_list(t: Tables) -> DataFrame:
     depths = ranking.adaptive_k(t.children().select("lang"), ["lang"])
     found = sparse.bm25(t.scoped_passages(), child_index(t), 50, match={"lang": "lang"})
     lists = [(ranking.cut(found, depths, ["lang"], "k"), 0.5), (ranking.cut(dense_list(t, 50), depths, ["lang"], "k"), 0.5)]
-    return ranking.fuse(lists, KEYS)
+    return ranking.fuse(lists, KEYS, upper=100)  # two lists of at most 50
 
 
 def parent_list(t: Tables) -> DataFrame:
     depths = ranking.adaptive_k(t.children().select("lang"), ["lang"])
     kept = ranking.cut(fused_list(t), depths, ["lang"], "rrf_k")
-    return ranking.backtrack(kept, t.children().select("child_id", "parent_id"), KEYS)
+    return ranking.backtrack(kept, t.children().select("child_id", "parent_id"), KEYS, upper=100)
 
 
 def final_list(t: Tables) -> DataFrame:
@@ -250,7 +250,7 @@ def rerank_gate(t: Tables) -> DataFrame:
 @query("context_assembly", f"""WITH {FINAL_SQL}
 SELECT query_id, lang, coalesce(string_agg('Metadata: {{file_id=' || p.file_id || ', parent_index=' || p.parent_index || '}}' || chr(10) || 'Content: ' || p.text,
   chr(10) || chr(10) ORDER BY f.rank), '未检索到相关文档。') AS context
-FROM (SELECT item_id AS query_id, unnest(['de','en','es','fr']) AS lang FROM benchmark) LEFT JOIN final f USING (query_id, lang) LEFT JOIN parents p ON p.parent_id = f.parent_id GROUP BY query_id, lang""")
+FROM (SELECT item_id AS query_id, unnest((SELECT list(DISTINCT lang) FROM documents WHERE lang IS NOT NULL)) AS lang FROM benchmark) LEFT JOIN final f USING (query_id, lang) LEFT JOIN parents p ON p.parent_id = f.parent_id GROUP BY query_id, lang""")
 def context_assembly(t: Tables) -> DataFrame:
     rows = final_list(t).join(t.parents().select("parent_id", "file_id", "parent_index", "text"), "parent_id")
     metadata = ranking.visible(

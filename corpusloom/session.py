@@ -64,9 +64,3 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/corpusloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows over all cores when a table comes in fewer splits than there are cores; large tables stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

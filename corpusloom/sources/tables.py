@@ -146,11 +146,13 @@ def publish(staged: dict[str, DataFrame], root: str, version: str) -> dict[str,
     for name, df in staged.items():
         df.write.mode("errorifexists").parquet(paths[name])
     spark = next(iter(staged.values())).sparkSession
-    pointer = spark.range(1).select(F.lit(version).alias("version"))
-    pointer.write.mode("overwrite").json(f"{root.rstrip('/')}/current")
+    pointer = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at"))
+    pointer.write.mode("append").parquet(f"{root.rstrip('/')}/published")
     return paths
 
 
 def published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    version = spark.read.schema("version string").json(f"{root.rstrip('/')}/current").first()["version"]
+    """The table of the version published last. Publishing adds one pointer and removes none, so there is always one."""
+    pointers = spark.read.schema("version string, at timestamp").parquet(f"{root.rstrip('/')}/published")
+    version = pointers.agg(F.max_by("version", "at")).first()[0]
     return spark.read.parquet(f"{root.rstrip('/')}/version={version}/{name}")

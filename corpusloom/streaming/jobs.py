@@ -167,7 +167,7 @@ def upserting(path: str, key: str, order: list[str]):
             stored = current_rows(spark.read.schema(schema).parquet(path), before=batch_id).drop("v")
             touched = F.broadcast(newest.select("bucket").distinct())  # at most one row per bucket
             kept = stored.join(touched, "bucket", "left_semi")
-            newest = online.upsert(kept.select(*newest.columns), newest, key, order)
+            newest = online.latest(kept.select(*newest.columns).unionByName(newest), [key], order)  # an older change that comes late loses
         rows = newest.withColumn("v", F.lit(batch_id))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "v").parquet(path)
 

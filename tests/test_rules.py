@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import allocation as A
 from corpusloom.functions import metrics as M
 from corpusloom.functions import querytype as Q
-from corpusloom.operators import online, samples, sampling, scoring
+from corpusloom.operators import dense, filters, online, ranking, samples, sampling, scoring
 
 
 def one(spark, *cols):
@@ -119,3 +119,33 @@ def test_metric_failures(spark):
     out = scoring.isolate_failures(values, errors)
     row = one(spark, out["status"], F.map_keys(out["metrics"]), F.map_keys(out["metric_failures"]))
     assert list(row) == ["success", ["a"], ["b"]]
+
+
+def test_deep_lists_are_not_cut(spark):
+    ranked = spark.range(300).selectExpr("1 as query_id", "id as child_id", "cast(id + 1 as int) as rank", "id as parent_id")
+    depths = spark.createDataFrame([(1, 200)], "query_id int, k int")
+    assert ranking.cut(ranked, depths, ["query_id"], "k").count() == 200
+    assert ranking.fuse([(ranked, 0.5), (ranked, 0.5)], ["query_id"]).count() == 300
+    assert ranking.backtrack(ranked, ranked.select("child_id", "parent_id"), ["query_id"]).count() == 300
+
+
+def test_distribution_sources_in_order(spark):
+    rows = [(None, None), (None, ["1", "1", "0", "0"]), (["0", "0", "1", "0"], ["1", "1", "0", "0"])]
+    df = spark.createDataFrame(rows, "j array<string>, f array<string>")
+    got = [r[0] for r in df.select(A.resolved(F.col("j"), F.col("f"), "balanced")).collect()]
+    assert got[0] == got[0] and sum(got[0]) == 1.0 and got[1] == [0.5, 0.5, 0.0, 0.0] and got[2] == [0.0, 0.0, 1.0, 0.0]
+    assert got[0] != [0.1, 0.1, 0.4, 0.4]
+
+
+def test_generated_rows_keep_their_source(spark):
+    rows = spark.createDataFrame([(1, "a", 9, "own"), (1, "b", 9, None), (1, "c", 2, "")], "p int, q string, n int, query_type_source string")
+    got = {r["q"]: r["query_type_source"] for r in filters.stamped(rows, ["p"], "q", "n", F.lit("t"), "made").collect()}
+    assert got == {"a": "own", "b": "made"}
+
+
+def test_mmr_keeps_scopes_apart(spark):
+    vectors = spark.createDataFrame([(i, s, [float(i), 1.0, float(i % 2)]) for i in range(6) for s in "ab"], "child_id long, part string, embedding array<double>")
+    queries = spark.createDataFrame([(0, "a", [1.0, 0.0, 0.0]), (0, "b", [1.0, 0.0, 0.0])], "query_id long, part string, embedding array<double>")
+    rows = dense.mmr_search(queries, vectors, 3, 5, part=["part"]).collect()
+    lists = {s: [r["child_id"] for r in sorted(rows, key=lambda r: r["rank"]) if r["part"] == s] for s in "ab"}
+    assert len(rows) == 6 and all(len(set(v)) == 3 for v in lists.values()) and lists["a"] == lists["b"]
