@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.columns import SPACES, let, unused
+from corpusloom.llm.columns import SPACES, durable, let, unused
 
 MOST_SHARE = 0.1
 LEAST_PAGES = 3
@@ -43,7 +43,7 @@ def without_boilerplate(
     a word are never dropped. A null text stays null with 0 lines; an empty one is one line. A null host is a host of
     its own. Repeated rows are pages of their own. Columns called like the two counts are replaced.
     """
-    found = boilerplate(docs, host, text, most_share, least_pages)
+    found = durable(boilerplate(docs, host, text, most_share, least_pages))  # of known size: small ones are broadcast
     bad = unused(docs, "_bad")
     right = found.select(F.col("_host").alias(unused(docs, "_h")), F.col("_lines").alias(bad))
     rows = docs.join(right, docs[host].eqNullSafe(right[right.columns[0]]), "left")
