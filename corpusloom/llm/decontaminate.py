@@ -158,5 +158,5 @@ def cleaned(docs: DataFrame, items: DataFrame, remove: str = "documents", text:
     at = F.array_distinct(F.flatten(F.transform("_found", lambda f: F.sequence(f["at"], f["at"] + f["length"] - 1))))
     kept = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col(inside))
     left = F.concat(F.array_join(F.transform(kept, lambda i: F.get(pieces, i)), ""), F.regexp_extract(F.col(text), f"({SEPARATORS}*)$", 1))
-    new = F.when(F.size("_found") == 0, F.col(text)).otherwise(let(F.array(F.lit(0)), lambda _: left))
+    new = F.when(F.size("_found") == 0, F.col(text)).otherwise(left)
     return rows.withColumn(inside, at).withColumn(text, new).select(*docs.columns)

@@ -124,7 +124,28 @@ def op9_edited_counts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", "n_tokens_after", "n_pieces", "n_encoded", F.sha2("edited_text", 256).alias("edited_sha256"))
 
 
-@query()
+def _item_words(text: str) -> str:
+    """SQL for the words of ``decontaminate.item_words``."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    split = rf"string_split_regex(translate(coalesce({text}, ''), '{upper}', '{upper.lower()}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"list_filter({split}, lambda x: x <> '')"
+
+
+@query(
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_item_words('text')} AS w FROM documents),
+    b AS (SELECT item_id, w, least(len(w), 10) AS n FROM (SELECT item_id, {_item_words('text')} AS w FROM benchmark) WHERE len(w) > 0),
+    g AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM b)),
+    each AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS gram
+      FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM g) WHERE len(w) >= n)),
+    h AS (SELECT r, i, n, item_id FROM each JOIN g USING (n, gram)),
+    p AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS q FROM (SELECT DISTINCT r, i, n FROM h)) GROUP BY 1),
+    t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM h) GROUP BY 1)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN p USING (r) LEFT JOIN t USING (r)
+    """
+)
 def op10_benchmark_hits(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the words inside benchmark windows and a digest of the items found."""
     from corpusloom.llm.decontaminate import hits
