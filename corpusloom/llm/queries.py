@@ -96,12 +96,32 @@ def op6_jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
     return joined(table(spark, folder, "documents"))
 
 
-@query()
+@query(
+    """
+    WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+    n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM t),
+    l AS (SELECT conv_id, max(i) AS last FROM n WHERE role = 'assistant' GROUP BY 1),
+    a AS (SELECT n.conv_id, last, text AS answer FROM n JOIN l ON l.conv_id = n.conv_id AND i = last),
+    p AS (SELECT a.conv_id, a.last, a.answer, b.answer AS other, a.last - (a.answer <> b.answer)::INTEGER AS same
+      FROM a JOIN a b ON b.conv_id = xor(a.conv_id, 1)),
+    r AS (SELECT p.conv_id, string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY i) AS prompt
+      FROM p JOIN n ON n.conv_id = p.conv_id AND i <= same GROUP BY 1)
+    SELECT conv_id, same::BIGINT AS n_prompt_turns, coalesce(prompt, '') AS prompt,
+      CASE WHEN same < last THEN '<|assistant|>' || chr(10) || answer || '<|end|>' || chr(10) ELSE '' END AS chosen,
+      CASE WHEN same < last THEN '14-' || (22 + length(answer)) ELSE '' END AS chosen_mask,
+      CASE WHEN same < last THEN '<|assistant|>' || chr(10) || other || '<|end|>' || chr(10) ELSE '' END AS rejected,
+      CASE WHEN same < last THEN '14-' || (22 + length(other)) ELSE '' END AS rejected_mask
+    FROM p LEFT JOIN r USING (conv_id)
+    """
+)
 def op7_preference_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Every conversation beside the one with its neighbour's last answer: common prompt and masked completions."""
+    """Every conversation beside the one with its neighbour's last answer: common prompt, completions, loss spans."""
     from corpusloom.llm.preference import formatted, neighbour_pairs
 
-    return formatted(neighbour_pairs(table(spark, folder, "conversations"))).withColumnRenamed("key", "conv_id")
+    rows = formatted(neighbour_pairs(table(spark, folder, "conversations"))).withColumnRenamed("key", "conv_id")
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return rows.withColumns({c: spans(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
 
 
 @query()

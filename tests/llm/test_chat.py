@@ -45,7 +45,8 @@ def test_query(spark):
         if last[k] is not None and last.get(k ^ 1) is not None:
             cut = v[: last[k] + 1]
             want.append(plain(k, cut, [*cut[:-1], ("assistant", held[k ^ 1][last[k ^ 1]][1])]))
-    assert rows_of(QUERIES["op7_preference_pairs"](spark, FOLDER)) == sorted(want)
+    conversations = spark.read.parquet(f"{FOLDER}/conversations.parquet")
+    assert rows_of(preference.formatted(preference.neighbour_pairs(conversations))) == sorted(want)
 
 
 def test_pairs(spark):
