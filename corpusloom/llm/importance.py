@@ -95,10 +95,10 @@ def fitted(counts: DataFrame, rarer: tuple[float, float] = RARER) -> Ratio:
     return Ratio(*out)
 
 
-def scored(docs: DataFrame, ratio: Ratio, text: str, word_score: str, pair_score: str) -> DataFrame:
-    """``docs`` with both scores: what the n-grams say against the text, over the root of their number (null without words)."""
+def scored(docs: DataFrame, ratio: Ratio, text: str, word_sum: str, n_words: str, pair_score: str) -> DataFrame:
+    """``docs`` with what the words say against the text, their number, and what its pairs say per pair (null without words)."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
-    schema = StructType([*docs.schema.fields, StructField(word_score, DoubleType()), StructField(pair_score, DoubleType())])
+    schema = StructType([*docs.schema.fields, *[StructField(c, DoubleType()) for c in (word_sum, n_words, pair_score)]])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -107,17 +107,51 @@ def scored(docs: DataFrame, ratio: Ratio, text: str, word_score: str, pair_score
             for low, high in slices(np.diff(_offsets(texts)), _SLICE):
                 word, of_word, pair, of_pair = _grams(words(texts[low:high]))
                 n = high - low
-                told = []
-                for bucket, owner, table, power in ((word, of_word, model.word, 0.5), (pair, of_pair, model.pair, 1.0)):
-                    number = np.bincount(owner, minlength=n)
-                    sums = np.bincount(owner, table[bucket], n) / np.maximum(number, 1) ** power
-                    told.append(pa.array(sums, mask=np.bincount(of_word, minlength=n) == 0))
+                number = np.bincount(of_word, minlength=n)
+                sums = np.bincount(of_word, model.word[word], n)
+                per_pair = np.bincount(of_pair, model.pair[pair], n) / np.maximum(np.bincount(of_pair, minlength=n), 1)
+                told = [pa.array(c.astype(np.float64), mask=number == 0) for c in (sums, number, per_pair)]
                 part = batch.slice(low, n)
-                yield pa.RecordBatch.from_arrays([*part.columns, *told], names=[*part.schema.names, word_score, pair_score])
+                yield pa.RecordBatch.from_arrays([*part.columns, *told], names=[*part.schema.names, word_sum, n_words, pair_score])
 
     return docs.mapInArrow(score, schema)
 
 
+@dataclass(frozen=True)
+class Length:
+    """What clean text of n words is expected to score: ``mean`` times n, with a variance in proportion to n + spread n^2."""
+
+    mean: float
+    spread: float
+
+
+def expected(held: DataFrame, word_sum: str, n_words: str) -> Length | None:
+    """The expectation of the held-out target documents; nothing where they hold no word.
+
+    The variance has a part that grows with n (single words) and one that grows with n^2 (texts differ in their mean, as
+    languages do). The second is the slope of the squared deviation per word over n; it is at least what makes a text
+    longer than all of these no surer than the longest. Sums are decimals, so that any order of rows gives the same.
+    """
+    exact = lambda c: F.sum(c.cast("decimal(28,9)")).cast("double")
+    total, n = F.col(word_sum), F.col(n_words)
+    rows, words_, longest, squares, against = held.where(n > 0).agg(F.count(n), exact(n), F.max(n), exact(n * n), exact(total)).first()
+    if not rows:
+        return None
+    mean = against / words_
+    off = (total - F.lit(mean) * n) ** 2
+    off_words, off_all = held.where(n > 0).agg(exact(off / n), exact(off)).first()
+    varied = squares / rows - (words_ / rows) ** 2
+    slope = (off_all / rows - off_words / rows * words_ / rows) / varied if varied > 0 else 0.0
+    single = off_all / words_
+    return Length(mean, max(slope / single if single > 0 else 0.0, 1 / longest))
+
+
+def word_score(word_sum: Column, n_words: Column, length: Length) -> Column:
+    """What the words say against a text beyond what clean text of its length is expected to, in its spread; 0 at best."""
+    beyond = word_sum - F.lit(length.mean) * n_words
+    return F.least(beyond / F.sqrt(n_words + F.lit(length.spread) * n_words * n_words), F.when(n_words > 0, 0.0))
+
+
 def log_weight(word_score: Column, pair_score: Column, levels: tuple[float, float], sharpness: float = SHARPNESS) -> Column:
     """The log importance weight: 0 for a text with nothing against it, -sharpness at a level; the worse model decides."""
     worst = F.least(word_score / abs(levels[0]), pair_score / abs(levels[1]))
@@ -152,9 +186,10 @@ def kth_largest(rows: DataFrame, column: str, k: int, most: int = 10_000, bins:
 
 @dataclass(frozen=True)
 class Sampler:
-    """What a fitted resampler decides by: model, levels, and the key from which on a row is in the sample."""
+    """What a fitted resampler decides by: model, expected score, levels, and the key from which on a row is in the sample."""
 
     ratio: Ratio
+    length: Length
     levels: tuple[float, float]
     cut: float
 
@@ -182,15 +217,17 @@ def sampler(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     rows = _narrow(docs, labels, key, text, most_labelled)
     ratio = fitted(gram_counts(rows.withColumn("target", F.col("_fold") == 0)))
     noisy = rows.withColumn("_gumbel", gumbel(SEED, F.col("_id"), F.col("text")))
-    told = durable(scored(noisy, ratio, "text", "_word", "_pair").drop("text"))
-    held = told.where(F.col("_fold") == 1).agg(*[F.percentile(c, missed) for c in ("_word", "_pair")]).first()
-    if held[0] is None:
+    told = durable(scored(noisy, ratio, "text", "_sum", "_n", "_pair").drop("text"))
+    length = expected(told.where(F.col("_fold") == 1), "_sum", "_n")
+    if length is None:
         return None, told
+    told = told.withColumn("_word", word_score(F.col("_sum"), F.col("_n"), length))
+    held = told.where(F.col("_fold") == 1).agg(*[F.percentile(c, missed) for c in ("_word", "_pair")]).first()
     levels = tuple(min(x, -1e-6) for x in held)
     keyed = durable(told.withColumn("_weight", log_weight(F.col("_word"), F.col("_pair"), levels)).withColumn("_sort", F.col("_weight") + F.col("_gumbel")))
     k = keyed.where(F.col("_weight") >= -SHARPNESS).count()
     cut = kth_largest(keyed, "_sort", k) if k else float("inf")
-    return Sampler(ratio, levels, cut), keyed
+    return Sampler(ratio, length, levels, cut), keyed
 
 
 def weighed(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -211,7 +248,8 @@ def resampled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     found, _ = sampler(docs, labels, key, text, **options)
     if found is None:
         return docs
-    word, pair, noise = (unused(docs, n) for n in ("_word", "_pair", "_gumbel"))
+    total, n, pair, noise = (unused(docs, c) for c in ("_sum", "_n", "_pair", "_gumbel"))
     rows = docs.withColumn(noise, gumbel(SEED, F.col(key), F.col(text)))
-    rows = scored(rows, found.ratio, text, word, pair)
-    return rows.where(log_weight(F.col(word), F.col(pair), found.levels) + F.col(noise) >= found.cut).select(*docs.columns)
+    rows = scored(rows, found.ratio, text, total, n, pair)
+    word = word_score(F.col(total), F.col(n), found.length)
+    return rows.where(log_weight(word, F.col(pair), found.levels) + F.col(noise) >= found.cut).select(*docs.columns)

@@ -66,3 +66,31 @@ def test_kth_largest(spark, k):
     values = [draw.choice([draw.gauss(0, 1), 0.5, -1e6]) for _ in range(1000)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     assert importance.kth_largest(df, "v", k, most=10, bins=8) == sorted(values, reverse=True)[k - 1]
+
+
+def test_long_clean_texts_stay(spark):
+    """Clean texts hold a junk word now and then, some languages more often; length alone must not speak against one."""
+    draw = random.Random(5)
+    clean, junk = [f"good{i}" for i in range(300)], [f"!!{i}" for i in range(20)]
+
+    def text(size, share):
+        return " ".join(draw.choice(junk if draw.random() < share else clean) for _ in range(size))
+
+    rows, labels = [], []
+    for i in range(3000):
+        bad = i % 6 == 0
+        rows.append((i, text(draw.randrange(20, 200), 0.4 if bad else 0.002 if i % 2 else 0.005)))
+        if i % 4 < 2:
+            labels.append((i, int(not bad), 0))
+    good = [t for i, t in rows if i % 6]
+    long_clean, long_junk = [5_000, 20_000, 50_000, 200_000], [5_000, 20_000]
+    for i, size in enumerate(long_clean):
+        joined = " ".join(draw.choice(good) for _ in range(size // 100))
+        rows.append((10_000 + i, joined))
+    rows += [(20_000 + i, text(size, 0.1)) for i, size in enumerate(long_junk)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in importance.weighed(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect() if r["kept"]}
+    assert [i for i in range(len(long_clean)) if 10_000 + i not in kept] == []
+    assert not kept & {20_000 + i for i in range(len(long_junk))}
+    ordinary = {i for i in range(3000) if i % 6}
+    assert len(ordinary - kept) <= 0.05 * len(ordinary) and len(kept & {i for i in range(0, 3000, 6)}) <= 10
