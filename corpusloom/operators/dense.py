@@ -7,6 +7,7 @@ third of all vectors is many cells, never one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -21,6 +22,8 @@ from corpusloom.session import durable
 
 VECTOR_BLOCK = 8192
 QUERY_BLOCK = 4096
+#: Approximate search: rows per bucket, most hash bits, recall on the sampled queries, and their number.
+BUCKET, MOST_BITS, RECALL, SAMPLE = 4096, 12, 0.95, 200
 # Fixed value: letters counted by the built-in stand-in embedder.
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -173,14 +176,76 @@ def with_buckets(df: DataFrame, dim: int, bits: int, tables: int, seed: int = 7)
     return df.select(*df.columns, F.posexplode(buckets("embedding")).alias("_table", "_bucket"))
 
 
-def approximate(
-    queries: DataFrame, vectors: DataFrame, k: int, dim: int, *, metric: str = "cosine", bits: int = 4, tables: int = 12,
+def with_probes(df: DataFrame, dim: int, bits: int, tables: int, reach: float, seed: int = 7) -> DataFrame:
+    """One row per bucket that a query looks into: its own, and those beyond hyperplanes that pass near it.
+
+    A bucket's distance is the sum of the squared distances to the hyperplanes between it and the query, in units of the
+    query's length; buckets up to ``reach`` away are probed.
+    """
+    normals = planes(dim, bits, tables, seed)
+
+    @F.pandas_udf("array<bigint>")
+    def buckets(vectors: pd.Series) -> pd.Series:
+        out = []
+        step = max(1, (1 << 22) // (tables << bits))
+        for at in range(0, len(vectors), step):
+            own, away = _flips(np.stack(vectors.iloc[at : at + step].to_numpy()).astype(np.float64), normals)
+            for mine, far in zip(own, away):
+                table, flip = np.nonzero(far <= reach)
+                out.append((table << bits) | (mine[table] ^ flip))
+        return pd.Series(out)
+
+    code = F.col("_code")
+    rows = df.select(*df.columns, F.explode(buckets("embedding")).alias("_code"))
+    return rows.select(*df.columns, F.shiftright(code, bits).cast("int").alias("_table"), code.bitwiseAND(F.lit((1 << bits) - 1)).alias("_bucket"))
+
+
+def _flips(queries: np.ndarray, normals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each query's bucket per table, and how far away the bucket is that differs in the bits of a mask, for every mask."""
+    bits = normals.shape[1]
+    sides = np.einsum("tbd,nd->ntb", normals, queries)
+    masks = (np.arange(1 << bits)[:, None] >> np.arange(bits)) & 1
+    length = np.maximum(np.square(queries).sum(axis=1), 1e-300)[:, None, None]
+    return (sides > 0).astype(np.int64) @ (1 << np.arange(bits)), (np.square(sides) / length) @ masks.T
+
+
+def needed_reach(
+    queries: DataFrame, vectors: DataFrame, k: int, dim: int, bits: int, tables: int, recall: float, *, metric: str = "cosine",
     query_id: str = "query_id", vector_id: str = "child_id", skip_self: bool = False, seed: int = 7,
+) -> float:
+    """The reach at which ``SAMPLE`` queries, drawn by hash, find ``recall`` of their exact neighbours.
+
+    The exact search compares the sample with every vector; its SAMPLE * k pairs come to the driver.
+    """
+    some = durable(queries.select(query_id, "embedding").orderBy(F.xxhash64(query_id), query_id).limit(SAMPLE))
+    best = nearest(some, vectors, k, metric=metric, query_id=query_id, vector_id=vector_id, skip_self=skip_self).select(query_id, vector_id)
+    asked = some.select(query_id, F.col("embedding").alias("q_vec"))
+    pairs = best.join(F.broadcast(asked), query_id).join(vectors.select(vector_id, "embedding"), vector_id).select("q_vec", "embedding").collect()
+    if not pairs:
+        return 0.0
+    normals = planes(dim, bits, tables, seed)
+    own, away = _flips(np.array([r[0] for r in pairs], dtype=np.float64), normals)
+    theirs, _ = _flips(np.array([r[1] for r in pairs], dtype=np.float64), normals)
+    needed = np.take_along_axis(away, (own ^ theirs)[:, :, None], axis=2)[:, :, 0].min(axis=1)
+    return float(np.sort(needed)[math.ceil(recall * len(needed)) - 1]) * (1 + 1e-9)
+
+
+def approximate(
+    queries: DataFrame, vectors: DataFrame, k: int, dim: int, *, metric: str = "cosine", bits: int | None = None, tables: int = 1,
+    recall: float = RECALL, query_id: str = "query_id", vector_id: str = "child_id", skip_self: bool = False, seed: int = 7,
 ) -> DataFrame:
-    """Nearest neighbours inside shared LSH buckets. Buckets go through the same bounded cells as scopes do."""
+    """Nearest neighbours inside LSH buckets. Buckets go through the same bounded cells as scopes do.
+
+    Without ``bits`` a bucket holds about ``BUCKET`` rows. Each query probes as many near buckets as a sample of queries
+    needs to find ``recall`` of its exact neighbours, so the result keeps that recall on any data, up to sampling error.
+    """
+    queries, vectors = (df.where(F.col("embedding").isNotNull()) for df in (queries, vectors))
+    if bits is None:
+        bits = min(max(1, math.ceil(math.log2(max(vectors.count(), 1) / BUCKET))), MOST_BITS)
+    names = {"metric": metric, "query_id": query_id, "vector_id": vector_id, "skip_self": skip_self}
+    reach = needed_reach(queries, vectors, k, dim, bits, tables, recall, seed=seed, **names)
     found = nearest(
-        with_buckets(queries, dim, bits, tables, seed), with_buckets(vectors, dim, bits, tables, seed), k,
-        metric=metric, part=["_table", "_bucket"], query_id=query_id, vector_id=vector_id, skip_self=skip_self,
+        with_probes(queries, dim, bits, tables, reach, seed), with_buckets(vectors, dim, bits, tables, seed), k, part=["_table", "_bucket"], **names
     )
     once = found.groupBy(query_id, vector_id).agg(F.max("score").alias("score"))
     return top_rows(once, [query_id], [F.desc("score"), F.asc(vector_id)], k)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import words
 from corpusloom.operators import dense, ranking, sparse
 from corpusloom.operators.filters import metadata_filter
+from corpusloom.plans import catalog
 
 WORDS = [f"w{i}" for i in range(30)]
 
@@ -79,6 +80,25 @@ def test_approximate_recall(points):
     assert len(exact & found) / len(exact) >= 0.9
 
 
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_registered_approximate_recall(spark, folder):
+    """The registered query with its own parameters against the exact one, on the embeddings table."""
+    queries = catalog.QUERIES
+    exact, found = ({(r.query_id, r.child_id) for r in queries[q](spark, f"/root/testdata/{folder}").collect()} for q in ("knn_cosine", "knn_approximate"))
+    assert len(exact & found) / len(exact) >= 0.9
+
+
+def test_approximate_recall_with_many_buckets(spark):
+    rng = np.random.default_rng(4)
+    data = rng.standard_normal((1500, 16))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)] + [(9999, None)], "child_id int, embedding array<double>")
+    queries = df.withColumnRenamed("child_id", "query_id")
+    exact = {(r.query_id, r.child_id) for r in dense.nearest(queries, df, 10, metric="cosine", skip_self=True).collect()}
+    found = [(r.query_id, r.child_id) for r in dense.approximate(queries, df, 10, 16, bits=6, tables=2, skip_self=True).collect()]
+    assert len(found) == len(set(found)) and len(exact & set(found)) / len(exact) >= 0.9
+    assert dense.approximate(queries.limit(0), df, 10, 16).count() == 0 and dense.approximate(queries, df.limit(0), 10, 16).count() == 0
+
+
 def test_mmr_prefers_variety(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.999, 0.04]), (2, [0.7, 0.714])]
     vectors = spark.createDataFrame(rows, "child_id int, embedding array<double>")
