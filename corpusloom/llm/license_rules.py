@@ -10,9 +10,28 @@ from pyspark.sql import functions as F
 
 # What the sentences of public licence notices say, as patterns over normalised sentences (lower case,
 # words of letters, digits, dots and hyphens, one blank between). A name stands in a rule; the first pattern that fits wins.
+SPDX = "spdx license identifier"
+#: Licence of an SPDX identifier, by a pattern for the identifier in lower case.
+SPDX_IDS: tuple[tuple[str, str, str], ...] = (
+    ("spdx_apache2", "Apache-2.0", r"apache-2\.0"),
+    ("spdx_mit", "MIT", r"mit"),
+    ("spdx_bsd3", "BSD-3-Clause", r"bsd-3-clause"),
+    ("spdx_bsd2", "BSD-2-Clause", r"bsd-2-clause"),
+    ("spdx_gpl3_later", "GPL-3.0-or-later", r"gpl-3\.0-or-later"),
+    ("spdx_gpl2_later", "GPL-2.0-or-later", r"gpl-2\.0-or-later"),
+    ("spdx_gpl3", "GPL-3.0-only", r"gpl-3\.0(-only)?"),
+    ("spdx_gpl2", "GPL-2.0-only", r"gpl-2\.0(-only)?"),
+    ("spdx_cc_by_nc_sa", "CC-BY-NC-SA", r"cc-by-nc-sa-\d\.\d"),
+    ("spdx_cc_by_nc", "CC-BY-NC", r"cc-by-nc-\d\.\d"),
+    ("spdx_cc_by_sa", "CC-BY-SA", r"cc-by-sa-\d\.\d"),
+    ("spdx_cc_by", "CC-BY", r"cc-by-\d\.\d"),
+    ("spdx_cc0", "CC0-1.0", r"cc0-1\.0"),
+    ("spdx_mpl2", "MPL-2.0", r"mpl-2\.0"),
+)
 SENTENCES: tuple[tuple[str, str], ...] = (
-    ("spdx", r"^spdx license identifier\b"),
-    ("apache2", r"\blicensed under the apache license,? version 2(\.0)?\b"),
+    *((name, rf"^{SPDX} {pattern}$") for name, _, pattern in SPDX_IDS),
+    ("spdx", rf"^{SPDX}\b"),
+    ("apache2", r"\blicensed under the apache[ -]license,? version 2(\.0)?\b"),
     ("apache_copy", r"^you may obtain a copy of the license at\b"),
     ("apache_use", r"^you may not use this file except in compliance with the license\b"),
     ("as_is", r"\b(is )?(provided|distributed) (by .* )?(on an )?as is\b"),
@@ -29,10 +48,10 @@ SENTENCES: tuple[tuple[str, str], ...] = (
     ("gpl_v3", r"\beither version 3 of the license\b"),
     ("gpl_v2", r"\beither version 2 of the license\b"),
     ("or_later", r"\bor at your option any later version\b"),
-    ("cc_by_nc_sa", r"\bcc by-nc-sa \d(\.\d)?\b"),
-    ("cc_by_nc", r"\bcc by-nc \d(\.\d)?\b"),
-    ("cc_by_sa", r"\bcc by-sa \d(\.\d)?\b"),
-    ("cc_by", r"\bcc by \d(\.\d)?\b"),
+    ("cc_by_nc_sa", r"\bcc[ -]by[ -]nc[ -]sa[ -]\d(\.\d)?\b"),
+    ("cc_by_nc", r"\bcc[ -]by[ -]nc[ -]\d(\.\d)?\b"),
+    ("cc_by_sa", r"\bcc[ -]by[ -]sa[ -]\d(\.\d)?\b"),
+    ("cc_by", r"\bcc[ -]by[ -]\d(\.\d)?\b"),
     ("cc0", r"\bcc0\b"),
     ("mpl2", r"\bmozilla public license,? v(ersion|\.)? ?2(\.0)?\b"),
     ("copyright", r"^copyright\b.*\b\d{4}\b"),
@@ -69,18 +88,36 @@ RULES: tuple[Rule, ...] = (
     Rule("CC0-1.0", ("cc0",)),
     Rule("MPL-2.0", ("mpl2",)),
     Rule("proprietary", ("reserved",)),
+    *(Rule(licence, (name,)) for name, licence, _ in SPDX_IDS),
 )
 
-#: A sentence can only be known when it holds one of these.
-HINT = r"(?i)licen[sc]e|copyright|permission|redistribution|neither the name|rights reserved|as is|spdx|free software|cc ?by|cc0|later version"
+#: A sentence can only be known when it holds one of these; in a text their words may stand on two lines.
+HINT = r"(?i)licen[sc]e|copyright|permission|redistribution|neither\W+the\W+name|rights\W+reserved|as\W+is\b|spdx|free\W+software|cc\W*by|cc0|later\W+version"
+
+# A line goes on with the sentence of the line before, except where it begins like a list item or a notice: those of
+# the patterns that ask for the start of a sentence, those that are a name only, and lines that say "licensed under".
+_BEGINS = (
+    r"(?:\(?(?:\d{1,2}|[a-z])[.)]|[-*•])[ \t]+\S|copyright[ \t]*(?:\(c\)|©|\d{4})|(?:the )?mit license\b|permission is hereby granted|"
+    r"the above copyright notice and this|redistributions? (?:and use|of source|in binary)|neither the name of|this program is free software|"
+    r"you may (?:obtain a copy|not use this file)|all rights reserved|mozilla public license|cc[ -]by|cc0|[^\n]*\b(?:licensed|released) under\b"
+)
+_CUT = r"(?i)(?<=[.;:!?])(?<!\bv\.)\s+|\n[ \t]*\n|(?<!version)(?<!\bv\.)\n(?=[ \t]*(?:" + _BEGINS + "))"
 
 
 def normalised_sentences(text: Column) -> Column:
-    """Sentences in lower case, cut after full stops (not inside version numbers), semicolons, colons and at blank lines."""
-    joined = F.regexp_replace(text, r"(?m)^[ \t]*(#|//|\*|--)+[ \t]?", "")
-    cut = F.split(joined, r"(?<=[.;:!?])\s+|\n")
-    clean = F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N},.\-]+", " ")))
-    return F.filter(F.transform(clean, lambda s: F.regexp_replace(s, r"[.,]+$", "")), lambda s: s != "")
+    """Sentences in lower case, cut after full stops (not inside version numbers or after ``v.``), semicolons and colons, at
+    blank lines, and before lines that begin a list item or a notice. Wrapped lines are joined; list marks go. Each
+    identifier of an SPDX line is a sentence of its own.
+    """
+    lines = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"(?m)^[ \t]*(#|//|/\*|\*/|\*|--)+[ \t]?|[ \t]+$", "")
+    later = F.regexp_replace(lines, r"(?i)\b(?<!-)(GPL-[23]\.0)\+", "$1-or-later")
+    joined = F.regexp_replace(later, r"(?i)\bspdx-license-identifier[ \t]*:[ \t]*([^\n]*)", f"\n\n{SPDX} $1\n\n")
+    bare = F.transform(F.split(joined, _CUT), lambda s: F.regexp_replace(s, r"^[^\p{L}\p{N}]*(?:(?:\d{1,2}|[A-Za-z])\)[^\p{L}\p{N}]*)?", ""))
+    clean = F.transform(bare, lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N},.\-]+", " ")))
+    whole = F.transform(clean, lambda s: F.regexp_replace(s, r"[ .,\-]+$", ""))
+    single = lambda s: F.transform(F.split(F.substring(s, len(SPDX) + 2, 1 << 30), r" (?:or|and|with) "), lambda x: F.concat(F.lit(f"{SPDX} "), x))
+    each = F.flatten(F.transform(whole, lambda s: F.when(s.startswith(f"{SPDX} "), single(s)).otherwise(F.array(s))))
+    return F.filter(each, lambda s: ~s.rlike(r"^(\d{1,2}|[a-z])?$"))
 
 
 def identifiers(text: Column) -> Column:

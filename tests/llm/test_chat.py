@@ -94,6 +94,60 @@ def test_licences(spark):
     assert scanned(docs.limit(0)).count() == 0
 
 
+BSD = """Copyright (c) 2020, A B
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.
+"""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */
+"""
+MIT = """MIT License
+Copyright (c) 2020 A B
+Permission is hereby granted, free of charge, to any person obtaining a
+copy of this software, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be
+included in all copies.
+"""
+APACHE = """# Licensed under the Apache
+# License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the
+# License. You may obtain a copy of the License at
+"""
+WRAPPED = {
+    "bsd": (BSD, {"BSD-3-Clause", "proprietary"}), "bsd crlf": (BSD.replace("\n", "\r\n"), {"BSD-3-Clause", "proprietary"}),
+    "bsd (1)": (BSD.replace("1.", "(1)").replace("2. ", "(2) ").replace("3.", "(3)"), {"BSD-3-Clause", "proprietary"}),
+    "bsd in one line": (" ".join(BSD.split()), {"BSD-3-Clause"}), "gpl": (GPL, {"GPL-2.0-or-later"}),
+    "gpl 3": (GPL.replace("version 2", "version 3"), {"GPL-3.0-or-later"}), "mpl": (MPL, {"MPL-2.0"}), "mit": (MIT, {"MIT"}), "apache": (APACHE, {"Apache-2.0"}),
+    "rights": ("all rights\nreserved", {"proprietary"}), "lines without stops": ("A title\nLicensed under the MIT License\nB is licensed under CC BY-NC 4.0\nCC0", {"MIT", "CC-BY-NC", "CC0-1.0"}),
+    "spdx": ("// SPDX-License-Identifier: Apache-2.0\nint main;", {"Apache-2.0"}), "spdx or": ("# SPDX-License-Identifier: (MIT OR GPL-2.0+)", {"MIT", "GPL-2.0-or-later"}),
+    "spdx comment": ("/* SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note */", {"GPL-2.0-only"}), "spdx bsd": ("SPDX-License-Identifier: BSD-3-Clause", {"BSD-3-Clause"}),
+    "spdx nd": ("SPDX-License-Identifier: CC-BY-NC-ND-4.0", set()), "spdx lgpl": ("SPDX-License-Identifier: LGPL-2.0+", set()), "hyphens": ("Shared under CC-BY-SA-4.0.", {"CC-BY-SA"}),
+}
+
+
+def test_wrapped_licences(spark):
+    docs = spark.createDataFrame([(k, v[0]) for k, v in WRAPPED.items()], "doc_id string, text string")
+    assert {r["doc_id"]: set(r["licences"]) for r in scanned(docs).collect()} == {k: v[1] for k, v in WRAPPED.items()}
+
+
 def test_licence_query(spark):
     text = F.col("text")
     marks = {"Apache-2.0": "Apache License, Version 2.0.", "MIT": "under the MIT License.", "CC-BY-NC": "CC BY-NC 4.0.", "GPL-3.0-only": "General Public License, version 3.", "proprietary": "ll rights reserved"}
