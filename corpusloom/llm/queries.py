@@ -116,7 +116,7 @@ def op6_jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
     """
 )
 def op7_preference_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Every conversation beside the one with its neighbour's last answer: common prompt, completions, loss spans."""
+    """Conversations whose neighbour has an answer, beside the same with that last answer: common prompt, completions, loss spans."""
     from corpusloom.llm.preference import formatted, neighbour_pairs
 
     rows = formatted(neighbour_pairs(table(spark, folder, "conversations"))).withColumnRenamed("key", "conv_id")
