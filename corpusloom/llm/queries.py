@@ -173,3 +173,15 @@ def op10_benchmark_hits(spark: SparkSession, folder: str) -> DataFrame:
     rows = hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256)
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query()
+def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its number of tokens, a digest of their ids, and a digest of the bytes these ids decode to."""
+    import public_tokenizers
+
+    from corpusloom.llm.byte_bpe import VOCABULARY, read_ranks, round_trip
+
+    rows = round_trip(table(spark, folder, "documents"), read_ranks(public_tokenizers.path(VOCABULARY)))
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
