@@ -185,3 +185,62 @@ def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     rows = round_trip(table(spark, folder, "documents"), read_ranks(public_tokenizers.path(VOCABULARY)))
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def _leaf_sql(text: str) -> str:
+    each = [f"coalesce(strlen({v})::VARCHAR || ':' || {v}, '-')" for v in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)]
+    return f"sha256({' || '.join(each)})"
+
+
+def _tree_sql(name: str, leaves: str, by: str) -> str:
+    """Recursive SQL for all nodes of trees over ``leaves`` (by, i, n, h), and for each the digests beside it in its run."""
+    run = f"OVER (PARTITION BY {by}, level, i // 16 ORDER BY i ROWS BETWEEN"
+    return f"""
+    {name}({by}, level, i, n, h) AS (
+      SELECT {by}, 0, i, n, h FROM {leaves} UNION ALL
+      SELECT {by}, level + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY {by}, level, i // 16, n),
+    {name}_run AS (SELECT *, coalesce(string_agg(h, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+      coalesce(string_agg(h, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name} WHERE n > 1)"""
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+@query(
+    f"""
+    WITH RECURSIVE crc AS (
+      SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t
+      FROM (SELECT unnest(range(256)) AS b)),
+    d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('s' || source, '') AS s, {_leaf_sql('text')} AS h,
+      CASE WHEN xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+          lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 5 = 0
+        THEN {_leaf_sql(f"translate(text, '{_UPPER}', '{_UPPER.lower()}')")} ELSE {_leaf_sql('text')} END AS shown
+      FROM documents, crc),
+    lv AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY s) AS n FROM d),
+    {_tree_sql('t', 'lv', 's')},
+    tops AS (SELECT 0 AS z, s, h, row_number() OVER (ORDER BY encode(s)) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+    {_tree_sql('u', 'tops', 'z')},
+    way AS (
+      SELECT lv.r, level, 0 AS part, t_run.l, t_run.r AS rr FROM lv JOIN t_run ON t_run.s = lv.s AND t_run.i = lv.i // (16 ** level)::BIGINT
+      UNION ALL
+      SELECT lv.r, level, 1, u_run.l, u_run.r FROM lv JOIN tops ON tops.s = lv.s JOIN u_run ON u_run.i = tops.i // (16 ** level)::BIGINT),
+    steps AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY part, level) AS k FROM way),
+    up(r, k, h) AS (
+      SELECT r, 0, shown FROM lv UNION ALL
+      SELECT up.r, up.k + 1, sha256(steps.l || up.h || steps.rr) FROM up JOIN steps ON steps.r = up.r AND steps.k = up.k + 1)
+    SELECT lv.doc_id, lv.h AS leaf, tops.h AS subroot, root.h AS root, sha256(coalesce(p.proof, '')) AS proof_sha256, e.h AS folded_root, e.h = root.h AS verified
+    FROM lv JOIN tops ON tops.s = lv.s, (SELECT h FROM u WHERE n = 1) root
+    LEFT JOIN (SELECT r, string_agg(l || rr, '' ORDER BY k) AS proof FROM steps GROUP BY 1) p ON p.r = lv.r
+    JOIN (SELECT r, arg_max(h, k) AS h FROM up GROUP BY 1) e ON e.r = lv.r
+    """
+)
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its leaf, the roots, its proof's digest, and the root that its own or a changed leaf gives."""
+    from corpusloom.llm.columns import ascii_lower
+    from corpusloom.llm.merkle import leaf_digest, proofs
+
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    shown = F.when(changed, leaf_digest([*fields, ascii_lower(F.col("text"))]))
+    rows = proofs(table(spark, folder, "documents"), leaf_digest([*fields, F.col("text")]), shown)
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
