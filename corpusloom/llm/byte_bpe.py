@@ -25,7 +25,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 FOLDER = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Words that are encoded once for the whole table, the most frequent first; all others where they stand.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 18
 #: Longer words (in bytes) are never among them, which bounds the size of that table.
 LONGEST = 64
 
@@ -53,7 +53,7 @@ def _literal(values: Sequence, kind: str) -> Column:
 
 @dataclass(frozen=True)
 class RankMap:
-    """The ranks of all pairs of pieces as literals of the plan.
+    """The ranks of all pairs of pieces as literals of the plan, those of two bytes also by the bytes themselves.
 
     A pair's key and the rank of its joint bytes share one number in ``entries``. Its place there is its key times
     ``factor`` plus the shift of the key's group, so one look-up tells whether a pair has a rank.
@@ -65,20 +65,26 @@ class RankMap:
     entries: Column
     shifts: Column
     singles: Column
+    doubles: Column
     pieces: Column
 
     def bound(self, body: Callable[[RankMap], Column]) -> Column:
         """``body`` with a map whose literals are bound once per row, so that a task holds each of them once."""
-        return let(self.entries, lambda e: let(self.shifts, lambda s: let(self.singles, lambda b: body(
-            replace(self, entries=e, shifts=s, singles=b)
-        ))))
+        return let(self.entries, lambda e: let(self.shifts, lambda s: let(self.singles, lambda b: let(self.doubles, lambda d: body(
+            replace(self, entries=e, shifts=s, singles=b, doubles=d)
+        )))))
 
     def rank(self, left: Column, right: Column) -> Column:
-        """The rank of two joined ids, or ``NONE``."""
+        """The rank of two joined ids, or ``NONE``; also where one of them is null."""
+        def entry(key: Column) -> Column:
+            place = (key * self.factor + F.get(self.shifts, (key % self.groups).cast("int"))) % self.size
+            return F.get(self.entries, place.cast("int"))
+
+        def rank_in(key: Column, found: Column) -> Column:
+            return F.when(F.shiftright(found, BITS) == key, found.bitwiseAND(F.lit(NONE).cast("long")))
+
         key = F.shiftleft(left, BITS) + right
-        place = (key * self.factor + F.get(self.shifts, (key % self.groups).cast("int"))) % self.size
-        entry = F.get(self.entries, place.cast("int"))
-        return F.when(F.shiftright(entry, BITS) == key, entry.bitwiseAND(F.lit(NONE).cast("long"))).otherwise(F.lit(NONE).cast("long"))
+        return F.coalesce(let(key, lambda k: let(entry(k), lambda e: rank_in(k, e))), F.lit(NONE).cast("long"))
 
 
 def _places(keys: np.ndarray) -> tuple[int, int, int, list[int], np.ndarray]:
@@ -87,7 +93,7 @@ def _places(keys: np.ndarray) -> tuple[int, int, int, list[int], np.ndarray]:
     Groups choose their shift in order of size, each the first that fits; if none fits, there are more places.
     """
     factor, groups = 104_729, len(keys) // 3 + 1
-    for size in range(3 * len(keys) + 7, 3 * len(keys) + 1007):
+    for size in range(2 * len(keys) + 7, 2 * len(keys) + 1007):
         base, group = keys * factor % size, keys % groups
         order = np.lexsort((group, -np.bincount(group, minlength=groups)[group]))
         cuts = np.flatnonzero(np.diff(group[order], prepend=-1))
@@ -122,7 +128,8 @@ def rank_map(ranks: Mapping[bytes, int]) -> RankMap:
     for piece, rank in ranks.items():
         pieces[rank] = piece.decode(BYTES)
     singles = _literal([ranks[bytes([b])] for b in range(256)], "bigint")
-    return RankMap(factor, size, groups, _literal(entries, "bigint"), _literal(shifts, "int"), singles, _literal(pieces, "string"))
+    doubles = _literal([ranks.get(bytes([b, c]), NONE) for b in range(256) for c in range(256)], "bigint")
+    return RankMap(factor, size, groups, _literal(entries, "bigint"), _literal(shifts, "int"), singles, doubles, _literal(pieces, "string"))
 
 
 def words(text: Column, pattern: str = PATTERN) -> Column:
@@ -137,20 +144,18 @@ def word_ids(word: Column, table: RankMap) -> Column:
     its place, its id. So the smallest number is the next pair to join, and its rank is the id it gets. A step replaces
     that number and its left neighbour's and takes the right one out; a word costs the square of its length.
     """
-    # A byte is held as the character of the same number.
-    codes = F.transform(F.split(F.decode(word.cast("binary"), BYTES), ""), lambda c: F.get(table.singles, F.ascii(c)))
-
     def packed(rank: Column, rest: Column) -> Column:
         return F.shiftleft(rank, BITS + PLACE) + rest
 
     ident = lambda x: x.bitwiseAND(F.lit(NONE).cast("long"))
     rest = lambda x: x.bitwiseAND(F.lit((1 << (BITS + PLACE)) - 1).cast("long"))
 
-    def follower(left: Column, right: Column) -> Column:
-        return F.when(right.isNull(), F.lit(NONE).cast("long")).otherwise(table.rank(left, right))
+    def start(codes: Column) -> Column:
+        def first(code: Column, i: Column) -> Column:
+            rank = F.coalesce(F.get(table.doubles, F.shiftleft(code, 8) + F.get(codes, i + 1)), F.lit(NONE).cast("long"))
+            return packed(rank, F.shiftleft(i.cast("long"), BITS) + F.get(table.singles, code))
 
-    def start(ids: Column) -> Column:
-        return F.transform(ids, lambda x, i: packed(follower(x, F.get(ids, i + 1)), F.shiftleft(i.cast("long"), BITS) + x))
+        return F.transform(codes, first)
 
     def step(state: Column, _: Column) -> Column:
         def join(low: Column) -> Column:
@@ -158,7 +163,7 @@ def word_ids(word: Column, table: RankMap) -> Column:
 
             def at(i: Column) -> Column:
                 after, before = F.get(state, i + 2), F.get(state, i - 1)
-                here = packed(follower(both, ident(after)), rest(low) - ident(low) + both)
+                here = packed(table.rank(both, ident(after)), rest(low) - ident(low) + both)
                 left = packed(table.rank(ident(before), both), rest(before))
                 others = F.array_remove(F.array_remove(state, F.get(state, i + 1)), low)
                 linked = F.when(before.isNull(), others).otherwise(F.array_insert(F.array_remove(others, before), i, left))
@@ -168,17 +173,19 @@ def word_ids(word: Column, table: RankMap) -> Column:
 
         return let(F.array_min(state), lambda low: F.when(F.shiftright(low, BITS + PLACE) == NONE, state).otherwise(join(low)))
 
+    # A byte is held as the character of the same number.
+    codes = F.transform(F.split(F.decode(word.cast("binary"), BYTES), ""), lambda c: F.ascii(c))
     folded = let(let(codes, start), lambda first: F.aggregate(first, first, step))
     return F.transform(folded, lambda x: ident(x).cast("int"))
 
 
-def known_words(docs: DataFrame, table: RankMap, ranks: Mapping[bytes, int], text: str, pattern: str, most: int) -> Column:
+def known_words(docs: DataFrame, table: RankMap, ranks: Mapping[bytes, int], text: str, pattern: str, most: int) -> tuple[Column, int]:
     """The ids of the ``most`` most frequent words of at most ``LONGEST`` bytes, each encoded once, as one literal.
 
     Counted over all documents, with sums inside the tasks before the shuffle. What comes to the driver is bounded by
     ``most`` times ``LONGEST``. A word that is a piece has that piece's id; pieces that the merges of their own bytes do
     not give are therefore listed too, whether they are frequent or not. The literal is an array of small maps, a
-    word's place in it the last bits of its hash.
+    word's place in it the last bits of its hash; its size comes second.
     """
     spark = docs.sparkSession
     each = docs.select(F.explode(words(F.col(text), pattern)).alias("word")).where(F.octet_length("word") <= LONGEST)
@@ -187,16 +194,15 @@ def known_words(docs: DataFrame, table: RankMap, ranks: Mapping[bytes, int], tex
     own = [(word, rank) for piece, rank in ranks.items() if (word := piece.decode(errors="ignore")).encode() == piece]
     pieces = spark.createDataFrame(pa.table({"word": [w for w, _ in own], "rank": pa.array([r for _, r in own], pa.int32())}))
     each = top.unionByName(pieces).groupBy("word").agg(F.max("rank").alias("rank"), F.max(F.col("rank").isNull()).alias("frequent"))
-    coded = each.select("word", F.hash("word").alias("hash"), "rank", "frequent", table.bound(lambda t: word_ids(F.col("word"), t)).alias("ids"))
-    listed = [
-        (row["hash"], row["word"], row["ids"] if row["rank"] is None else [row["rank"]])
-        for row in coded.collect() if row["frequent"] or row["ids"] != [row["rank"]]
-    ]
-    size = 1 << max(2 * len(listed) - 1, 1).bit_length()
-    maps: list[dict] = [{} for _ in range(size)]
-    for number, word, ids in listed:
-        maps[number & (size - 1)][word] = ids
-    return _literal(maps, "map<string,array<int>>")
+    coded = durable(each.select("word", "rank", "frequent", table.bound(lambda t: word_ids(F.col("word"), t)).alias("ids")))
+    wanted = coded.where(F.col("frequent") | (F.col("ids") != F.array("rank")))
+    ids = F.when(F.col("rank").isNull(), F.col("ids")).otherwise(F.array("rank"))
+    size = 1 << max(wanted.count() - 1, 1).bit_length() - 1
+    entry = F.map_from_entries(F.collect_list(F.struct("word", ids)))
+    maps = ["{}"] * size
+    for place, text in wanted.groupBy(F.hash("word").bitwiseAND(F.lit(size - 1))).agg(F.to_json(entry)).toArrow().to_pandas().itertuples(index=False):
+        maps[place] = text
+    return F.from_json(F.lit(f"[{','.join(maps)}]"), "array<map<string,array<int>>>"), size
 
 
 def encoded(
@@ -210,10 +216,10 @@ def encoded(
     replaced. White space, letters and numbers are those of the Unicode version of the Java runtime.
     """
     table = table or rank_map(ranks)
-    known = known_words(docs, table, ranks, text, pattern, most)
+    known, size = known_words(docs, table, ranks, text, pattern, most)
 
     def ids_of(maps: Column, bound: RankMap) -> Column:
-        found = lambda w: F.get(maps, F.hash(w).bitwiseAND(F.size(maps) - 1))[w]
+        found = lambda w: F.get(maps, F.hash(w).bitwiseAND(F.lit(size - 1)))[w]
         return F.flatten(F.transform(words(F.col(text), pattern), lambda w: F.coalesce(found(w), word_ids(w, bound))))
 
     return docs.withColumn(ids, table.bound(lambda bound: let(known, lambda maps: ids_of(maps, bound))))
