@@ -244,3 +244,40 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     shown = F.when(changed, leaf_digest([*fields, ascii_lower(F.col("text"))]))
     rows = proofs(table(spark, folder, "documents"), leaf_digest([*fields, F.col("text")]), shown)
     return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def _codes_sql(rounds: int) -> str:
+    """Recursion written out: (p, e, y) are the entries of each part after a round, (r, p, e, dist) the nearest ones."""
+    def near(k: int) -> str:
+        return f"""
+    n{k} AS (SELECT r, p, arg_min(e, (dist, e)) AS e, min(dist) AS dist FROM (
+      SELECT r, x.p, e, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - y[i]) * (x[i] - y[i])))::BIGINT AS dist
+      FROM x JOIN c{k} USING (p)) GROUP BY r, p)"""
+
+    def better(k: int) -> str:
+        return f"""
+    c{k + 1} AS (SELECT p, e, coalesce(m.y, c{k}.y) AS y FROM c{k} LEFT JOIN (
+      SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS y
+      FROM (SELECT p, e, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM (SELECT p, e, x, unnest(range(1, len(x) + 1)) AS i FROM x JOIN n{k} USING (r, p))
+        GROUP BY p, e, i) GROUP BY p, e) m USING (p, e))"""
+
+    steps = ",".join(near(k) + "," + better(k) for k in range(rounds)) + "," + near(rounds)
+    return f"""
+    WITH v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS w
+      FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    x AS (SELECT r, p, w[p * len(w) // 8 + 1:(p + 1) * len(w) // 8] AS x FROM v, (SELECT unnest(range(8)) AS p)),
+    c0 AS (SELECT p, r - 1 AS e, x AS y FROM x WHERE r <= 16),{steps},
+    book AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) AS digest FROM c{rounds}),
+    coded AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(dist)::BIGINT AS error FROM n{rounds} GROUP BY r)
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, digest AS codebooks_sha256
+    FROM v JOIN coded USING (r), book
+    """
+
+
+@query(_codes_sql(6))
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector's code, its squared error, the error of all vectors of its label, and a digest of the codebooks."""
+    from corpusloom.llm.vector_codes import compressed
+
+    rows, books = compressed(table(spark, folder, "embeddings"))
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
