@@ -18,9 +18,9 @@ EMPTY_CONTEXT = "未检索到相关文档。"
 KEPT_METADATA = ("file_id", "file_extension", "parent_index", "Header 1")
 
 
-def adaptive_k(children: DataFrame, keys: Sequence[str], final_k: int = FINAL_K) -> DataFrame:
-    """Search depths of each scope from its number of children."""
-    n = F.count("*")
+def adaptive_k(children: DataFrame, keys: Sequence[str], final_k: int = FINAL_K, count: Column | None = None) -> DataFrame:
+    """Search depths of each scope from its number of children; ``count`` is that number where a row stands for several."""
+    n = F.count("*") if count is None else count
     k = F.least(F.lit(MAX_K), F.greatest(F.lit(10), F.ceil(n * 0.1))).cast("int")
     return (
         children.groupBy(*keys)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -102,14 +102,24 @@ def query_terms(queries: DataFrame, index: SparseIndex, keep: Sequence[str] = ()
     return joined.select("query_id", *keep, "term", "weight", "df", (F.col("weight") * F.col("top_weight")).alias("top_score"))
 
 
-def _scored(postings: DataFrame, wanted: DataFrame, index: SparseIndex, match: Mapping[str, str], variant: str) -> DataFrame:
+@dataclass(frozen=True)
+class Visible:
+    """Which chunks a query may see, beyond equal columns: ``carry`` names query columns, ``columns`` chunk columns that
+    ``test`` needs; ``test`` takes the hits with both and returns those that count."""
+
+    carry: Sequence[str] = ()
+    columns: Sequence[str] = ()
+    test: Callable[[DataFrame], DataFrame] = lambda hits: hits
+
+
+def _scored(postings: DataFrame, wanted: DataFrame, index: SparseIndex, match: Mapping[str, str], variant: str, visible: Visible) -> DataFrame:
     avgdl = index.corpus.select("avgdl").scalar()
     right = postings.select(
-        F.col("term"), F.col(index.id_col), *[F.col(c).alias(q) for q, c in match.items()], "tf", "dl"
+        F.col("term"), F.col(index.id_col), *[F.col(c).alias(q) for q, c in match.items()], *visible.columns, "tf", "dl"
     )
-    hits = right.join(wanted, ["term", *match.keys()])
+    hits = visible.test(right.join(wanted, ["term", *match.keys()]))
     score = F.sum(F.col("weight") * saturation(F.col("tf"), F.col("dl"), avgdl, variant))
-    return hits.groupBy("query_id", *match.keys(), index.id_col).agg(score.alias("score"))
+    return hits.groupBy("query_id", *match.keys(), *visible.carry, index.id_col).agg(score.alias("score"))
 
 
 def bm25(
@@ -122,24 +132,27 @@ def bm25(
     prune: bool = False,
     stop_words: Sequence[str] = STOP_WORDS,
     seed_postings: int = SEED_POSTINGS,
+    visible: Visible = Visible(),
 ) -> DataFrame:
     """Best ``k`` chunks per query: (query_id, match…, id, score, rank); any matching term counts.
 
     ``match`` maps query columns to chunk columns that must be equal (a scope). ``prune`` keeps the same result but
-    never reads the postings of common terms for chunks that cannot reach the top ``k``.
+    never reads the postings of common terms for chunks that cannot reach the top ``k``. ``visible`` restricts each
+    query's hits in any other way; term statistics stay those of the whole corpus.
     """
     match = dict(match or {})
+    keys = ["query_id", *match, *visible.carry]
     # Written first, so that Spark plans with the true size: a small table of query terms is broadcast, a large one is not.
-    wanted = durable(query_terms(queries, index, list(match), stop_words, variant))
+    wanted = durable(query_terms(queries, index, keys[1:], stop_words, variant))
     if prune:
-        scores = _pruned_scores(wanted, index, match, variant, k, seed_postings)
+        scores = _pruned_scores(wanted, index, match, variant, k, seed_postings, visible)
     else:
-        scores = _scored(index.postings, wanted, index, match, variant)
+        scores = _scored(index.postings, wanted, index, match, variant, visible)
     scores = scores.withColumn("score", F.round("score", 6))
-    return top_rows(scores, ["query_id", *match], [F.desc("score"), F.asc(index.id_col)], k)
+    return top_rows(scores, keys, [F.desc("score"), F.asc(index.id_col)], k)
 
 
-def _pruned_scores(wanted: DataFrame, index: SparseIndex, match: dict, variant: str, k: int, seed_postings: int) -> DataFrame:
+def _pruned_scores(wanted: DataFrame, index: SparseIndex, match: dict, variant: str, k: int, seed_postings: int, visible: Visible) -> DataFrame:
     """Exact dynamic pruning in three joins.
 
     1. Rare terms alone give each query ``k`` candidates; the k-th partial score is a floor for the true k-th score.
@@ -147,12 +160,12 @@ def _pruned_scores(wanted: DataFrame, index: SparseIndex, match: dict, variant:
        so only chunks with another term are candidates.
     3. Candidates whose upper bound still reaches the floor are scored in full from their own term counts.
     """
-    keys = ["query_id", *match]
+    keys = ["query_id", *match, *visible.carry]
     by_rarity = Window.partitionBy(*keys).orderBy("df", "term")
     cost = F.sum("df").over(by_rarity.rowsBetween(Window.unboundedPreceding, 0))
     seeds = wanted.withColumn("_cost", cost).withColumn("_no", F.row_number().over(by_rarity))
     seeds = seeds.where((F.col("_cost") <= seed_postings) | (F.col("_no") == 1)).drop("_cost", "_no")
-    partial = _scored(index.postings, seeds, index, match, variant)
+    partial = _scored(index.postings, seeds, index, match, variant, visible)
     best = top_rows(partial, keys, [F.desc("score")], k)
     floors = best.groupBy(*keys).agg(F.when(F.count("*") == k, F.min("score")).alias("floor"))
 
@@ -171,7 +184,7 @@ def _pruned_scores(wanted: DataFrame, index: SparseIndex, match: dict, variant:
         F.coalesce(F.sum(F.when(~F.col("essential"), F.col("top_score"))), F.lit(0.0)).alias("slack"),
         F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("query"),
     )
-    found = _scored(index.postings, bounded.where("essential").select(*keys, "term", "weight"), index, match, variant)
+    found = _scored(index.postings, bounded.where("essential").select(*keys, "term", "weight"), index, match, variant, visible)
     # The candidates' own partial scores raise the floor once more.
     better = top_rows(found, keys, [F.desc("score")], k).groupBy(*keys).agg(F.when(F.count("*") == k, F.min("score")).alias("better"))
     slack = slack.join(better, keys, "left").withColumn("floor", F.greatest("floor", F.col("better") - 1e-5)).drop("better")
