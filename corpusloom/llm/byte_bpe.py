@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.columns import durable, let
+from corpusloom.llm.columns import durable
 
 # Fixed value: the published pattern that splits text before the merges of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -35,6 +35,8 @@ BITS = 18
 NONE = (1 << BITS) - 1
 #: Bits of a byte's place in its word.
 PLACE = 63 - 2 * BITS
+#: Bits of a hash that choose the group of a pair.
+GROUP_BITS = 15
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -46,6 +48,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return ranks
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once.
+
+    The value goes through an array of one element, whose largest is taken: unlike taking the first, that does not make
+    Spark work out the type of the whole body again for each row.
+    """
+    return F.array_max(F.transform(F.array(value), body))
+
+
 def _literal(values: Sequence, kind: str) -> Column:
     """An array as one literal of the plan."""
     return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), f"array<{kind}>")
@@ -55,63 +66,84 @@ def _literal(values: Sequence, kind: str) -> Column:
 class RankMap:
     """The ranks of all pairs of pieces as literals of the plan, those of two bytes also by the bytes themselves.
 
-    A pair's key and the rank of its joint bytes share one number in ``entries``. Its place there is its key times
-    ``factor`` plus the shift of the key's group, so one look-up tells whether a pair has a rank.
+    A pair's key and the rank of its joint bytes share one number in ``entries``. Its place there is its key's hash with
+    the mask of the hash's group, so one look-up tells whether a pair has a rank.
     """
 
-    factor: int
+    salt: int
     size: int
     groups: int
     entries: Column
-    shifts: Column
+    masks: Column
     singles: Column
     doubles: Column
     pieces: Column
 
     def bound(self, body: Callable[[RankMap], Column]) -> Column:
         """``body`` with a map whose literals are bound once per row, so that a task holds each of them once."""
-        return let(self.entries, lambda e: let(self.shifts, lambda s: let(self.singles, lambda b: let(self.doubles, lambda d: body(
-            replace(self, entries=e, shifts=s, singles=b, doubles=d)
+        return let(self.entries, lambda e: let(self.masks, lambda s: let(self.singles, lambda b: let(self.doubles, lambda d: body(
+            replace(self, entries=e, masks=s, singles=b, doubles=d)
         )))))
 
     def rank(self, left: Column, right: Column) -> Column:
         """The rank of two joined ids, or ``NONE``; also where one of them is null."""
-        def entry(key: Column) -> Column:
-            place = (key * self.factor + F.get(self.shifts, (key % self.groups).cast("int"))) % self.size
-            return F.get(self.entries, place.cast("int"))
+        def entry(hashed: Column) -> Column:
+            mask = F.get(self.masks, hashed.bitwiseAND(F.lit(self.groups - 1)))
+            return F.get(self.entries, F.shiftrightunsigned(hashed, GROUP_BITS).bitwiseXOR(mask).bitwiseAND(F.lit(self.size - 1)))
 
         def rank_in(key: Column, found: Column) -> Column:
             return F.when(F.shiftright(found, BITS) == key, found.bitwiseAND(F.lit(NONE).cast("long")))
 
-        key = F.shiftleft(left, BITS) + right
-        return F.coalesce(let(key, lambda k: let(entry(k), lambda e: rank_in(k, e))), F.lit(NONE).cast("long"))
+        key = F.shiftleft(left, BITS).bitwiseOR(right)
+        ranked = let(key, lambda k: let(let(F.hash(k.bitwiseOR(F.lit(self.salt).cast("long"))), entry), lambda e: rank_in(k, e)))
+        return F.coalesce(ranked, F.lit(NONE).cast("long"))
+
 
+def _hashes(keys: np.ndarray) -> np.ndarray:
+    """What Spark's ``hash`` gives for whole numbers (Murmur 3, 32 bits, seed 42), without the sign."""
+    def turned(x: np.ndarray, by: int) -> np.ndarray:
+        return (x << np.uint32(by)) | (x >> np.uint32(32 - by))
 
-def _places(keys: np.ndarray) -> tuple[int, int, int, list[int], np.ndarray]:
-    """factor, size, groups, shift of each group, and the place of each key, no two the same.
+    # The constants of the published hash function.
+    h = np.full(len(keys), 42, np.uint32)
+    for word in (keys & 0xFFFFFFFF, keys >> 32):
+        h = turned(h ^ turned(word.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (h ^ (h >> np.uint32(16))).astype(np.int64)
 
-    Groups choose their shift in order of size, each the first that fits; if none fits, there are more places.
+
+def _places(keys: np.ndarray) -> tuple[int, int, list[int], np.ndarray]:
+    """salt, size, mask of each group, and the place of each key, no two the same.
+
+    The salt, bits above those of the keys, is the first with which all hashes differ. The lower bits of a hash are its
+    group, the upper bits with the group's mask its place. Groups choose their mask in order of size, each the first that
+    fits; if none fits, there are more places.
     """
-    factor, groups = 104_729, len(keys) // 3 + 1
-    for size in range(2 * len(keys) + 7, 2 * len(keys) + 1007):
-        base, group = keys * factor % size, keys % groups
-        order = np.lexsort((group, -np.bincount(group, minlength=groups)[group]))
-        cuts = np.flatnonzero(np.diff(group[order], prepend=-1))
-        taken, shifts, places = bytearray(size), [0] * groups, np.zeros(len(keys), np.int64)
+    groups, size = 1 << GROUP_BITS, 1 << max(2 * len(keys), 2).bit_length()
+    salt = next(s << 2 * BITS for s in range(1 << 20) if len(np.unique(_hashes(keys | (s << 2 * BITS)))) == len(keys))
+    hashes = _hashes(keys | salt)
+    group = hashes % groups
+    order = np.lexsort((group, -np.bincount(group, minlength=groups)[group]))
+    cuts = np.flatnonzero(np.diff(group[order], prepend=-1))
+    while True:
+        base = (hashes >> GROUP_BITS) % size
+        taken, masks, places = bytearray(size), [0] * groups, np.zeros(len(keys), np.int64)
         for members in np.split(order, cuts[1:]) if len(order) else []:
             wanted = base[members].tolist()
-            shift = None
+            mask = None
             if len(set(wanted)) == len(wanted):
-                shift = next((s for s in range(size) if not any(taken[(w + s) % size] for w in wanted)), None)
-            if shift is None:
+                mask = next((m for m in range(size) if not any(taken[w ^ m] for w in wanted)), None)
+            if mask is None:
                 break
             for member, w in zip(members, wanted):
-                places[member] = (w + shift) % size
-                taken[(w + shift) % size] = 1
-            shifts[int(group[members[0]])] = shift
+                places[member] = w ^ mask
+                taken[w ^ mask] = 1
+            masks[int(group[members[0]])] = mask
         else:
-            return factor, size, groups, shifts, places
-    raise ValueError("no places found")
+            return salt, size, masks, places
+        size *= 2
 
 
 def rank_map(ranks: Mapping[bytes, int]) -> RankMap:
@@ -120,7 +152,7 @@ def rank_map(ranks: Mapping[bytes, int]) -> RankMap:
         (((ranks[piece[:i]] << BITS) | ranks[piece[i:]]), rank)
         for piece, rank in ranks.items() for i in range(1, len(piece)) if piece[:i] in ranks and piece[i:] in ranks
     ]
-    factor, size, groups, shifts, places = _places(np.array([key for key, _ in pairs], np.int64))
+    salt, size, masks, places = _places(np.array([key for key, _ in pairs], np.int64))
     entries = [0] * size
     for place, (key, rank) in zip(places, pairs):
         entries[place] = (key << BITS) | rank
@@ -129,7 +161,7 @@ def rank_map(ranks: Mapping[bytes, int]) -> RankMap:
         pieces[rank] = piece.decode(BYTES)
     singles = _literal([ranks[bytes([b])] for b in range(256)], "bigint")
     doubles = _literal([ranks.get(bytes([b, c]), NONE) for b in range(256) for c in range(256)], "bigint")
-    return RankMap(factor, size, groups, _literal(entries, "bigint"), _literal(shifts, "int"), singles, doubles, _literal(pieces, "string"))
+    return RankMap(salt, size, 1 << GROUP_BITS, _literal(entries, "bigint"), _literal(masks, "int"), singles, doubles, _literal(pieces, "string"))
 
 
 def words(text: Column, pattern: str = PATTERN) -> Column:
@@ -144,16 +176,19 @@ def word_ids(word: Column, table: RankMap) -> Column:
     its place, its id. So the smallest number is the next pair to join, and its rank is the id it gets. A step replaces
     that number and its left neighbour's and takes the right one out; a word costs the square of its length.
     """
-    def packed(rank: Column, rest: Column) -> Column:
-        return F.shiftleft(rank, BITS + PLACE) + rest
+    def bits(value: int) -> Column:
+        return F.lit(value).cast("long")
 
-    ident = lambda x: x.bitwiseAND(F.lit(NONE).cast("long"))
-    rest = lambda x: x.bitwiseAND(F.lit((1 << (BITS + PLACE)) - 1).cast("long"))
+    def packed(rank: Column, place: Column, ident: Column) -> Column:
+        return F.shiftleft(rank, BITS + PLACE).bitwiseOR(place).bitwiseOR(ident)
+
+    ident = lambda x: x.bitwiseAND(bits(NONE))
+    place = lambda x: x.bitwiseAND(bits(((1 << PLACE) - 1) << BITS))
 
     def start(codes: Column) -> Column:
         def first(code: Column, i: Column) -> Column:
-            rank = F.coalesce(F.get(table.doubles, F.shiftleft(code, 8) + F.get(codes, i + 1)), F.lit(NONE).cast("long"))
-            return packed(rank, F.shiftleft(i.cast("long"), BITS) + F.get(table.singles, code))
+            rank = F.coalesce(F.get(table.doubles, F.shiftleft(code, 8).bitwiseOR(F.get(codes, i + 1))), bits(NONE))
+            return packed(rank, F.shiftleft(i.cast("long"), BITS), F.get(table.singles, code))
 
         return F.transform(codes, first)
 
@@ -161,17 +196,20 @@ def word_ids(word: Column, table: RankMap) -> Column:
         def join(low: Column) -> Column:
             both = F.shiftright(low, BITS + PLACE)
 
-            def at(i: Column) -> Column:
-                after, before = F.get(state, i + 2), F.get(state, i - 1)
-                here = packed(table.rank(both, ident(after)), rest(low) - ident(low) + both)
-                left = packed(table.rank(ident(before), both), rest(before))
-                others = F.array_remove(F.array_remove(state, F.get(state, i + 1)), low)
-                linked = F.when(before.isNull(), others).otherwise(F.array_insert(F.array_remove(others, before), i, left))
-                return F.array_insert(linked, i + 1, here)
+            def at(i: Column) -> Column:  # place of the lowest number, from 1
+                before = F.get(state, i - 2)
+                here = packed(table.rank(both, ident(F.get(state, i + 1))), place(low), both)
+                left = packed(table.rank(ident(before), both), place(before), ident(before))
+                return let(here, lambda h: let(left, lambda l: changed(i, before, l, h)))
+
+            def changed(i: Column, before: Column, left: Column, here: Column) -> Column:
+                others = F.array_remove(F.array_remove(state, F.get(state, i)), low)
+                linked = F.when(i == 1, others).otherwise(F.array_insert(F.array_remove(others, before), i - 1, left))
+                return F.array_insert(linked, i, here)
 
-            return let(F.array_position(state, low).cast("int") - 1, at)
+            return let(F.array_position(state, low).cast("int"), at)
 
-        return let(F.array_min(state), lambda low: F.when(F.shiftright(low, BITS + PLACE) == NONE, state).otherwise(join(low)))
+        return let(F.array_min(state), lambda low: F.when(low >= bits(NONE << (BITS + PLACE)), state).otherwise(join(low)))
 
     # A byte is held as the character of the same number.
     codes = F.transform(F.split(F.decode(word.cast("binary"), BYTES), ""), lambda c: F.ascii(c))

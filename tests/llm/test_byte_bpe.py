@@ -64,12 +64,15 @@ def test_long_text(spark, ranks):
     check(spark.createDataFrame([("Some words of a märchen, repeated. " * 20_000,)], "text string"), ranks, most=2)
 
 
-def test_places_are_distinct():
+def test_places_are_distinct(spark):
     for n in (0, 1, 2, 5000):
         keys = np.unique(np.random.default_rng(n).integers(0, 1 << 36, n))
-        factor, size, groups, shifts, places = byte_bpe._places(keys)
+        salt, size, masks, places = byte_bpe._places(keys)
+        hashes = byte_bpe._hashes(keys | salt)
         assert len(set(places.tolist())) == len(keys)
-        assert [(k * factor + shifts[k % groups]) % size for k in keys.tolist()] == places.tolist()
+        assert [((h >> byte_bpe.GROUP_BITS) ^ masks[h % len(masks)]) % size for h in hashes.tolist()] == places.tolist()
+    told = spark.createDataFrame([(int(k | salt),) for k in keys], "k long").select(F.hash("k")).collect()
+    assert [r[0] % (1 << 32) for r in told] == hashes.tolist()
 
 
 def test_unknown_id(spark, ranks):
