@@ -21,6 +21,7 @@ from corpusloom.llm.columns import durable
 
 # Fixed value: the published pattern that splits text before the merges of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+SAME_MATCHES = r""" ?\p{L}+| ?\p{N}+|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Where the vocabulary files lie; a parameter everywhere.
 FOLDER = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -165,7 +166,13 @@ def rank_map(ranks: Mapping[bytes, int]) -> RankMap:
 
 
 def words(text: Column, pattern: str = PATTERN) -> Column:
-    """The matches of ``pattern`` in order, with the classes of Unicode; a null text has none."""
+    """The matches of ``pattern`` in order, with the classes of Unicode; a null text has none.
+
+    In the published pattern the parts that most words match come first here; no two of the parts moved match at the
+    same place.
+    """
+    if pattern == PATTERN:
+        pattern = SAME_MATCHES
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?U){pattern}"), 0)
 
 
@@ -227,16 +234,15 @@ def known_words(docs: DataFrame, table: RankMap, ranks: Mapping[bytes, int], tex
     """
     spark = docs.sparkSession
     each = docs.select(F.explode(words(F.col(text), pattern)).alias("word")).where(F.octet_length("word") <= LONGEST)
-    counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    top = durable(counts.orderBy(F.desc("n"), "word").limit(most)).select("word", F.lit(None).cast("int").alias("rank"))
+    counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     own = [(word, rank) for piece, rank in ranks.items() if (word := piece.decode(errors="ignore")).encode() == piece]
     pieces = spark.createDataFrame(pa.table({"word": [w for w, _ in own], "rank": pa.array([r for _, r in own], pa.int32())}))
-    each = top.unionByName(pieces).groupBy("word").agg(F.max("rank").alias("rank"), F.max(F.col("rank").isNull()).alias("frequent"))
-    coded = durable(each.select("word", "rank", "frequent", table.bound(lambda t: word_ids(F.col("word"), t)).alias("ids")))
-    wanted = coded.where(F.col("frequent") | (F.col("ids") != F.array("rank")))
-    ids = F.when(F.col("rank").isNull(), F.col("ids")).otherwise(F.array("rank"))
+    top = counts.where(F.col("n") > 1).orderBy(F.desc("n"), "word").limit(most).select("word")
+    spread = durable(top).unionByName(pieces.select("word")).distinct().join(F.broadcast(pieces), "word", "left")  # one row per piece of the vocabulary
+    folded = table.bound(lambda t: word_ids(F.col("word"), t))
+    wanted = durable(spread.select("word", F.when(F.col("rank").isNotNull(), F.array("rank")).otherwise(folded).alias("ids")))
     size = 1 << max(wanted.count() - 1, 1).bit_length() - 1
-    entry = F.map_from_entries(F.collect_list(F.struct("word", ids)))
+    entry = F.map_from_entries(F.collect_list(F.struct("word", "ids")))
     maps = ["{}"] * size
     for place, text in wanted.groupBy(F.hash("word").bitwiseAND(F.lit(size - 1))).agg(F.to_json(entry)).toArrow().to_pandas().itertuples(index=False):
         maps[place] = text
@@ -265,9 +271,10 @@ def encoded(
 
 def decoded(ids: Column, table: RankMap) -> Column:
     """The bytes of an array of ids: their pieces one after the other. Null stays null; an id without a piece is an error."""
-    wrong = lambda i: F.raise_error(F.concat(F.lit("no piece has id "), i.cast("string"))).cast("string")
-    piece = lambda i: F.coalesce(F.get(table.pieces, i), wrong(i))
-    return F.encode(F.array_join(F.transform(ids, piece), ""), BYTES)
+    found = lambda pieces: F.encode(F.array_join(pieces, ""), BYTES)
+    pieces = let(table.pieces, lambda all_: F.transform(ids, lambda i: F.get(all_, i)))
+    return let(pieces, lambda each: F.when(~F.exists(each, F.isnull), found(each)).otherwise(
+        F.raise_error(F.lit("an id has no piece")).cast("binary")))
 
 
 def round_trip(docs: DataFrame, ranks: Mapping[bytes, int], text: str = "text") -> DataFrame:
