@@ -27,19 +27,20 @@ def item_words(text: Column) -> Column:
 
 
 def benchmark_windows(items: DataFrame, key: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(length, gram, gram_key, items): every distinct word sequence that marks a test item, with the items that have it.
+    """(length, gram, gram_key, items, nameless): every distinct word sequence that marks a test item, with the items that
+    have it, and whether an item with a null key is among them.
 
-    An item of fewer than ``window`` words is one shorter sequence; an item without words has none. Rows with a null
-    key are left out: they cannot be named in a result.
+    An item of fewer than ``window`` words is one shorter sequence; an item without words has none.
     """
-    rows = items.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("_item"), item_words(F.col(text)).alias("_w"))
+    rows = items.select(F.col(key).cast("string").alias("_item"), item_words(F.col(text)).alias("_w"))
     rows = rows.where(F.size("_w") > 0).withColumn("length", F.least(F.size("_w"), F.lit(window)))
     starts = F.sequence(F.lit(1), F.size("_w") - F.col("length") + 1)
     grams = F.transform(starts, lambda i: F.concat_ws(" ", F.slice("_w", i, F.col("length"))))
     rows = rows.select("_item", "length", F.explode(F.array_distinct(grams)).alias("gram"))
     hashes = F.transform(F.split("gram", " "), lambda w: F.xxhash64(w))
     by_length = F.coalesce(*[F.when(F.col("length") == n, F.get(window_keys(hashes, n), F.lit(0))) for n in range(1, window + 1)])
-    return rows.groupBy("length", "gram").agg(F.collect_set("_item").alias("items")).withColumn("gram_key", by_length)
+    held = [F.collect_set("_item").alias("items"), F.max(F.col("_item").isNull()).alias("nameless")]
+    return rows.groupBy("length", "gram").agg(*held).withColumn("gram_key", by_length)
 
 
 def _at(words: Column, at: Column, length: int) -> Column:
@@ -122,9 +123,9 @@ def union_length(spans: Column) -> Column:
 
 
 def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", most_grams: int = MOST_GRAMS) -> DataFrame:
-    """One row per row of ``docs``: ``key``, n_words, n_hit (words inside found windows), items (sorted item keys).
+    """One row per row of ``docs``: ``key``, n_words, n_hit (words inside found windows), items (sorted item keys), n_items.
 
-    Null texts have no words; rows with a null key and repeated rows are kept and judged one by one; empty tables and a
+    Items with a null key hit like others; they have no place in ``items``, but count as one in ``n_items``. Null texts have no words; rows with a null key and repeated rows are kept and judged one by one; empty tables and a
     benchmark without words give no hits. Only ``key`` and the text are read, so other columns may have any name.
     """
     grams = durable(benchmark_windows(items, item_key))
@@ -133,12 +134,14 @@ def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     grams_of = F.array_distinct(F.transform("_found", lambda f: f["gram"]))
     rows = durable(rows.select("_key", F.xxhash64("_text").alias("_same"), "_n_words", union_length(F.col("_found")).alias("_n_hit"), grams_of.alias("_grams")))
     each = rows.where(F.col("_n_hit") > 0).select("_key", "_same", F.explode("_grams").alias("gram"))
-    each = each.join(grams.select("gram", F.explode("items").alias("_item")), "gram")
+    each = each.join(grams.select("gram", "nameless", F.explode_outer("items").alias("_item")), "gram")
     found = each.groupBy(F.col("_key").alias("_k"), F.col("_same").alias("_s"))
-    found = found.agg(F.array_sort(F.collect_set("_item")).alias("items"))  # at most all test items
+    found = found.agg(F.array_sort(F.collect_set("_item")).alias("items"), F.max(F.col("nameless").cast("long")).alias("_nameless"))  # at most all test items
     out = rows.join(found, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_same") == F.col("_s")), "left")
     none = F.array().cast("array<string>")
-    return out.select(F.col("_key").alias(key), F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.coalesce("items", none).alias("items"))
+    listed = F.coalesce("items", none)
+    n_items = (F.size(listed) + F.coalesce("_nameless", F.lit(0))).cast("long")
+    return out.select(F.col("_key").alias(key), F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), listed.alias("items"), n_items.alias("n_items"))
 
 
 def cleaned(docs: DataFrame, items: DataFrame, remove: str = "documents", text: str = "text", item_key: str = "item_id", most_grams: int = MOST_GRAMS) -> DataFrame:

@@ -84,7 +84,7 @@ def benchmark_hits(docs: list[tuple], items: list[tuple], window: int = 10) -> l
         if w:
             n = min(window, len(w))
             for i in range(len(w) - n + 1):
-                marks[tuple(w[i : i + n])].add(str(key))
+                marks[tuple(w[i : i + n])].add(key)
     out = []
     for d, text in docs:
         w = ITEM_WORD.findall(lowered(text))
@@ -94,5 +94,5 @@ def benchmark_hits(docs: list[tuple], items: list[tuple], window: int = 10) -> l
                 if (m := tuple(w[i : i + n])) in marks:
                     hit.update(range(i, i + n))
                     found |= marks[m]
-        out.append((d, len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)))
+        out.append((d, len(w), len(hit), len(found), sha(",".join(sorted(str(k) for k in found if k is not None))), bool(hit)))
     return out
