@@ -366,56 +366,15 @@ def ingest(
 ) -> tuple[DataFrame, DataFrame]:
     """(file_id, file_extension, text) -> (parents, children): route, split, number, link.
 
-    Routing decides per row; each route is one branch of the plan and reads only its own rows.
+    Files are read and split once, by the splitters that come with the library; ``loading.load`` takes others as well and
+    tells which files failed.
     """
-    routed = files.select("file_id", "file_extension", "text").withColumns(
-        {
-            "splitter": splitter_for(F.col("file_extension")),
-            "language": language_of(F.col("file_extension")),
-            "whole": F.lit(not use_parent) | keeps_whole(F.col("file_extension"), F.length("text"), short_text, bypass),
-        }
-    )
-    no_header = F.lit(None).cast("string")
-    kept = routed.where(F.col("whole")).select(
-        "file_id", "file_extension", F.lit(0).alias("block_index"), F.lit(0).alias("chunk_index"), "text",
-        no_header.alias("header_1"), no_header.alias("header_2"), F.array().cast("array<string>").alias("text_splitters"),
-    )
-    rest = routed.where(~F.col("whole"))
-    plain = split_rows(
-        rest.where(~F.col("splitter").isin("MarkdownTextSplitterAdapter", "HTMLTextSplitterAdapter")),
-        size, overlap, language="language",
-    ).select(
-        "file_id", "file_extension", F.lit(0).alias("block_index"), "chunk_index", "text",
-        no_header.alias("header_1"), no_header.alias("header_2"), F.array("splitter").alias("text_splitters"),
-    )
-    branches = [kept, plain]
-    for name, sections in (
-        ("MarkdownTextSplitterAdapter", lambda d: markdown_sections(d)),
-        ("HTMLTextSplitterAdapter", lambda d: html_sections(d, "file_id", "text")),
-    ):
-        mine = rest.where(F.col("splitter") == name)
-        blocks = structured_parents(sections(mine), size=size, overlap=overlap)
-        branches.append(
-            blocks.join(mine.select("file_id", "file_extension"), "file_id").select(
-                "file_id", "file_extension", "block_index", "chunk_index", "text", "header_1", "header_2",
-                F.array(F.lit(name)).alias("text_splitters"),
-            )
-        )
-    chunks = branches[0]
-    for branch in branches[1:]:
-        chunks = chunks.unionByName(branch)
-    order = Window.partitionBy("file_id").orderBy("block_index", "chunk_index")
-    parents = chunks.withColumn("parent_index", F.row_number().over(order) - 1).select(
-        content_id(F.col("file_id"), F.col("parent_index"), F.col("text")).alias("parent_id"),
-        "file_id", "file_extension", "parent_index", "text", "header_1", "header_2", "text_splitters",
-    )
-    children = split_rows(parents, child_size, child_overlap, index="child_index")
-    children = children.select(
-        content_id(F.col("parent_id"), F.col("child_index"), F.col("text")).alias("child_id"),
-        "parent_id", "file_id", "file_extension", "child_index", "start_index", "text",
-        with_lineage(F.col("text_splitters"), F.lit(CHILD_SPLITTER)).alias("text_splitters"),
+    from corpusloom.operators.loading import load  # which builds on this module
+
+    found = load(
+        files, size=size, overlap=overlap, child_size=child_size, child_overlap=child_overlap, short_text=short_text, bypass=bypass, use_parent=use_parent
     )
-    return parents, children
+    return found.parents(), found.children()
 
 
 def flat_preset(files: DataFrame, size: int = 512, overlap: int = 100) -> DataFrame:

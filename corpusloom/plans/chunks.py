@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import html as H
 from corpusloom.functions.languages import LANGUAGE_OF, SUPPORTED_EXTENSIONS
-from corpusloom.operators import chunking, ranking, registry_ops, sparse
+from corpusloom.operators import chunking, loading, ranking, registry_ops, sparse
 from corpusloom.plans.registry import CHILDREN_SQL, INDEX_SQL, PARENTS_SQL, Tables, bm25_sql, query
 from corpusloom.plans.search import child_index
 
@@ -118,6 +118,63 @@ def ingest_children(t: Tables) -> DataFrame:
     return chunking.ingest(typed_files(t))[1]
 
 
+def strict_lines(source: loading.Source) -> list[loading.Part]:
+    """A splitter of somebody else: groups of ten lines, and no text of more than 3,000 characters."""
+    if len(source.text) > 3000:
+        raise ValueError(f"{len(source.text)} characters")
+    lines = source.text.split("\n")
+    return [loading.Part("\n".join(lines[i : i + 10])) for i in range(0, len(lines), 10)]
+
+
+REGISTRY = loading.STANDARD.register(loading.Splitter("StrictLines", (".py", ".txt"), strict_lines, order=5))
+#: German documents go to the strict splitter; others that are short plain texts are never split.
+REFUSED_SQL = f"""SELECT 'd' || doc_id AS file_id, {EXTENSION_SQL} AS file_extension,
+  CASE WHEN text IS NULL THEN 'no text' ELSE 'ValueError: ' || length(text) || ' characters' END AS error
+  FROM documents WHERE text IS NULL OR length(text) > 3000 AND coalesce(lang, '') NOT IN ('en', 'es')
+  UNION ALL SELECT 'p' || page_id, '.html', 'no text' FROM pages WHERE html IS NULL"""
+
+
+@query("ingest_rejects", REFUSED_SQL)
+def ingest_rejects(t: Tables) -> DataFrame:
+    """Files that a registered splitter refuses."""
+    files = typed_files(t).where(~F.col("file_id").startswith("m"))
+    return loading.load(files, REGISTRY).rejects()
+
+
+@query("ingest_lines", f"""WITH f AS (SELECT 'd' || doc_id AS file_id, text, length(text) < 1500 AS whole FROM documents WHERE lang = 'de' AND length(text) <= 3000),
+l AS (SELECT *, CASE WHEN whole THEN [text] ELSE string_split(text, chr(10)) END AS lines FROM f)
+SELECT file_id, i::INTEGER AS parent_index, array_to_string(lines[i * 10 + 1:i * 10 + 10], chr(10)) AS text, CASE WHEN whole THEN '' ELSE 'StrictLines' END AS splitter
+FROM (SELECT *, unnest(range(0, (len(lines) + 9) // 10)) AS i FROM l)""")
+def ingest_lines(t: Tables) -> DataFrame:
+    """What the registered splitter gives for the files that it takes."""
+    found = loading.load(typed_files(t).where(F.col("file_extension") == ".py"), REGISTRY).parents()
+    return found.select("file_id", "parent_index", "text", F.array_join("text_splitters", ">").alias("splitter"))
+
+
+FILES_SQL = f"""files AS (SELECT 'd' || doc_id AS file_id, {EXTENSION_SQL} AS ext, text FROM documents WHERE text IS NOT NULL)"""
+
+
+@query("ingest_checked", f"""WITH {FILES_SQL} SELECT file_id, true AS numbered, true AS parents_fit, true AS children_fit, true AS children_inside, true AS words_kept FROM files WHERE trim(text) <> ''""")
+def ingest_checked(t: Tables) -> DataFrame:
+    """For each document whether its chunks are sound: numbers without gaps, sizes, children inside parents, no word lost."""
+    docs = typed_files(t).where(F.col("file_id").startswith("d") & F.col("text").isNotNull() & (F.trim("text") != ""))
+    found = loading.load(docs)
+    parents = found.parents().select("file_id", "parent_id", "parent_index", "text", F.size("text_splitters").alias("steps"))
+    children = found.children().select("parent_id", F.col("text").alias("child"), "start_index")
+    inside = children.join(parents.select("parent_id", "text"), "parent_id").groupBy("parent_id").agg(
+        F.max(F.length("child")).alias("longest"), F.bool_and(F.expr("substr(text, start_index + 1, length(child)) = child")).alias("inside")
+    )
+    each = parents.join(inside, "parent_id", "left").groupBy("file_id").agg(
+        (F.max("parent_index") + 1 == F.count("*")).alias("numbered"),
+        F.bool_and((F.length("text") <= chunking.PARENT_SIZE) | (F.col("steps") == 0)).alias("parents_fit"),
+        F.bool_and(F.coalesce("longest", F.lit(0)) <= chunking.CHILD_SIZE).alias("children_fit"), F.bool_and(F.coalesce("inside", F.lit(True))).alias("children_inside"),
+        F.array_distinct(F.flatten(F.collect_list(F.split("text", r"\s+")))).alias("words"),
+    )
+    whole = docs.select("file_id", F.array_distinct(F.split(F.regexp_replace("text", "<[^>]*>", " "), r"\s+")).alias("wanted"))
+    lost = F.size(F.array_except(F.array_remove("wanted", ""), "words"))
+    return each.join(whole, "file_id").select("file_id", "numbered", "parents_fit", "children_fit", "children_inside", (lost == 0).alias("words_kept"))
+
+
 # --- web pages -----------------------------------------------------------------------------------------------
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,13 +147,26 @@ def publish(staged: dict[str, DataFrame], root: str, version: str) -> dict[str,
     for name, df in staged.items():
         df.write.mode("errorifexists").parquet(paths[name])
     spark = next(iter(staged.values())).sparkSession
-    pointer = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at"))
-    pointer.write.mode("append").parquet(f"{root.rstrip('/')}/published")
+    folder = f"{root.rstrip('/')}/published"
+    try:
+        last = spark.read.schema(POINTER).parquet(folder).agg(F.max("number")).first()[0] or 0
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        last = 0
+    spark.createDataFrame([(version, last + 1)], POINTER).write.mode("append").parquet(folder)
     return paths
 
 
+#: Which version was published when, by a number that grows with each; no clock is asked.
+POINTER = "version string, number long"
+
+
 def published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The table of the version published last. Publishing adds one pointer and removes none, so there is always one."""
-    pointers = spark.read.schema("version string, at timestamp").parquet(f"{root.rstrip('/')}/published")
-    version = pointers.agg(F.max_by("version", "at")).first()[0]
+    """The table of the version published last. Publishing adds one pointer and removes none, so there is always one.
+
+    Two drivers that publish at the same moment may take the same number; of those the larger version counts.
+    """
+    pointers = spark.read.schema(POINTER).parquet(f"{root.rstrip('/')}/published")
+    version = pointers.agg(F.max_by("version", F.struct("number", "version"))).first()[0]
     return spark.read.parquet(f"{root.rstrip('/')}/version={version}/{name}")
