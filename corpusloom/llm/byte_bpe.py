@@ -9,13 +9,14 @@ from __future__ import annotations
 import base64
 import json
 import os
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm.columns import durable
 
@@ -26,7 +27,7 @@ SAME_MATCHES = r""" ?\p{L}+| ?\p{N}+|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]+|\s+
 FOLDER = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Words that are encoded once for the whole table, the most frequent first; all others where they stand.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 19
 #: Longer words (in bytes) are never among them, which bounds the size of that table.
 LONGEST = 64
 
@@ -224,49 +225,93 @@ def word_ids(word: Column, table: RankMap) -> Column:
     return F.transform(folded, lambda x: ident(x).cast("int"))
 
 
-def known_words(docs: DataFrame, table: RankMap, ranks: Mapping[bytes, int], text: str, pattern: str, most: int) -> tuple[Column, int]:
-    """The ids of the ``most`` most frequent words of at most ``LONGEST`` bytes, each encoded once, as one literal.
+def known_words(docs: DataFrame, table: RankMap, ranks: Mapping[bytes, int], text: str, pattern: str, most: int) -> DataFrame:
+    """(word, ids) of the ``most`` most frequent words of at most ``LONGEST`` bytes, each encoded once.
 
-    Counted over all documents, with sums inside the tasks before the shuffle. What comes to the driver is bounded by
-    ``most`` times ``LONGEST``. A word that is a piece has that piece's id; pieces that the merges of their own bytes do
-    not give are therefore listed too, whether they are frequent or not. The literal is an array of small maps, a
-    word's place in it the last bits of its hash; its size comes second.
+    Counted over all documents, with sums inside the tasks before the shuffle. A word that is a piece has that piece's
+    id, whether or not the merges of its own bytes give it; all such words are listed too, frequent or not. So the table
+    has at most ``most`` rows and those of the vocabulary, each of at most ``LONGEST`` bytes and as many ids.
     """
-    spark = docs.sparkSession
     each = docs.select(F.explode(words(F.col(text), pattern)).alias("word")).where(F.octet_length("word") <= LONGEST)
     counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     own = [(word, rank) for piece, rank in ranks.items() if (word := piece.decode(errors="ignore")).encode() == piece]
-    pieces = spark.createDataFrame(pa.table({"word": [w for w, _ in own], "rank": pa.array([r for _, r in own], pa.int32())}))
-    top = counts.where(F.col("n") > 1).orderBy(F.desc("n"), "word").limit(most).select("word")
-    spread = durable(top).unionByName(pieces.select("word")).distinct().join(F.broadcast(pieces), "word", "left")  # one row per piece of the vocabulary
+    pieces = docs.sparkSession.createDataFrame(pa.table({"word": [w for w, _ in own], "rank": pa.array([r for _, r in own], pa.int32())}))
+    top = durable(counts.where(F.col("n") > 1).orderBy(F.desc("n"), "word").limit(most).select("word"))
+    spread = top.unionByName(pieces.select("word")).distinct().join(F.broadcast(pieces), "word", "left")  # one row per piece of the vocabulary
     folded = table.bound(lambda t: word_ids(F.col("word"), t))
-    wanted = durable(spread.select("word", F.when(F.col("rank").isNotNull(), F.array("rank")).otherwise(folded).alias("ids")))
-    size = 1 << max(wanted.count() - 1, 1).bit_length() - 1
-    entry = F.map_from_entries(F.collect_list(F.struct("word", "ids")))
-    maps = ["{}"] * size
-    for place, text in wanted.groupBy(F.hash("word").bitwiseAND(F.lit(size - 1))).agg(F.to_json(entry)).toArrow().to_pandas().itertuples(index=False):
-        maps[place] = text
-    return F.from_json(F.lit(f"[{','.join(maps)}]"), "array<map<string,array<int>>>"), size
+    return durable(spread.select("word", F.when(F.col("rank").isNotNull(), F.array("rank")).otherwise(folded).alias("ids")))
 
 
 def encoded(
-    docs: DataFrame, ranks: Mapping[bytes, int], text: str = "text", ids: str = "ids", pattern: str = PATTERN, most: int = FREQUENT, table: RankMap | None = None
+    docs: DataFrame, ranks: Mapping[bytes, int], text: str = "text", ids: str = "ids", keep: Sequence[str] = (), pattern: str = PATTERN,
+    most: int = FREQUENT, table: RankMap | None = None,
 ) -> DataFrame:
-    """``docs`` with an array of the token ids of the whole text, as the ``tiktoken`` library encodes ordinary text.
+    """The columns ``keep`` of ``docs`` and an array of the token ids of each whole text, as the ``tiktoken`` library
+    encodes ordinary text.
 
-    The words of all documents are counted; the most frequent are encoded once and looked up in a literal map, all
-    others are encoded where they stand, so that no text is shuffled and no word is a hot key. A null or empty text has
-    no ids. Rows are handled one by one: repeated rows and null keys stay as they are. A column called like ``ids`` is
-    replaced. White space, letters and numbers are those of the Unicode version of the Java runtime.
+    The words of all documents are counted; the most frequent are encoded once and go to all tasks as a hash table of
+    bounded size, all others are encoded where they stand, so that no text is shuffled and no word is a hot key. A null
+    or empty text has no ids. Rows are handled one by one: repeated rows and null keys stay as they are. White space,
+    letters and numbers are those of the Unicode version of the Java runtime.
     """
     table = table or rank_map(ranks)
-    known, size = known_words(docs, table, ranks, text, pattern, most)
-
-    def ids_of(maps: Column, bound: RankMap) -> Column:
-        found = lambda w: F.get(maps, F.hash(w).bitwiseAND(F.lit(size - 1)))[w]
-        return F.flatten(F.transform(words(F.col(text), pattern), lambda w: F.coalesce(found(w), word_ids(w, bound))))
-
-    return docs.withColumn(ids, table.bound(lambda bound: let(known, lambda maps: ids_of(maps, bound))))
+    known = known_words(docs, table, ranks, text, pattern, most).select(F.col("word").alias("_known"), F.col("ids").alias("_ids"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], words(F.col(text), pattern).alias("_words"))
+    names = [c for c in rows.columns if c != "_words"]
+    each = rows.select(*names, F.posexplode_outer("_words").alias("_at", "_word"))
+    each = each.join(F.broadcast(known), F.col("_word") == F.col("_known"), "left")  # of bounded size, see known_words
+    none = F.array().cast("array<int>")
+    own = table.bound(lambda t: F.when(F.col("_word").isNull(), none).otherwise(F.coalesce("_ids", word_ids(F.col("_word"), t))))
+    found = _together(each.select(*names, F.coalesce("_at", F.lit(0)).alias("_at"), own.alias("_ids")), names)
+    return found.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], F.col("_ids").alias(ids))
+
+
+def _together(each: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One row for the words of each text, which come one after the other: their ids in one array.
+
+    Neither taking an array apart nor a join with a broadcast table changes the order of rows; should words ever come in
+    another order, that is an error.
+    """
+    out = T.StructType([each.schema[c] for c in names]).add("_ids", T.ArrayType(T.IntegerType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, held, at = None, None, -1  # the text being put together, its columns and ids, the place of its last word
+        parts: list[np.ndarray] = []
+
+        def finished() -> pa.RecordBatch:
+            flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+            return pa.RecordBatch.from_arrays([*held, pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat, pa.int32()))], names=out.names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch.column("_row").to_numpy()
+            places, lists = batch.column("_at").to_numpy(), batch.column("_ids")
+            ends = lists.offsets.to_numpy()
+            flat = lists.values.to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.diff(rows, prepend=rows[0] - 1))
+            fresh = np.zeros(len(rows), bool)
+            fresh[starts] = True
+            fresh[0] = rows[0] != row
+            before = np.concatenate([[at], places[:-1]])
+            if (places != np.where(fresh, 0, before + 1)).any():
+                raise RuntimeError("the words of a text came out of order")
+            cuts = np.append(starts, len(rows))
+            done: list[pa.RecordBatch] = []
+            for a, b in zip(cuts, cuts[1:]):
+                if fresh[a]:
+                    if held is not None:
+                        done.append(finished())
+                    row, parts = rows[a], []
+                    held = [batch.column(c).slice(a, 1) for c in names]
+                parts.append(flat[ends[a] : ends[b]])
+            at = int(places[-1])
+            if done:
+                yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
+        if held is not None:
+            yield finished()
+
+    return each.mapInArrow(run, out)
 
 
 def decoded(ids: Column, table: RankMap) -> Column:
@@ -277,7 +322,7 @@ def decoded(ids: Column, table: RankMap) -> Column:
         F.raise_error(F.lit("an id has no piece")).cast("binary")))
 
 
-def round_trip(docs: DataFrame, ranks: Mapping[bytes, int], text: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` and, decoded from them, ``bytes`` (binary); columns called like these are replaced."""
+def round_trip(docs: DataFrame, ranks: Mapping[bytes, int], keep: Sequence[str], text: str = "text") -> DataFrame:
+    """The columns ``keep`` of ``docs``, the ``ids`` of its texts and the ``bytes`` (binary) that these decode to."""
     table = rank_map(ranks)
-    return encoded(docs, ranks, text, table=table).withColumn("bytes", decoded(F.col("ids"), table))
+    return encoded(docs, ranks, text, keep=keep, table=table).withColumn("bytes", decoded(F.col("ids"), table))

@@ -182,7 +182,7 @@ def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
     from corpusloom.llm.byte_bpe import VOCABULARY, read_ranks, round_trip
 
-    rows = round_trip(table(spark, folder, "documents"), read_ranks(public_tokenizers.path(VOCABULARY)))
+    rows = round_trip(table(spark, folder, "documents"), read_ranks(public_tokenizers.path(VOCABULARY)), ["doc_id"])
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 

@@ -24,14 +24,18 @@ def ranks(request):
     return byte_bpe.read_ranks(public_tokenizers.path(request.param))
 
 
-def check(docs, ranks, **options):
+def check(spark, texts, ranks, **options):
+    """Every text under a number of its own, with columns whose names clash."""
+    docs = spark.createDataFrame([(i, t, "clash", b"clash", 1) for i, t in enumerate(texts)], "no long, text string, ids string, bytes binary, _row int")
     table = byte_bpe.rank_map(ranks)
-    rows = byte_bpe.encoded(docs, ranks, table=table, **options).withColumn("bytes", byte_bpe.decoded(F.col("ids"), table)).collect()
+    rows = byte_bpe.encoded(docs, ranks, keep=["no", "_row"], table=table, **options).withColumn("bytes", byte_bpe.decoded(F.col("ids"), table)).collect()
     encode = library(ranks)
     for row in rows:
-        assert row["ids"] == encode(row["text"] or ""), row["text"]
-        assert bytes(row["bytes"]) == (row["text"] or "").encode()
-    return rows
+        text = texts[row["no"]] or ""
+        assert row["ids"] == encode(text), text
+        assert bytes(row["bytes"]) == text.encode()
+    assert sorted(r["no"] for r in rows) == list(range(len(texts)))
+    assert byte_bpe.encoded(docs.limit(0), ranks, keep=["no"], table=table).collect() == []
 
 
 HARD = [
@@ -46,22 +50,19 @@ def test_hard_texts(spark, ranks, most):
     draw = random.Random(7)
     signs = "abeothn  '\n0é日ßx🙂.,ab"
     texts = [None, *HARD, *HARD[:3], *("".join(draw.choice(signs) for _ in range(draw.randrange(1, 90))) for _ in range(300))]
-    rows = [(i if i % 7 else None, text, "clash", b"clash") for i, text in enumerate(texts)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, bytes binary")
-    assert len(check(docs, ranks, most=most)) == len(texts)
-    assert check(docs.limit(0), ranks, most=most) == []
+    check(spark, texts, ranks, most=most)
 
 
 def test_pieces_that_merges_do_not_give(spark):
     """The library looks a whole word up first; "abc" is a piece here that the merges of its bytes cannot give."""
     ranks = {bytes([b]): b for b in range(256)} | {b"bc": 256, b"ab": 257, b"abc": 300, b"bcd": 258, b" a": 301, b"aa": 302, b"aaa": 260}
     texts = ["abc", "abcd", "ab", " abc abc abcd", "aaaaaaa aaaa", "abcabc"]
-    check(spark.createDataFrame([(t,) for t in texts], "text string"), ranks)
-    check(spark.createDataFrame([(t,) for t in texts], "text string"), ranks, most=0)
+    check(spark, texts, ranks)
+    check(spark, texts, ranks, most=0)
 
 
 def test_long_text(spark, ranks):
-    check(spark.createDataFrame([("Some words of a märchen, repeated. " * 20_000,)], "text string"), ranks, most=2)
+    check(spark, ["Some words of a märchen, repeated. " * 20_000, "x", "y " * 70_000, None], ranks, most=2)
 
 
 def test_places_are_distinct(spark):
