@@ -238,8 +238,8 @@ def known_words(docs: DataFrame, table: RankMap, ranks: Mapping[bytes, int], tex
     pieces = docs.sparkSession.createDataFrame(pa.table({"word": [w for w, _ in own], "rank": pa.array([r for _, r in own], pa.int32())}))
     top = durable(counts.where(F.col("n") > 1).orderBy(F.desc("n"), "word").limit(most).select("word"))
     spread = top.unionByName(pieces.select("word")).distinct().join(F.broadcast(pieces), "word", "left")  # one row per piece of the vocabulary
-    folded = table.bound(lambda t: word_ids(F.col("word"), t))
-    return durable(spread.select("word", F.when(F.col("rank").isNotNull(), F.array("rank")).otherwise(folded).alias("ids")))
+    ids = F.when(F.col("rank").isNotNull(), F.array("rank")).otherwise(table.bound(lambda t: word_ids(F.col("word"), t)))
+    return durable(spread.select("word", ids.alias("ids")))
 
 
 def encoded(
@@ -261,7 +261,8 @@ def encoded(
     each = rows.select(*names, F.posexplode_outer("_words").alias("_at", "_word"))
     each = each.join(F.broadcast(known), F.col("_word") == F.col("_known"), "left")  # of bounded size, see known_words
     none = F.array().cast("array<int>")
-    own = table.bound(lambda t: F.when(F.col("_word").isNull(), none).otherwise(F.coalesce("_ids", word_ids(F.col("_word"), t))))
+    other = table.bound(lambda t: word_ids(F.col("_word"), t))
+    own = F.when(F.col("_word").isNull(), none).otherwise(F.coalesce("_ids", other))
     found = _together(each.select(*names, F.coalesce("_at", F.lit(0)).alias("_at"), own.alias("_ids")), names)
     return found.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], F.col("_ids").alias(ids))
 
