@@ -224,6 +224,13 @@ def stream_daily(t: Tables) -> DataFrame:
     return jobs.run_daily(t.spark, t.folder)
 
 
+@query("stream_daily_closed", f"""WITH {RECORDS_SQL} SELECT strftime(request_created_at, '%Y-%m-%d') AS event_date, query_type, count(*) AS requests, round(avg(latency_ms), 6) AS latency_mean
+FROM records WHERE date_trunc('day', request_created_at) + INTERVAL 1 DAY <= (SELECT max(request_created_at) FROM records) - INTERVAL 1 HOUR GROUP BY ALL""")
+def stream_daily_closed(t: Tables) -> DataFrame:
+    """Append mode: days whose end the watermark has passed."""
+    return jobs.run_daily_closed(t.spark, t.folder)
+
+
 @query("stream_dedupe", "SELECT event_id::VARCHAR AS request_id, event_type AS query_type, value AS latency_ms FROM events")
 def stream_dedupe(t: Tables) -> DataFrame:
     """The log sent twice arrives once."""

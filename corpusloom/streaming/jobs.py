@@ -8,23 +8,26 @@ table, which is how tests and registered queries use them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from corpusloom.operators import online
+from corpusloom.operators.registry_ops import latest
 from corpusloom.sources.tables import scratch
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 TURN_SCHEMA = "conv_id long, turn long, role string, text string"
 
 
-def source(spark: SparkSession, folder: str, table: str = "events", schema: str = EVENT_SCHEMA) -> DataFrame:
-    """Files of one table as a stream."""
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+def source(spark: SparkSession, folder: str, table: str = "events", schema: str = EVENT_SCHEMA, files_at_once: int | None = None) -> DataFrame:
+    """Files of one table as a stream, on request so many in a batch."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet")
+    if files_at_once:
+        reader = reader.option("maxFilesPerTrigger", files_at_once)
+    rows = reader.parquet(folder)
     return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
 
 
@@ -47,11 +50,16 @@ def request_summaries(events: DataFrame) -> DataFrame:
 
 
 def daily(records: DataFrame, delay: str = "1 hour", slide: str | None = None) -> DataFrame:
-    """Requests and mean latency per day and type; rows later than the watermark are dropped and counted by Spark."""
+    """Requests and mean latency per day and type; rows later than the watermark are dropped and counted by Spark.
+
+    With ``slide`` windows of a day begin at every such step and ``window_start`` tells them apart. In append mode a window
+    comes out once, when the watermark has passed its end, and its state is freed; in complete mode all of them stay.
+    """
     window = F.window("request_created_at", "1 day", slide) if slide else F.window("request_created_at", "1 day")
     grouped = records.withWatermark("request_created_at", delay).groupBy(window.alias("w"), "query_type")
+    started = [F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start")] if slide else []
     return grouped.agg(F.count("*").alias("requests"), F.round(F.avg("latency_ms"), 6).alias("latency_mean")).select(
-        F.date_format("w.start", "yyyy-MM-dd").alias("event_date"), "query_type", "requests", "latency_mean"
+        F.date_format("w.start", "yyyy-MM-dd").alias("event_date"), *started, "query_type", "requests", "latency_mean"
     )
 
 
@@ -76,47 +84,79 @@ def records_with_summaries(records: DataFrame, summaries: DataFrame, within: str
     return left.join(right, bound).drop("_id")
 
 
-class PendingQuestion(StatefulProcessor):
-    """Pairs each answer with the latest unanswered question of its conversation."""
+def paired(turns: list[tuple[int, str]]) -> dict[int, int]:
+    """Answer -> question over turns in order: each question is answered by the first answer after it."""
+    waiting, found = None, {}
+    for turn, role in turns:
+        if role == "user":
+            waiting = turn
+        elif waiting is not None:
+            found[turn] = waiting
+            waiting = None
+    return found
+
+
+class Pairing(StatefulProcessor):
+    """Pairs each answer with the latest unanswered question of its conversation, in whatever order the turns arrive.
+
+    The state holds a role per turn, no texts. Turns that come late may change pairs told before; so what comes out are
+    changes: a pair that holds now, or an answer that has lost its question.
+    """
+
+    def __init__(self, ttl_ms: int | None) -> None:
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pending = handle.getValueState("pending", "turn long")
+        self.turns = handle.getMapState("turns", "turn long", "role string", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        turns = pd.concat(list(rows)).sort_values("turn")
-        waiting = self.pending.get()[0] if self.pending.exists() else None
-        pairs = []
-        for turn, role in zip(turns["turn"], turns["role"]):
-            if role == "user":
-                waiting = int(turn)
-            elif role == "assistant" and waiting is not None:
-                pairs.append((key[0], waiting, int(turn)))
-                waiting = None
-        if waiting is None:
-            self.pending.clear()
-        else:
-            self.pending.update((waiting,))
-        yield pd.DataFrame(pairs, columns=["conv_id", "user_turn", "ai_turn"])
+        known = {k[0]: v[0] for k, v in self.turns.iterator()} if self.turns.exists() else {}
+        before = paired(sorted(known.items()))
+        for some in rows:
+            for turn, role in zip(some["turn"], some["role"]):
+                if pd.notna(turn) and role in ("user", "assistant"):
+                    known[int(turn)] = role
+                    self.turns.updateValue((int(turn),), (role,))
+        after = paired(sorted(known.items()))
+        changed = [(key[0], turn, after.get(turn)) for turn in sorted(before.keys() | after.keys()) if before.get(turn) != after.get(turn)]
+        yield pd.DataFrame(changed, columns=["conv_id", "ai_turn", "user_turn"]).astype({"user_turn": "Int64"})
 
     def close(self) -> None:
         pass
 
 
-def pairs(turns: DataFrame) -> DataFrame:
-    """Streaming twin of the batch pairing; the state is one number per conversation."""
-    return turns.groupBy("conv_id").transformWithStateInPandas(
-        PendingQuestion(), "conv_id long, user_turn long, ai_turn long", "append", "none"
-    )
+def pairs(turns: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Streaming twin of the batch pairing: changes (conv_id, ai_turn, user_turn), the last of each answer holds; null: none.
+
+    With ``ttl_ms`` turns are forgotten so long after they came, which bounds the state on an endless stream; turns that
+    come later still are paired among themselves.
+    """
+    time_mode = "none" if ttl_ms is None else "processingTime"
+    return turns.groupBy("conv_id").transformWithStateInPandas(Pairing(ttl_ms), "conv_id long, ai_turn long, user_turn long", "update", time_mode)
 
 
 # --- sinks and drivers ---------------------------------------------------------------------------------------
 
 
-def drain(stream: DataFrame, mode: str, write) -> None:
+@dataclass(frozen=True)
+class Drained:
+    """What a run tells of itself: batches, rows that came too late, and rows of state it held at most and at last."""
+
+    batches: int
+    late: int
+    most_state: int
+    state: int
+
+
+def drain(stream: DataFrame, mode: str, write) -> Drained:
     """Run a stream until its present input is used up."""
     spark = stream.sparkSession
     job = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start()
     job.awaitTermination()
+    told = list(job.recentProgress)
+    states = [sum(o.numRowsTotal for o in p.stateOperators) for p in told] or [0]
+    late = sum(o.numRowsDroppedByWatermark for p in told for o in p.stateOperators)
+    return Drained(len(told), late, max(states), states[-1])
 
 
 def overwriting(path: str):
@@ -138,38 +178,23 @@ def appending(path: str, *by: str):
     return write
 
 
-BUCKETS = 64
-
-
-def _bucketed(rows: DataFrame, key: str) -> DataFrame:
-    return rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
-
-
-def current_rows(table: DataFrame, before: int | None = None) -> DataFrame:
-    """Rows of each bucket's newest version (older than ``before``). Only partition values decide, so old files are not read."""
-    versions = table if before is None else table.where(F.col("v") < before)
-    newest = versions.groupBy("bucket").agg(F.max("v").alias("v"))
-    return versions.join(F.broadcast(newest), ["bucket", "v"])  # at most one row per bucket
+def current_rows(table: DataFrame) -> DataFrame:
+    """The newest row of each key among all batches of ``upserting``, found by a maximum that starts inside the tasks."""
+    columns = [c for c in table.columns if c not in ("_key", "_order", "batch_id")]
+    rows = latest(table.select("_key", F.struct("_order", "batch_id").alias("_at"), *columns), ["_key"], ["_at"])
+    return rows.select(*columns)
 
 
 def upserting(path: str, key: str, order: list[str]):
-    """Keyed upsert that rewrites only the buckets a batch touches.
+    """Keyed last write wins: each batch adds its newest row per key under its number, readers take the newest of all.
 
-    A batch writes the next version of those buckets under its own number; readers take each bucket's newest version.
-    A batch that is retried writes the same files again, and a version is never changed once a later batch reads it.
+    A batch that is retried replaces its own earlier attempt; an older change that comes late loses. Nothing is rewritten:
+    merging old batches away is left to the table format that the path may be in.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        newest = _bucketed(online.latest(batch, [key], order), key)
-        schema = T.StructType([*newest.schema.fields, T.StructField("v", T.IntegerType())])
-        if batch_id > 0:
-            stored = current_rows(spark.read.schema(schema).parquet(path), before=batch_id).drop("v")
-            touched = F.broadcast(newest.select("bucket").distinct())  # at most one row per bucket
-            kept = stored.join(touched, "bucket", "left_semi")
-            newest = online.latest(kept.select(*newest.columns).unionByName(newest), [key], order)  # an older change that comes late loses
-        rows = newest.withColumn("v", F.lit(batch_id))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "v").parquet(path)
+        newest = latest(batch, [key], order).select(*batch.columns)
+        appending(path)(newest.withColumns({"_key": F.col(key), "_order": F.struct(*order)}), batch_id)
 
     return write
 
@@ -180,6 +205,13 @@ def run_daily(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def run_daily_closed(spark: SparkSession, folder: str) -> DataFrame:
+    """Days that are over by the watermark, each written once."""
+    path = scratch(spark)
+    drain(daily(request_records(source(spark, folder))), "append", appending(path))
+    return spark.read.parquet(path).drop("batch_id")
+
+
 def run_sessions(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch(spark)
     drain(sessions(request_records(source(spark, folder))), "complete", overwriting(path))
@@ -216,20 +248,25 @@ def run_upsert(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch(spark)
     rows = source(spark, folder).select(F.col("user_id").cast("string").alias("conversation_id"), F.col("event_id").alias("last_event"), F.col("value").alias("latency_ms"))
     drain(rows, "append", upserting(path, "conversation_id", ["last_event"]))
-    return current_rows(spark.read.parquet(path)).drop("bucket", "v")
+    return current_rows(spark.read.parquet(path))
 
 
-def run_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    path = scratch(spark)
-    turns = source(spark, folder, "conversations", TURN_SCHEMA).select("conv_id", "turn", "role")
-    provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def drain_pairs(turns: DataFrame, path: str, ttl_ms: int | None = None) -> DataFrame:
+    """Run the pairing over a stream of turns and read the pairs that hold in the end."""
+    spark, name = turns.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)  # map state needs a store with column families
     try:
-        drain(pairs(turns), "append", appending(path))
+        drain(pairs(turns, ttl_ms), "update", appending(path))
     finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    return spark.read.parquet(path).drop("batch_id")
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    changes = spark.read.schema("conv_id long, ai_turn long, user_turn long, batch_id int").parquet(path)
+    return latest(changes, ["conv_id", "ai_turn"], ["batch_id"]).where(F.col("user_turn").isNotNull()).select("conv_id", "user_turn", "ai_turn")
+
+
+def run_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    turns = source(spark, folder, "conversations", TURN_SCHEMA).select("conv_id", "turn", "role")
+    return drain_pairs(turns, scratch(spark))
