@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import record, strip
+from corpusloom.functions.text import let, record, strip
 
 # The known types in their order, and the cue patterns.
 QUERY_TYPES = ("single_hop_specific", "single_hop_abstract", "multi_hop_specific", "multi_hop_abstract")
@@ -41,6 +41,26 @@ def stated_or(value: Column, derived: Column) -> Column:
     return F.when(stated.isin("", "unknown"), derived).otherwise(stated)
 
 
+def text_or_list(value: Column) -> Column:
+    """Texts of a JSON value that is one text or a list of them: an array, empty for null, "", false, 0 and what is no JSON.
+
+    Numbers and true count as texts, on their own or in a list; nulls in a list are left out; an object stands for its keys in alphabetical order.
+    """
+    none = F.array().cast("array<string>")
+
+    def read(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        text = F.try_variant_get(v, "$", "string")
+        listed = F.array_compact(F.try_variant_get(v, "$", "array<string>"))
+        empty = (text == "") | (text.isin("0", "false") & (kind != "STRING"))
+        return (
+            F.when(kind.startswith("ARRAY"), listed).when(kind.startswith("OBJECT"), F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")))
+            .when(text.isNotNull() & ~empty, F.array(text)).otherwise(none)
+        )
+
+    return F.coalesce(let(F.try_parse_json(value), read), none)
+
+
 def ordered_unique(values: Column) -> Column:
     """Trimmed, without blanks, first occurrence kept."""
     trimmed = F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: strip(x))

@@ -131,6 +131,22 @@ def evidence_counts(t: Tables) -> DataFrame:
     return hopped(t).select("sample_id", *[c.alias(n) for n, c in counts.items()])
 
 
+@query("text_or_list", """WITH j AS (SELECT doc_id, doc_id % 5 AS form, source, lang, n_chars FROM documents),
+v AS (SELECT doc_id, CASE form WHEN 0 THEN [source] WHEN 1 THEN [lang, ' ' || source, '', lang, n_chars::VARCHAR] WHEN 2 THEN [n_chars::VARCHAR] WHEN 3 THEN ['keys', 'only'] ELSE [] END AS vs FROM j),
+t AS (SELECT doc_id, list_filter(list_transform(vs, lambda x: trim(x)), lambda x: x IS NOT NULL AND x <> '') AS vs FROM v)
+SELECT doc_id, array_to_string(list_filter(vs, lambda x, i: list_position(vs, x) = i), '|') AS file_ids, len(list_distinct(vs)) AS n FROM t""")
+def text_or_list(t: Tables) -> DataFrame:
+    """One column of JSON in which an id list is a text, a list, a number, an object, or nothing that can be read."""
+    d, form = t.documents, F.col("doc_id") % 5
+    several = F.array("lang", F.concat(F.lit(" "), "source"), F.lit(""), "lang", F.col("n_chars").cast("string"))
+    stated = (
+        F.when(form == 0, F.concat(F.lit('"'), "source", F.lit('"'))).when(form == 1, F.to_json(several)).when(form == 2, F.col("n_chars").cast("string"))
+        .when(form == 3, F.lit('{"only": 1, "keys": ["x"]}')).otherwise(F.lit("{broken"))
+    )
+    ids = Q.ordered_unique(Q.text_or_list(stated))
+    return d.select("doc_id", F.array_join(ids, "|").alias("file_ids"), F.size(ids).cast("long").alias("n"))
+
+
 @query("evidence_topology", f"""WITH {SAMPLES_SQL} SELECT sample_id, CASE WHEN len(list_distinct(scope_file_ids)) >= 2 THEN 'multi_file' WHEN len(reference_doc_ids) >= 2 THEN 'multi_doc_same_file' ELSE 'single_doc' END AS evidence_topology FROM samples""")
 def evidence_topology(t: Tables) -> DataFrame:
     return normal(t).select("sample_id", Q.topology(F.col("reference_doc_ids"), F.col("scope_file_ids")).alias("evidence_topology"))

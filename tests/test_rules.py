@@ -149,3 +149,14 @@ def test_mmr_keeps_scopes_apart(spark):
     rows = dense.mmr_search(queries, vectors, 3, 5, part=["part"]).collect()
     lists = {s: [r["child_id"] for r in sorted(rows, key=lambda r: r["rank"]) if r["part"] == s] for s in "ab"}
     assert len(rows) == 6 and all(len(set(v)) == 3 for v in lists.values()) and lists["a"] == lists["b"]
+
+
+def test_text_or_list(spark):
+    from corpusloom.functions.querytype import text_or_list
+
+    told = {
+        '"a"': ["a"], '["a"," b","",null,5,1.5,true]': ["a", " b", "", "5", "1.5", "true"], "null": [], '""': [], "0": [], "7": ["7"], "false": [], "true": ["true"],
+        '"0"': ["0"], '"false"': ["false"], '{"y":1,"x":[2]}': ["x", "y"], "[]": [], "not json": [], '[["n"],{"k":1}]': ['["n"]', '{"k":1}'], '"é \\" ü"': ['é " ü'],
+    }
+    rows = spark.createDataFrame([(j,) for j in told] + [(None,)], "j string").select("j", text_or_list(F.col("j")).alias("a")).collect()
+    assert {r["j"]: r["a"] for r in rows} == {**told, None: []}
