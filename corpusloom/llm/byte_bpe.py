@@ -31,6 +31,8 @@ FREQUENT = 1 << 17
 LONGEST = 64
 
 BYTES = "ISO-8859-1"
+#: Types of ids and of the state of the fold.
+IDS, STATE = "array<int>", "array<bigint>"
 #: Bits of an id or rank; the highest rank stands for "no piece".
 BITS = 18
 NONE = (1 << BITS) - 1
@@ -49,13 +51,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return ranks
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once.
+def let(value: Column, kind: str, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, which is of type ``kind``, with ``value`` evaluated once.
 
-    The value goes through an array of one element, whose largest is taken: unlike taking the first, that does not make
-    Spark work out the type of the whole body again for each row.
+    The value goes through a fold over one element. That neither copies results nor makes Spark work out the type of the
+    whole body for each row, as taking the element of an array does.
     """
-    return F.array_max(F.transform(F.array(value), body))
+    return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, x: body(x))
 
 
 def _literal(values: Sequence, kind: str) -> Column:
@@ -82,7 +84,7 @@ class RankMap:
 
     def bound(self, body: Callable[[RankMap], Column]) -> Column:
         """``body`` with a map whose literals are bound once per row, so that a task holds each of them once."""
-        return let(self.entries, lambda e: let(self.masks, lambda s: let(self.singles, lambda b: let(self.doubles, lambda d: body(
+        return let(self.entries, IDS, lambda e: let(self.masks, IDS, lambda s: let(self.singles, IDS, lambda b: let(self.doubles, IDS, lambda d: body(
             replace(self, entries=e, masks=s, singles=b, doubles=d)
         )))))
 
@@ -96,7 +98,8 @@ class RankMap:
             return F.when(F.shiftright(found, BITS) == key, found.bitwiseAND(F.lit(NONE).cast("long")))
 
         key = F.shiftleft(left, BITS).bitwiseOR(right)
-        ranked = let(key, lambda k: let(let(F.hash(k.bitwiseOR(F.lit(self.salt).cast("long"))), entry), lambda e: rank_in(k, e)))
+        entry_of = lambda k: let(F.hash(k.bitwiseOR(F.lit(self.salt).cast("long"))), "bigint", entry)
+        ranked = let(key, "bigint", lambda k: let(entry_of(k), "bigint", lambda e: rank_in(k, e)))
         return F.coalesce(ranked, F.lit(NONE).cast("long"))
 
 
@@ -207,20 +210,20 @@ def word_ids(word: Column, table: RankMap) -> Column:
                 before = F.get(state, i - 2)
                 here = packed(table.rank(both, ident(F.get(state, i + 1))), place(low), both)
                 left = packed(table.rank(ident(before), both), place(before), ident(before))
-                return let(here, lambda h: let(left, lambda l: changed(i, before, l, h)))
+                return let(here, STATE, lambda h: let(left, STATE, lambda l: changed(i, before, l, h)))
 
             def changed(i: Column, before: Column, left: Column, here: Column) -> Column:
                 others = F.array_remove(F.array_remove(state, F.get(state, i)), low)
                 linked = F.when(i == 1, others).otherwise(F.array_insert(F.array_remove(others, before), i - 1, left))
                 return F.array_insert(linked, i, here)
 
-            return let(F.array_position(state, low).cast("int"), at)
+            return let(F.array_position(state, low).cast("int"), STATE, at)
 
-        return let(F.array_min(state), lambda low: F.when(low >= bits(NONE << (BITS + PLACE)), state).otherwise(join(low)))
+        return let(F.array_min(state), STATE, lambda low: F.when(low >= bits(NONE << (BITS + PLACE)), state).otherwise(join(low)))
 
     # A byte is held as the character of the same number.
     codes = F.transform(F.split(F.decode(word.cast("binary"), BYTES), ""), lambda c: F.ascii(c))
-    folded = let(let(codes, start), lambda first: F.aggregate(first, first, step))
+    folded = let(let(codes, STATE, start), STATE, lambda first: F.aggregate(first, first, step))
     return F.transform(folded, lambda x: ident(x).cast("int"))
 
 
@@ -266,14 +269,14 @@ def encoded(
         found = lambda w: F.get(maps, F.hash(w).bitwiseAND(F.lit(size - 1)))[w]
         return F.flatten(F.transform(words(F.col(text), pattern), lambda w: F.coalesce(found(w), word_ids(w, bound))))
 
-    return docs.withColumn(ids, table.bound(lambda bound: let(known, lambda maps: ids_of(maps, bound))))
+    return docs.withColumn(ids, table.bound(lambda bound: let(known, IDS, lambda maps: ids_of(maps, bound))))
 
 
 def decoded(ids: Column, table: RankMap) -> Column:
     """The bytes of an array of ids: their pieces one after the other. Null stays null; an id without a piece is an error."""
     found = lambda pieces: F.encode(F.array_join(pieces, ""), BYTES)
-    pieces = let(table.pieces, lambda all_: F.transform(ids, lambda i: F.get(all_, i)))
-    return let(pieces, lambda each: F.when(~F.exists(each, F.isnull), found(each)).otherwise(
+    pieces = let(table.pieces, "array<string>", lambda all_: F.transform(ids, lambda i: F.get(all_, i)))
+    return let(pieces, "binary", lambda each: F.when(~F.exists(each, F.isnull), found(each)).otherwise(
         F.raise_error(F.lit("an id has no piece")).cast("binary")))
 
 
