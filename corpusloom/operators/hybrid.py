@@ -71,7 +71,7 @@ def _depth(ranked: DataFrame, asked: DataFrame, depth: str) -> DataFrame:
     return ranking.cut(ranked, asked.select(*KEYS, depth), KEYS, depth)
 
 
-def term_list(asked: DataFrame, within: Corpus, *, prune: bool = True) -> DataFrame:
+def term_list(asked: DataFrame, within: Corpus, *, prune: bool = False) -> DataFrame:
     """Best ``k`` children by BM25 among those a query may see: (query_id, scope_id, child_id, score, rank)."""
 
     def test(hits: DataFrame) -> DataFrame:
