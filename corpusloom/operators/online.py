@@ -31,6 +31,21 @@ def upsert_counts(target: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return counts.select("inserted", "updated", skipped.scalar().alias("skipped"))
 
 
+def upsert_outcomes(target: DataFrame, changes: DataFrame, key: str, order: Sequence[str], valid: Column) -> tuple[DataFrame, DataFrame]:
+    """(target after the changes, one row per key with ``outcome`` inserted, updated or failed, and ``failed_rows``).
+
+    Changes that are not ``valid`` (or of which that is unknown) fail alone: other changes of the same key still count, and
+    its outcome then is theirs. Blank keys are skipped. The import as a whole never fails for a row of it.
+    """
+    ok = F.coalesce(valid, F.lit(False))
+    usable = changes.where(F.col(key).isNotNull() & (strip(F.col(key).cast("string")) != "")).withColumn("_ok", ok)
+    known = target.select(key).distinct().withColumn("_known", F.lit(True))
+    keys = usable.groupBy(key).agg(F.bool_or("_ok").alias("_any"), F.count_if(~F.col("_ok")).alias("failed_rows"))
+    told = F.when(~F.col("_any"), "failed").when(F.col("_known"), "updated").otherwise("inserted")
+    outcomes = keys.join(known, key, "left").select(key, told.alias("outcome"), "failed_rows")
+    return upsert(target, usable.where("_ok").drop("_ok"), key, order), outcomes
+
+
 def quarantine(rows: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:
     """(good rows, bad rows): bad rows go to their own table and do not fail the batch."""
     ok = F.coalesce(valid, F.lit(False))

@@ -67,6 +67,16 @@ def first_filled(*names: str) -> Column:
     return F.coalesce(*[or_missing(F.col(n)) for n in names])
 
 
+def reviewed(samples: DataFrame, statuses: Sequence[str], limit: int | None = None, key: str = "sample_id") -> DataFrame:
+    """Samples with one of the review statuses (written in any case, with blanks around), if asked only the first ``limit`` by key.
+
+    The limit is a sorted top-k: each task keeps at most ``limit`` rows before they meet.
+    """
+    wanted = [s.strip().lower() for s in statuses if s.strip()]
+    rows = samples.where(F.lower(strip("review_status")).isin(*wanted))
+    return rows if limit is None else rows.orderBy(key).limit(limit)
+
+
 def usable_rows(rows: DataFrame) -> DataFrame:
     """Generated rows with a question and at least one non-blank context, under one name each."""
     question = first_filled("user_input", "question", "query")

@@ -194,6 +194,12 @@ def approved_samples(t: Tables) -> DataFrame:
     return normal(t).where(F.col("review_status").isin("approved", "pending")).select("sample_id")
 
 
+@query("approved_first", f"WITH {SAMPLES_SQL} SELECT sample_id, review_status FROM samples WHERE review_status IN ('approved', 'pending') ORDER BY sample_id LIMIT 40")
+def approved_first(t: Tables) -> DataFrame:
+    """The first samples that may be run, in the order of their ids."""
+    return S.reviewed(normal(t), [" Approved", "pending", ""], 40).select("sample_id", "review_status")
+
+
 @query("manifest", f"""WITH {SAMPLES_SQL} SELECT 'replay' AS name, 'v1' AS version, 'regression' AS category, 'replay' AS source_type, true AS review_required, 6 AS instruction_count, count(*) AS sample_count,
   'has_reference_answer' || CASE WHEN min(len(reference_contexts)) > 0 THEN '|has_reference_contexts' ELSE '' END || '|has_reference_doc_ids' AS capabilities FROM samples""")
 def manifest(t: Tables) -> DataFrame:

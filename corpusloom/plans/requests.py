@@ -110,6 +110,14 @@ def upsert_counts(t: Tables) -> DataFrame:
     return O.upsert_counts(target(t), changes(t), "request_id")
 
 
+@query("upsert_failed", f"""WITH {UPSERT_SQL}, usable AS (SELECT *, coalesce(latency_ms <= 60, false) AS ok FROM raw WHERE trim(request_id) <> '')
+SELECT request_id, CASE WHEN NOT bool_or(ok) THEN 'failed' WHEN request_id IN (SELECT request_id FROM target) THEN 'updated' ELSE 'inserted' END AS outcome,
+  count(*) FILTER (NOT ok) AS failed_rows FROM usable GROUP BY request_id""")
+def upsert_failed(t: Tables) -> DataFrame:
+    """What became of each request of an import in which slow ones are refused."""
+    return O.upsert_outcomes(target(t), changes(t), "request_id", ["version"], F.col("latency_ms") <= 60)[1]
+
+
 @query("import_quarantine", "SELECT event_id::VARCHAR AS request_id, value AS latency_ms, 'latency_ms out of range' AS reason FROM events WHERE NOT (value >= 0 AND value <= 100)")
 def import_quarantine(t: Tables) -> DataFrame:
     """Rows that fail a check go to their own table; the rest of the import goes on."""

@@ -160,3 +160,18 @@ def test_text_or_list(spark):
     }
     rows = spark.createDataFrame([(j,) for j in told] + [(None,)], "j string").select("j", text_or_list(F.col("j")).alias("a")).collect()
     assert {r["j"]: r["a"] for r in rows} == {**told, None: []}
+
+
+def test_upsert_outcomes(spark):
+    target = spark.createDataFrame([("a", 1, 0), ("b", 1, 0)], "k string, v int, at int")
+    changes = spark.createDataFrame([("a", 2, 1), ("a", -9, 2), ("b", -1, 1), ("c", 5, 1), ("d", None, 1), (" ", 3, 1), (None, 3, 1), ("c", 6, 2)], "k string, v int, at int")
+    result, outcomes = online.upsert_outcomes(target, changes, "k", ["at"], F.col("v") >= 0)
+    assert {r["k"]: r["v"] for r in result.collect()} == {"a": 2, "b": 1, "c": 6}
+    assert {tuple(r) for r in outcomes.collect()} == {("a", "updated", 1), ("b", "failed", 1), ("c", "inserted", 0), ("d", "failed", 1)}
+    assert online.upsert_outcomes(target, changes.limit(0), "k", ["at"], F.lit(True))[1].count() == 0
+
+
+def test_reviewed_in_order(spark):
+    rows = spark.createDataFrame([("s3", "Approved "), ("s1", "pending"), ("s2", "rejected"), ("s0", None), ("s4", "approved")], "sample_id string, review_status string")
+    assert [r["sample_id"] for r in samples.reviewed(rows, ["approved", " Pending"], 2).collect()] == ["s1", "s3"]
+    assert samples.reviewed(rows, ["approved"]).count() == 2 and samples.reviewed(rows, [" "]).count() == 0
