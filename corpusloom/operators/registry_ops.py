@@ -63,6 +63,12 @@ def point_lookup(requests: DataFrame, table: DataFrame, key: str) -> tuple[DataF
     return requests.join(table, key), requests.join(keys, key, "left_anti")
 
 
+def children_of(parents: DataFrame, children: DataFrame, key: str = "parent_id") -> tuple[DataFrame, DataFrame]:
+    """(children of the wanted parents, wanted parents that have none)."""
+    wanted = parents.select(key).distinct()
+    return children.join(wanted, key, "left_semi"), wanted.join(children.select(key), key, "left_anti")
+
+
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Last write per key. The maximum is taken map-side first, so a key written a million times costs one row."""
     others = [c for c in rows.columns if c not in keys]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -171,8 +171,19 @@ def judge_input(record_columns: Sequence[str]) -> dict[str, Column]:
     return out
 
 
-def run_records(samples: DataFrame, ranked: DataFrame, key: str = "sample_id", id_col: str = "doc_id") -> DataFrame:
-    """Samples with the ids a run retrieved, in rank order. A sample's list is as short as the search depth."""
-    got = ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", id_col))).alias("_got"))
-    ids = F.transform(F.coalesce("_got", F.array()), lambda s: s[id_col])
-    return samples.join(got, key, "left").withColumn("actual_doc_ids", F.array_distinct(ids)).drop("_got")
+def run_records(samples: DataFrame, ranked: DataFrame, key: str = "sample_id", id_col: str = "doc_id", also: Mapping[str, str] | None = None) -> DataFrame:
+    """Samples with the ids a run retrieved, in rank order. A sample's list is as short as the search depth.
+
+    ``also`` maps further columns of the record to columns of ``ranked``: ids (names that end in ``_ids``) are listed once
+    each, at their first rank, all else as often as it was found. ``status`` tells whether anything was found.
+    """
+    names = {"actual_doc_ids": id_col, **(also or {})}
+    got = ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", *dict.fromkeys(names.values())))).alias("_got"))
+    found = F.coalesce("_got", F.array())
+    out = samples.join(got, key, "left")
+    for name, column in names.items():
+        values = F.transform(found, lambda s: s[column])
+        out = out.withColumn(name, F.array_distinct(values) if name.endswith("_ids") else values)
+    if also is not None:
+        out = out.withColumn("status", F.when(F.col("_got").isNull(), "empty").otherwise("success"))
+    return out.drop("_got")

@@ -336,6 +336,16 @@ def children_of_parents(t: Tables) -> DataFrame:
     return wanted.join(t.children().select("parent_id", "child_id", "start_index"), "parent_id")
 
 
+@query("parents_without_children", f"""WITH {CHILDREN_SQL}, kept AS (SELECT * FROM children WHERE file_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))
+SELECT parent_id FROM parents JOIN labels ON doc_id = file_id WHERE quality = 1 AND parent_id NOT IN (SELECT parent_id FROM kept)""")
+def parents_without_children(t: Tables) -> DataFrame:
+    """Approved parents whose children went with the toxic files: a look-up of their children is refused."""
+    gone = t.labels.where(F.col("toxic") == 1).select(F.col("doc_id").alias("file_id"))
+    good = t.labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("file_id"))
+    kept = t.children().join(gone, "file_id", "left_anti")
+    return registry_ops.children_of(t.parents().join(good, "file_id", "left_semi"), kept)[1]
+
+
 @query("reindex_last_write", f"""WITH {PARENTS_SQL}, writes AS (SELECT parent_id, text, 0 AS version FROM parents
   UNION ALL SELECT parent_id, text || ' (second write)', 1 FROM parents JOIN labels ON doc_id = file_id WHERE quality = 1)
 SELECT parent_id, max_by(text, version) AS text, max(version) AS version FROM writes GROUP BY parent_id""")

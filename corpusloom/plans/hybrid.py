@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators import hybrid
+from corpusloom.operators import hybrid, scoring
 from corpusloom.plans.registry import CHILDREN_SQL, INDEX_SQL, LETTERS_SQL, Tables, query, terms_sql
 from corpusloom.plans.search import OVERLAP_SQL
 
@@ -147,3 +147,19 @@ def hybrid_k_override(t: Tables) -> DataFrame:
     within = corpus(t, {})
     own = F.when(F.length("text") < 200, 4).when(F.col("item_id") % 4 == 0, 70)
     return hybrid.fused(hybrid.ask(questions(t, k_override=own), within), within).withColumn("score", F.round("score", 6))
+
+
+@query("search_records", f"""WITH RECURSIVE {asked_sql(FILTER_SQL)}{BM25_SQL}{MMR_SQL}{FINAL_SQL},
+r AS (SELECT f.query_id, f.scope_id, list(f.parent_id ORDER BY rank) AS ids, list(p.file_id ORDER BY rank) AS files, string_agg(p.text, chr(30) ORDER BY rank) AS contexts
+  FROM final f JOIN parents p ON p.parent_id = f.parent_id GROUP BY ALL)
+SELECT q.query_id, q.scope_id, coalesce(array_to_string(ids, '|'), '') AS doc_ids, coalesce(array_to_string(list_filter(files, lambda x, i: list_position(files, x) = i), '|'), '') AS file_ids,
+  md5(coalesce(contexts, '')) AS contexts_md5, CASE WHEN ids IS NULL THEN 'empty' ELSE 'success' END AS status FROM q LEFT JOIN r ON r.query_id = q.query_id AND r.scope_id = q.scope_id""")
+def search_records(t: Tables) -> DataFrame:
+    """What a run of the whole search keeps of each question: ids, files and texts in rank order."""
+    asked = questions(t, own_filter()).withColumn("sample_id", F.struct(*hybrid.KEYS))
+    found = hybrid.search(asked.drop("sample_id"), corpus(t), t.parents())
+    ranked = found.join(t.parents().select("parent_id", "file_id", "text"), "parent_id").withColumn("sample_id", F.struct(*hybrid.KEYS))
+    records = scoring.run_records(asked.select("sample_id", *hybrid.KEYS), ranked, id_col="parent_id", also={"actual_file_ids": "file_id", "actual_contexts": "text"})
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), "|")
+    contexts = F.md5(F.array_join("actual_contexts", "\x1e"))
+    return records.select(*hybrid.KEYS, joined("actual_doc_ids").alias("doc_ids"), joined("actual_file_ids").alias("file_ids"), contexts.alias("contexts_md5"), "status")

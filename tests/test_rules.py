@@ -175,3 +175,21 @@ def test_reviewed_in_order(spark):
     rows = spark.createDataFrame([("s3", "Approved "), ("s1", "pending"), ("s2", "rejected"), ("s0", None), ("s4", "approved")], "sample_id string, review_status string")
     assert [r["sample_id"] for r in samples.reviewed(rows, ["approved", " Pending"], 2).collect()] == ["s1", "s3"]
     assert samples.reviewed(rows, ["approved"]).count() == 2 and samples.reviewed(rows, [" "]).count() == 0
+
+
+def test_run_records_keep_texts_and_files(spark):
+    asked = spark.createDataFrame([("a",), ("b",)], "sample_id string")
+    ranked = spark.createDataFrame([("a", 2, "d2", 7, "y"), ("a", 1, "d1", 7, "x"), ("a", 3, "d1", 8, "x")], "sample_id string, rank int, doc_id string, file int, text string")
+    rows = {r["sample_id"]: r for r in scoring.run_records(asked, ranked, also={"actual_file_ids": "file", "actual_contexts": "text"}).collect()}
+    assert rows["a"]["actual_doc_ids"] == ["d1", "d2"] and rows["a"]["actual_file_ids"] == [7, 8] and rows["a"]["actual_contexts"] == ["x", "y", "x"]
+    assert rows["b"]["actual_contexts"] == [] and (rows["a"]["status"], rows["b"]["status"]) == ("success", "empty")
+    assert scoring.run_records(asked, ranked).columns == ["sample_id", "actual_doc_ids"]
+
+
+def test_children_of(spark):
+    from corpusloom.operators.registry_ops import children_of
+
+    parents = spark.createDataFrame([("p",), ("q",), ("p",)], "parent_id string")
+    children = spark.createDataFrame([("p", "c1"), ("p", "c2"), ("r", "c3")], "parent_id string, child_id string")
+    found, refused = children_of(parents, children)
+    assert sorted(r["child_id"] for r in found.collect()) == ["c1", "c2"] and [r["parent_id"] for r in refused.collect()] == ["q"]
