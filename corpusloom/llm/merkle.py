@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import record
@@ -67,13 +67,12 @@ def numbered(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
     dealt = durable(dealt.withColumn("_at", F.monotonically_increasing_id()))  # range, then place in it
     dealt = dealt.withColumn("_range", F.shiftright("_at", 33))
     parts = dealt.groupBy("_range", group).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    each = parts.groupBy(group).agg(F.sum("_n").alias("n"), F.sort_array(F.collect_list(F.struct("_range", "_first", "_n"))).alias("_parts"))
-    starts = F.transform(F.col("_parts"), lambda part, i: record(
-        range=part["_range"], first=part["_first"],
-        before=F.aggregate(F.slice("_parts", 1, i), F.lit(0).cast("long"), lambda total, earlier: total + earlier["_n"]),
+    whole = Window.partitionBy(group)
+    earlier = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = durable(parts.select(
+        F.col(group).alias("_group"), F.col("_range").alias("_r"), F.col("_first").alias("first"),
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("before"), F.sum("_n").over(whole).alias("n"),
     ))
-    starts = each.select(F.col(group).alias("_group"), "n", F.explode(starts).alias("_start"))
-    starts = durable(starts.select("_group", "n", F.col("_start.range").alias("_r"), "_start.first", "_start.before"))
     joined = dealt.join(starts, (dealt["_range"] == starts["_r"]) & dealt[group].eqNullSafe(starts["_group"]))
     return joined.select(*rows.columns, (F.col("_at") - F.col("first") + F.col("before")).alias("index"), "n")
 
