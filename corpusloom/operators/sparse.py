@@ -34,14 +34,19 @@ class SparseIndex:
 
 
 def counted(tokens: Column) -> Column:
-    """Array of (term, tf) of one chunk. A chunk's length is bounded, so counting in the row saves a shuffle."""
-    return let(
-        tokens,
-        lambda all_: F.transform(
-            F.array_distinct(all_),
-            lambda t: record(term=t, tf=F.size(F.filter(all_, lambda x: x == t))),
-        ),
-    )
+    """Array of (term, tf) of one text, by runs of its sorted tokens. Counting in the row saves a shuffle."""
+    none = F.array().cast("array<struct<term:string,tf:int>>")
+
+    def runs(found: Column) -> Column:
+        first = lambda i: (i == 0) | (F.get(found, i) != F.get(found, i - 1))
+        starts = F.filter(F.sequence(F.lit(0), F.size(found) - 1), first)
+
+        def counts(at: Column) -> Column:
+            return F.transform(at, lambda i, j: record(term=F.get(found, i), tf=F.coalesce(F.get(at, j + 1), F.size(found)) - i))
+
+        return let(starts, counts)
+
+    return F.when(F.size(tokens) > 0, let(F.sort_array(tokens), runs)).otherwise(none)
 
 
 def saturation(tf: Column, dl: Column, avgdl: Column, variant: str = "lucene") -> Column:
