@@ -23,11 +23,11 @@ TURN_SCHEMA = "conv_id long, turn long, role string, text string"
 
 
 def source(spark: SparkSession, folder: str, table: str = "events", schema: str = EVENT_SCHEMA, files_at_once: int | None = None) -> DataFrame:
-    """Files of one table as a stream, on request so many in a batch."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet")
+    """Files of one table as a stream, on request so many in a batch. The table is files or folders of files."""
+    reader = spark.readStream.schema(schema)
     if files_at_once:
         reader = reader.option("maxFilesPerTrigger", files_at_once)
-    rows = reader.parquet(folder)
+    rows = reader.parquet(f"{folder.rstrip('/')}/{table}*.parquet")
     return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
 
 

@@ -90,3 +90,15 @@ def test_upserts_that_come_late_or_twice(spark, tmp_path):
     rows = {r["k"]: r["v"] for r in jobs.current_rows(spark.read.parquet(path)).collect()}
     assert rows == {"a": 1, "b": 9, None: 7}
     assert before == {p.name for p in (tmp_path / "t" / "batch_id=0").iterdir()}
+
+
+def test_a_table_may_be_a_file_or_a_folder_of_files(spark, tmp_path):
+    turns = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "c"), (2, 1, "assistant", "d")]
+    for kind in ("file", "folder"):
+        (tmp_path / kind).mkdir()
+    written = spark.createDataFrame(turns, jobs.TURN_SCHEMA)
+    written.repartition(2, "turn").write.parquet(str(tmp_path / "folder" / "conversations.parquet"))
+    written.toPandas().to_parquet(tmp_path / "file" / "conversations.parquet", index=False)
+    for kind in ("file", "folder"):
+        found = {tuple(r) for r in jobs.run_pairs(spark, str(tmp_path / kind)).collect()}
+        assert found == {(1, 0, 1), (2, 0, 1)}, kind
