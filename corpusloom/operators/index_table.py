@@ -77,9 +77,9 @@ def _difference(new: DataFrame, old: DataFrame | None) -> tuple[DataFrame, DataF
 
 def create(index: IndexTable, children: DataFrame) -> None:
     """Write the index of ``children`` (child_id, parent_id, text, and the columns to keep)."""
-    rows = durable(_chunks(index, children))
-    _record(index, "0", *_difference(rows, None))
+    rows = _chunks(index, children)
     _overwrite(rows.unionByName(_marks(index, rows.sparkSession, range(index.buckets))).repartition(index.buckets, "bucket"), f"{index.path}/forward", "bucket")
+    _record(index, "0", *_difference(index.forward(rows.sparkSession), None))
 
 
 def _marks(index: IndexTable, spark: SparkSession, buckets) -> DataFrame:
