@@ -17,6 +17,7 @@ from corpusloom.operators.filters import metadata_filter
 from corpusloom.session import durable
 
 MOST_FILTERS = 62
+BROADCAST_BITMAPS = 4096
 
 
 @dataclass(frozen=True)
@@ -63,10 +64,11 @@ def has_bit(bits: Column, position: Column) -> Column:
 def in_scopes(rows: DataFrame, scopes: Scopes, scope: str = "scope_id", file_no: str = "file_no") -> DataFrame:
     """Rows whose file is in their scope.
 
-    The bitmaps are a written table, so that Spark knows their size: below its threshold they are broadcast, beyond it the
-    rows are shuffled by scope and bucket.
+    The bitmaps are a written table: up to ``BROADCAST_BITMAPS`` (4 KB each) they are broadcast, beyond that Spark decides,
+    and may shuffle the rows by scope and bucket.
     """
-    right = scopes.bits.select(F.col("scope_id").alias("_scope"), F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits"))
+    few = scopes.bits.count() <= BROADCAST_BITMAPS
+    right = (F.broadcast(scopes.bits) if few else scopes.bits).select(F.col("scope_id").alias("_scope"), F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits"))
     same = (rows[scope] == F.col("_scope")) & (F.bitmap_bucket_number(rows[file_no]) == F.col("_bucket"))
     found = rows.join(right, same).where(has_bit(F.col("_bits"), F.bitmap_bit_position(F.col(file_no))))
     return found.select(*rows.columns)

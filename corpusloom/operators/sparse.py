@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions.text import STOP_WORDS, let, record, terms
 from corpusloom.operators.running import top_rows
@@ -15,15 +20,19 @@ from corpusloom.session import durable
 # k1, b and delta of each formula.
 VARIANTS = {"lucene": (1.2, 0.75, 0.0), "okapi": (1.5, 0.75, 0.0), "plus": (1.5, 0.75, 1.0)}
 SEED_POSTINGS = 20000
+#: Chunks and queries of a cell, and about how many sums it holds at a time.
+CHUNK_BLOCK, QUERY_BLOCK, CELL = 32768, 4096, 1 << 22
+#: Up to so many terms of queries, in rows and bytes, go to the postings by a broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 1 << 17, 1 << 22
 
 
 @dataclass(frozen=True)
 class SparseIndex:
-    """``forward``: one row per chunk with its term counts, dealt by chunk id; ``postings``: one row per (term, chunk),
-    dealt the same way; ``term_stats``: document frequency and largest term weight; ``corpus``: one row (n, avgdl).
+    """``forward``: one row per chunk with its term counts; ``postings``: one row per (term, chunk); ``term_stats``:
+    document frequency and largest term weight; ``corpus``: one row (n, avgdl).
 
-    The index is split by chunk, not by term: a frequent term is spread over all tasks, all hits of a chunk meet in
-    one task, and scores are summed and cut to the best ``k`` there. Only those few rows are shuffled.
+    A search deals the index by chunk, not by term: of the postings only those of the queries' terms move, a frequent term
+    is spread over all tasks, all hits of a chunk meet in one task, and scores are summed and cut to the best ``k`` there.
     """
 
     forward: DataFrame
@@ -75,17 +84,17 @@ def build_index(
 
     Chunks are tokenised once; the forward table is written to the shared folder and everything else reads it.
     """
-    tokens = chunks.select(id_col, *keep, terms(F.col(text), stop_words).alias("tokens")).where(F.size("tokens") > 0)
+    tokens = chunks.select(id_col, *keep, terms(F.col(text), stop_words).alias("tokens"))
     written = durable(tokens.select(id_col, *keep, F.size("tokens").alias("dl"), counted(F.col("tokens")).alias("counts")))
-    corpus = written.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    forward = written.repartition(id_col)
+    forward = written.where(F.col("dl") > 0)  # after it was written: a filter on the tokens would make them twice
+    corpus = forward.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
     def entries(rows: DataFrame) -> DataFrame:
         hits = rows.select(id_col, *keep, "dl", F.explode("counts").alias("c"))
         return hits.select(F.col("c.term").alias("term"), id_col, *keep, F.col("c.tf").alias("tf"), "dl")
 
     avgdl = corpus.select("avgdl").scalar()
-    term_stats = entries(written).groupBy("term").agg(
+    term_stats = entries(forward).groupBy("term").agg(
         F.count("*").alias("df"), F.max(saturation(F.col("tf"), F.col("dl"), avgdl, variant)).alias("top_weight")
     )
     return SparseIndex(forward, entries(forward), term_stats, corpus, id_col)
@@ -117,14 +126,121 @@ class Visible:
     test: Callable[[DataFrame], DataFrame] = lambda hits: hits
 
 
-def _scored(postings: DataFrame, wanted: DataFrame, index: SparseIndex, match: Mapping[str, str], variant: str, visible: Visible) -> DataFrame:
+def _numbered(rows: DataFrame, columns: Sequence[str], number: str) -> tuple[DataFrame, DataFrame]:
+    """Each distinct value of ``columns`` with a number, as a written table, and ``rows`` with that number."""
+    table = durable(rows.select(*columns).distinct().withColumn(number, F.monotonically_increasing_id()))
+    right = table.select(*[F.col(c).alias(f"_of_{c}") for c in columns], number)
+    same = reduce(Column.__and__, [rows[c].eqNullSafe(F.col(f"_of_{c}")) for c in columns])
+    return table, rows.join(right, same).select(*rows.columns, number)
+
+
+def _bounded(need: DataFrame) -> DataFrame:
+    """Marked for a broadcast while it is small by its own count, whatever Spark's threshold."""
+    size = need.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(need) if size["n"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES else need
+
+
+def _hits(wanted: DataFrame, need: DataFrame, index: SparseIndex, match: Mapping[str, str], variant: str, visible: Visible) -> DataFrame:
+    """(_no, id, w): the postings of the terms wanted, once for each kind of query that may see them, whatever the number of queries."""
     avgdl = index.corpus.select("avgdl").scalar()
-    right = postings.select(
-        F.col("term"), F.col(index.id_col), *[F.col(c).alias(q) for q, c in match.items()], *visible.columns, "tf", "dl"
+    used = _bounded(durable(need.join(wanted.select("_no").distinct(), "_no", "left_semi")))
+    rows = index.postings.select(
+        "term", index.id_col, *[F.col(c).alias(q) for q, c in match.items()], *visible.columns, saturation(F.col("tf"), F.col("dl"), avgdl, variant).alias("w")
     )
-    hits = visible.test(right.join(wanted, ["term", *match.keys()]))
-    score = F.sum(F.col("weight") * saturation(F.col("tf"), F.col("dl"), avgdl, variant))
-    return hits.groupBy("query_id", *match.keys(), *visible.carry, index.id_col).agg(score.alias("score"))
+    return visible.test(rows.join(used, ["term", *match])).select("_no", index.id_col, "w")
+
+
+def _sums(left: pa.Table, right: pa.Table, id_col: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For batches of queries: (query, its terms' first row, chunk, score) of all hits, by query and chunk; chunks are numbered in order of ids."""
+    column = lambda table, name: table.column(name).to_numpy()
+    asked = np.lexsort((column(left, "_no"), column(left, "_q")))
+    query, term, weight = (column(left, c)[asked] for c in ("_q", "_no", "weight"))
+    found = np.argsort(column(right, "_no"), kind="stable")
+    chunks = right.column(id_col).to_numpy()[found]
+    term_of, value = column(right, "_no")[found], column(right, "w")[found]
+    low, high = np.searchsorted(term_of, term, "left"), np.searchsorted(term_of, term, "right")
+    firsts = np.flatnonzero(np.diff(query, prepend=query[0] - 1))  # each query's first term
+    ends = np.append(firsts[1:], len(query))
+    width, load = int(chunks.max()) + 1, np.concatenate([[0], np.cumsum(high - low)])
+    at = 0
+    while at < len(firsts):
+        most = np.searchsorted(load[ends], load[firsts[at]] + CELL, "right")
+        to = int(max(at + 1, min(most, at + max(1, CELL // width))))
+        a, b = firsts[at], ends[to - 1]
+        n = (high - low)[a:b]
+        places = np.repeat(low[a:b] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        no = np.repeat(np.arange(to - at), ends[at:to] - firsts[at:to])  # of each term's query in the batch
+        cell = np.repeat(no * width, n) + chunks[places]
+        part = np.repeat(weight[a:b], n) * value[places]
+        if (to - at) * width <= 8 * len(cell):
+            some = np.zeros((to - at) * width, bool)
+            some[cell] = True
+            which, sums = np.flatnonzero(some), np.bincount(cell, part)
+            sums = sums[which]
+        else:
+            which, inverse = np.unique(cell, return_inverse=True)
+            sums = np.bincount(inverse, part, minlength=len(which))
+        no, chunk = np.divmod(which, width)
+        yield query[firsts[at:to]][no], firsts[at:to][no], chunk, sums.astype(np.float64)
+        at = to
+
+
+def _rounded(scores: np.ndarray) -> np.ndarray:
+    return np.sign(scores) * np.floor(np.abs(scores) * 1e6 + 0.5) / 1e6
+
+
+def _best(query: np.ndarray, chunk: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` largest scores of each query, ties to the smaller chunk; rows come by query and chunk."""
+    starts = np.flatnonzero(np.diff(query, prepend=query[0] - 1)) if len(query) else []
+    kept = []
+    for a, b in zip(starts, [*starts[1:], len(query)]):
+        pool = np.arange(a, b)
+        if b - a > k:
+            pool = pool[score[a:b] >= np.partition(score[a:b], b - a - k)[b - a - k]]
+        kept.append(pool[np.argsort(-score[pool], kind="stable")][:k])
+    return np.concatenate(kept) if kept else np.zeros(0, np.int64)
+
+
+def _cells(wanted: DataFrame, hits: DataFrame, index: SparseIndex, k: int | None) -> DataFrame:
+    """(_q, id, score): sums of weight * w by query and chunk, of them each cell's best ``k`` by score rounded to six places.
+
+    ``wanted`` has (_q, _no, weight). Queries and chunks are dealt into blocks of bounded size; a cell holds one of each and
+    adds up in arrays, so no hit of a single query is a row of its own. Without ``k`` sums come out that reach the
+    query's column ``least``.
+    """
+    id_col = index.id_col
+    blocks = max(1, -(-int(index.corpus.first()["n"] or 0) // CHUNK_BLOCK))
+    query_blocks = max(1, -(-wanted.select("_q").distinct().count() // QUERY_BLOCK))
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    block = lambda c, n, name: F.pmod(F.xxhash64(c), F.lit(n)).cast("int").alias(name)
+    asked = ["_q", "_no", "weight", *(["least"] if k is None else [])]
+    left = wanted.select(*asked, block("_q", query_blocks, "_qb"), every(blocks, "_cb")).groupBy("_cb", "_qb")
+    right = hits.select("_no", id_col, "w", block(id_col, blocks, "_cb"), every(query_blocks, "_qb")).groupBy("_cb", "_qb")
+    kind = hits.schema[id_col].dataType
+    out = T.StructType([T.StructField("_q", T.LongType()), T.StructField(id_col, kind), T.StructField("score", T.DoubleType())])
+
+    def run(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = right.column(id_col).combine_chunks()
+        if not len(ids) or not left.num_rows:
+            return pa.table({"_q": pa.array([], pa.int64()), id_col: ids[:0], "score": pa.array([], pa.float64())})
+        codes = ids.dictionary_encode("encode")
+        order = pc.array_sort_indices(codes.dictionary, null_placement="at_start")
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        right = right.set_column(right.column_names.index(id_col), id_col, pa.array(rank[codes.indices.to_numpy()]))
+        least = None if k is not None else left.column("least").to_numpy()[np.lexsort((left.column("_no").to_numpy(), left.column("_q").to_numpy()))]
+        found = []
+        for query, first, chunk, score in _sums(left, right, id_col):
+            if least is None:
+                score = _rounded(score)
+                some = _best(query, chunk, score, k)
+            else:
+                some = np.flatnonzero(score >= least[first])
+            found.append((query[some], chunk[some], score[some]))
+        query, chunk, score = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"_q": pa.array(query), id_col: codes.dictionary.take(order.take(pa.array(chunk))), "score": pa.array(score)})
+
+    return left.cogroup(right).applyInArrow(run, out)
 
 
 def bm25(
@@ -147,17 +263,18 @@ def bm25(
     """
     match = dict(match or {})
     keys = ["query_id", *match, *visible.carry]
-    # Written first, so that Spark plans with the true size: a small table of query terms is broadcast, a large one is not.
+    # Written first, so that Spark plans with the true size.
     wanted = durable(query_terms(queries, index, keys[1:], stop_words, variant))
-    if prune:
-        scores = _pruned_scores(wanted, index, match, variant, k, seed_postings, visible)
-    else:
-        scores = _scored(index.postings, wanted, index, match, variant, visible)
-    scores = scores.withColumn("score", F.round("score", 6))
+    asked, wanted = _numbered(wanted, keys, "_q")
+    need, wanted = _numbered(wanted, ["term", *keys[1:]], "_no")
+    wanted = durable(wanted.drop(*keys))
+    search = lambda some, k: _cells(some, _hits(some, need, index, match, variant, visible), index, k)
+    scores = _pruned_scores(wanted, index, variant, k, seed_postings, search) if prune else search(wanted, k)
+    scores = scores.join(asked, "_q").select(*keys, index.id_col, F.round("score", 6).alias("score"))
     return top_rows(scores, keys, [F.desc("score"), F.asc(index.id_col)], k)
 
 
-def _pruned_scores(wanted: DataFrame, index: SparseIndex, match: dict, variant: str, k: int, seed_postings: int, visible: Visible) -> DataFrame:
+def _pruned_scores(wanted: DataFrame, index: SparseIndex, variant: str, k: int, seed_postings: int, search: Callable[[DataFrame, int | None], DataFrame]) -> DataFrame:
     """Exact dynamic pruning in three joins.
 
     1. Rare terms alone give each query ``k`` candidates; the k-th partial score is a floor for the true k-th score.
@@ -165,40 +282,41 @@ def _pruned_scores(wanted: DataFrame, index: SparseIndex, match: dict, variant:
        so only chunks with another term are candidates.
     3. Candidates whose upper bound still reaches the floor are scored in full from their own term counts.
     """
-    keys = ["query_id", *match, *visible.carry]
-    by_rarity = Window.partitionBy(*keys).orderBy("df", "term")
+    by_rarity = Window.partitionBy("_q").orderBy("df", "term")
     cost = F.sum("df").over(by_rarity.rowsBetween(Window.unboundedPreceding, 0))
-    seeds = wanted.withColumn("_cost", cost).withColumn("_no", F.row_number().over(by_rarity))
-    seeds = seeds.where((F.col("_cost") <= seed_postings) | (F.col("_no") == 1)).drop("_cost", "_no")
-    partial = _scored(index.postings, seeds, index, match, variant, visible)
-    best = top_rows(partial, keys, [F.desc("score")], k)
-    floors = best.groupBy(*keys).agg(F.when(F.count("*") == k, F.min("score")).alias("floor"))
+    seeds = wanted.withColumn("_cost", cost).withColumn("_no_of", F.row_number().over(by_rarity))
+    seeds = seeds.where((F.col("_cost") <= seed_postings) | (F.col("_no_of") == 1)).drop("_cost", "_no_of")
 
-    by_bound = Window.partitionBy(*keys).orderBy("top_score", "term").rowsBetween(Window.unboundedPreceding, 0)
-    bounded = durable(
-        wanted.join(floors, keys, "left")
+    def kth(found: DataFrame, name: str) -> DataFrame:
+        best = top_rows(found, ["_q"], [F.desc("score"), F.asc(index.id_col)], k)
         # Scores are rounded before ranking, so the floor gives way by one rounding step.
-        .withColumn("floor", F.coalesce(F.col("floor") - 1e-5, F.lit(0.0)))
+        return best.groupBy("_q").agg(F.when(F.count("*") == k, F.min("score") - 1e-5).alias(name))
+
+    by_bound = Window.partitionBy("_q").orderBy("top_score", "term").rowsBetween(Window.unboundedPreceding, 0)
+    bounded = durable(
+        wanted.join(kth(search(durable(seeds), k), "floor"), "_q", "left")
+        .withColumn("floor", F.coalesce("floor", F.lit(0.0)))
         .withColumn("reach", F.sum("top_score").over(by_bound))
         # Half the floor is left as slack, so that most candidates fail the bound below.
         .withColumn("essential", F.col("reach") >= F.col("floor") / 2)
     )
-    slack = bounded.groupBy(*keys).agg(
+    slack = bounded.groupBy("_q").agg(
         F.first("floor").alias("floor"),
-        F.first(index.corpus.select("avgdl").scalar()).alias("avgdl"),
         F.coalesce(F.sum(F.when(~F.col("essential"), F.col("top_score"))), F.lit(0.0)).alias("slack"),
         F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("query"),
     )
-    found = _scored(index.postings, bounded.where("essential").select(*keys, "term", "weight"), index, match, variant, visible)
+    essential = durable(bounded.where("essential").select("_q", "_no", "weight"))
     # The candidates' own partial scores raise the floor once more.
-    better = top_rows(found, keys, [F.desc("score")], k).groupBy(*keys).agg(F.when(F.count("*") == k, F.min("score")).alias("better"))
-    slack = slack.join(better, keys, "left").withColumn("floor", F.greatest("floor", F.col("better") - 1e-5)).drop("better")
-    candidates = found.join(slack, keys).where(F.col("score") + F.col("slack") >= F.col("floor"))
-    full = candidates.drop("score").join(index.forward.select(index.id_col, "dl", "counts"), index.id_col)
+    slack = durable(slack.join(kth(search(essential, k), "better"), "_q", "left").withColumn("floor", F.greatest("floor", "better")).drop("better"))
+    least = slack.select("_q", (F.col("floor") - F.col("slack")).alias("least"))
+    # Written, so that Spark knows how few they are and moves them to the chunks, not the chunks to them.
+    candidates = durable(search(durable(essential.join(least, "_q")), None).drop("score"))
+    asked = slack.select("_q", "query", index.corpus.select("avgdl").scalar().alias("avgdl"))
+    full = candidates.join(index.forward.select(index.id_col, "dl", "counts"), index.id_col).join(asked, "_q")
 
     def part(hit: Column) -> Column:
         weight = F.element_at(F.col("query"), hit["term"])
         return F.coalesce(weight, F.lit(0.0)) * saturation(hit["tf"], F.col("dl"), F.col("avgdl"), variant)
 
     score = F.aggregate("counts", F.lit(0.0), lambda acc, hit: acc + part(hit))
-    return full.select(*keys, index.id_col, score.alias("score"))
+    return full.select("_q", index.id_col, score.alias("score"))

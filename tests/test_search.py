@@ -44,6 +44,40 @@ def test_bm25(spark, prune, seed_postings):
         assert [r.child_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == brute(docs, text, 7)
 
 
+@pytest.mark.parametrize("prune", [False, True])
+def test_bm25_over_many_cells(spark, monkeypatch, prune):
+    """Blocks of few chunks and queries, few sums at a time; ties, repeated and null keys, languages to match."""
+    for name, size in (("CHUNK_BLOCK", 16), ("QUERY_BLOCK", 2), ("CELL", 64)):
+        monkeypatch.setattr(sparse, name, size)
+    docs = [*corpus(), *[(i + 300, t) for i, t in corpus(40)], (900, ""), (901, None)]
+    langs = [(i, t, (None, "a", "b")[i % 3]) for i, t in docs]
+    index = sparse.build_index(spark.createDataFrame(langs, "child_id int, text string, lang string"), keep=("lang",))
+    asked = [(0, "w0 w1 w29"), (1, "w25 w0 w0"), (2, "w28"), (3, "nothing"), (None, "w1 w2"), (4, " ".join(WORDS))]
+    queries = spark.createDataFrame([(q, t, lang) for q, t in asked for lang in ("a", "b")], "query_id int, text string, lang string")
+    kept = {i: t for i, t in docs if t}
+    plain = sparse.bm25(queries.where("lang = 'a'"), index, 7, prune=prune, seed_postings=20).collect()
+    scoped = sparse.bm25(queries, index, 7, match={"lang": "lang"}, prune=prune, seed_postings=20).collect()
+    for q, text in asked:
+        assert [r.child_id for r in sorted((r for r in plain if r.query_id == q), key=lambda r: r["rank"])] == brute(kept.items(), text, 7)
+        for lang in ("a", "b"):
+            mine = [i for i in brute(kept.items(), text, 10**6) if ("", "a", "b")[i % 3] == lang][:7]
+            assert [r.child_id for r in sorted((r for r in scoped if (r.query_id, r.lang) == (q, lang)), key=lambda r: r["rank"])] == mine
+
+
+def test_postings_are_not_dealt_before_a_search_asks(spark):
+    index = sparse.build_index(spark.createDataFrame(corpus(), "child_id int, text string"))
+    assert "Exchange" not in index.postings._jdf.queryExecution().toString()
+
+
+def test_repeated_ids_and_vectors_of_other_lengths(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (None, [1.0, 1.0]), (2, [0.5, 0.5])], "child_id int, embedding array<double>")
+    asked = rows.select(F.col("child_id").alias("query_id"), "embedding")
+    got = dense.nearest(asked.where("query_id = 1"), rows, 9, metric="dot", skip_self=True).collect()
+    assert sorted((r["child_id"] or 0, r["score"]) for r in got) == [(0, 1.0), (0, 1.0), (2, 0.5), (2, 0.5)]
+    with pytest.raises(Exception, match="different lengths"):
+        dense.nearest(asked, rows.unionByName(spark.createDataFrame([(7, [1.0, 2.0, 3.0])], rows.schema)), 2).collect()
+
+
 def test_han_runs_become_bigrams(spark):
     df = spark.createDataFrame([("检索 系统abc 好",)], "t string")
     assert df.select(words(F.col("t"))).first()[0] == ["检索", "系统", "abc", "好"]
