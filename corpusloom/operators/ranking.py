@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import terms
 from corpusloom.operators.running import ranked_rows, top_rows
+from corpusloom.session import few
 
 RRF_C = 60
 MAX_K = 50
@@ -63,7 +64,7 @@ def fuse(lists: Sequence[tuple[DataFrame, float]], keys: Sequence[str], id_col:
 
 def backtrack(ranked: DataFrame, links: DataFrame, keys: Sequence[str], child: str = "child_id", parent: str = "parent_id", upper: int | None = None) -> DataFrame:
     """Ranked children to ranked parents: first occurrence counts, unknown children drop out. Ids only, no text."""
-    joined = ranked.select(*keys, child, "rank").join(links.select(child, parent), child)
+    joined = few(ranked.select(*keys, child, "rank")).join(links.select(child, parent), child)
     first = joined.groupBy(*keys, parent).agg(F.min("rank").alias("first_rank"))
     return ranked_rows(first, keys, [F.asc("first_rank"), F.asc(parent)], upper).drop("first_rank")
 
@@ -101,7 +102,7 @@ def rerank(
         *keys, parent, F.col("rank"), F.lit(None).cast("double").alias("score"), F.lit(False).alias("reranked")
     )
     pool = counted.where(gate & (F.col("rank") <= max_candidates))
-    pool = pool.join(texts.select(parent, F.col("text").alias("_text")), parent)
+    pool = few(pool).join(texts.select(parent, F.col("text").alias("_text")), parent)
     pool = pool.join(queries.select(*keys, F.col("text").alias("_query")).distinct(), list(keys))
     scored = pool.select(*keys, parent, F.col("rank").alias("_old"), scorer(F.col("_query"), F.col("_text")).alias("score"))
     best = top_rows(scored, keys, [F.desc("score"), F.asc("_old")], top_n).select(

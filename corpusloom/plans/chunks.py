@@ -10,6 +10,7 @@ from corpusloom.functions.languages import LANGUAGE_OF, SUPPORTED_EXTENSIONS
 from corpusloom.operators import chunking, loading, ranking, registry_ops, sparse, web
 from corpusloom.plans.registry import CHILDREN_SQL, INDEX_SQL, PARENTS_SQL, Tables, bm25_sql, query
 from corpusloom.plans.search import child_index
+from corpusloom.session import few
 
 
 @query("document_scan", """SELECT doc_id AS file_id, 0 AS doc_seq, length(text) AS text_length, n_chars = length(text) AS length_agrees,
@@ -303,7 +304,7 @@ def merge_consecutive(t: Tables) -> DataFrame:
     """Neighbouring parents among each passage's results, joined into the first of each run."""
     found = sparse.bm25(t.passages(), child_index(t), 30)
     parents = ranking.backtrack(found, t.children().select("child_id", "parent_id"), ["query_id"]).select("query_id", "parent_id")
-    texts = parents.join(t.parents().select("parent_id", "file_id", "parent_index", "text"), "parent_id")
+    texts = few(parents).join(t.parents().select("parent_id", "file_id", "parent_index", "text"), "parent_id")
     return chunking.merge_consecutive(texts, ["query_id", "file_id"])
 
 

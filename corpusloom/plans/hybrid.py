@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import hybrid, scoring
 from corpusloom.plans.registry import CHILDREN_SQL, INDEX_SQL, LETTERS_SQL, Tables, query, terms_sql
 from corpusloom.plans.search import OVERLAP_SQL
+from corpusloom.session import few
 
 #: Scopes of several files; French files are in two, approved ones may be in three.
 SCOPES_SQL = """scopes AS (SELECT 'west' AS scope_id, doc_id AS file_id FROM documents WHERE lang IN ('en', 'fr')
@@ -158,7 +159,7 @@ def search_records(t: Tables) -> DataFrame:
     """What a run of the whole search keeps of each question: ids, files and texts in rank order."""
     asked = questions(t, own_filter()).withColumn("sample_id", F.struct(*hybrid.KEYS))
     found = hybrid.search(asked.drop("sample_id"), corpus(t), t.parents())
-    ranked = found.join(t.parents().select("parent_id", "file_id", "text"), "parent_id").withColumn("sample_id", F.struct(*hybrid.KEYS))
+    ranked = few(found).join(t.parents().select("parent_id", "file_id", "text"), "parent_id").withColumn("sample_id", F.struct(*hybrid.KEYS))
     records = scoring.run_records(asked.select("sample_id", *hybrid.KEYS), ranked, id_col="parent_id", also={"actual_file_ids": "file_id", "actual_contexts": "text"})
     joined = lambda c: F.array_join(F.col(c).cast("array<string>"), "|")
     contexts = F.md5(F.array_join("actual_contexts", "\x1e"))

@@ -64,6 +64,20 @@ def test_bm25_over_many_cells(spark, monkeypatch, prune):
             assert [r.child_id for r in sorted((r for r in scoped if (r.query_id, r.lang) == (q, lang)), key=lambda r: r["rank"])] == mine
 
 
+def test_few_ranked_rows_go_to_the_links(spark):
+    """Ranked lists are few, links are one row per chunk: the links are not shuffled, whatever Spark's threshold."""
+    ranked = spark.createDataFrame([(0, f"c{i}", i) for i in range(9)], "query_id int, child_id string, rank int")
+    links = spark.range(5000).select(F.format_string("c%d", "id").alias("child_id"), F.format_string("p%d", F.floor(F.col("id") / 3)).alias("parent_id"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = ranking.backtrack(ranked, links, ["query_id"])
+        assert "BroadcastHashJoin" in found._jdf.queryExecution().toString()
+        assert sorted((r["rank"], r["parent_id"]) for r in found.collect()) == [(1, "p0"), (2, "p1"), (3, "p2")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_postings_are_not_dealt_before_a_search_asks(spark):
     index = sparse.build_index(spark.createDataFrame(corpus(), "child_id int, text string"))
     assert "Exchange" not in index.postings._jdf.queryExecution().toString()
