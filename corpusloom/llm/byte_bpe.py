@@ -1,4 +1,4 @@
-"""Byte-level BPE as Spark expressions: ranked merges folded over the bytes of a word, ranks in a literal map.
+"""Byte-level BPE: Spark cuts texts into words, Arrow batches fold the bytes of their distinct words by ranked merges.
 
 A vocabulary gives every piece of bytes a rank, which is also its id. Two neighbouring pieces can be joined if their
 joint bytes are a piece; the pair with the lowest rank is joined first, the leftmost of several.
@@ -7,17 +7,19 @@ joint bytes are a piece; the pair with the lowest rank is joined first, the left
 from __future__ import annotations
 
 import base64
-import json
+import heapq
 import os
-from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, replace
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.columns import durable
+from corpusloom.llm.bytewords import slices
 
 # Fixed value: the published pattern that splits text before the merges of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -25,19 +27,16 @@ SAME_MATCHES = r""" ?\p{L}+| ?\p{N}+|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]+|\s+
 #: Where the vocabulary files lie; a parameter everywhere.
 FOLDER = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Words that are encoded once for the whole table, the most frequent first; all others where they stand.
-FREQUENT = 1 << 17
-#: Longer words (in bytes) are never among them, which bounds the size of that table.
+#: Distinct words that are folded at a time.
+AT_ONCE = 1 << 15
+#: Longer words (in bytes) are folded one by one, with a heap.
 LONGEST = 64
+#: The texts of a batch are encoded in parts of about this many bytes.
+PART = 1 << 23
 
-BYTES = "ISO-8859-1"
-#: Types of ids and of the state of the fold.
-IDS, STATE = "array<int>", "array<bigint>"
 #: Bits of an id or rank; the highest rank stands for "no piece".
 BITS = 18
 NONE = (1 << BITS) - 1
-#: Bits of a byte's place in its word.
-PLACE = 63 - 2 * BITS
 #: Bits of a hash that choose the group of a pair.
 GROUP_BITS = 15
 
@@ -51,60 +50,38 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return ranks
 
 
-def let(value: Column, kind: str, body: Callable[[Column], Column]) -> Column:
-    """``body(value)``, which is of type ``kind``, with ``value`` evaluated once.
-
-    The value goes through a fold over one element. That neither copies results nor makes Spark work out the type of the
-    whole body for each row, as taking the element of an array does.
-    """
-    return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, x: body(x))
-
-
-def _literal(values: Sequence, kind: str) -> Column:
-    """An array as one literal of the plan."""
-    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), f"array<{kind}>")
-
-
 @dataclass(frozen=True)
 class RankMap:
-    """The ranks of all pairs of pieces as literals of the plan, those of two bytes also by the bytes themselves.
+    """The ranks of all pairs of pieces, those of two bytes also by the bytes themselves, and the pieces by id.
 
     A pair's key and the rank of its joint bytes share one number in ``entries``. Its place there is its key's hash with
     the mask of the hash's group, so one look-up tells whether a pair has a rank.
     """
 
     salt: int
-    size: int
-    groups: int
-    entries: Column
-    masks: Column
-    singles: Column
-    doubles: Column
-    pieces: Column
-
-    def bound(self, body: Callable[[RankMap], Column]) -> Column:
-        """``body`` with a map whose literals are bound once per row, so that a task holds each of them once."""
-        return let(self.entries, IDS, lambda e: let(self.masks, IDS, lambda s: let(self.singles, IDS, lambda b: let(self.doubles, IDS, lambda d: body(
-            replace(self, entries=e, masks=s, singles=b, doubles=d)
-        )))))
-
-    def rank(self, left: Column, right: Column) -> Column:
-        """The rank of two joined ids, or ``NONE``; also where one of them is null."""
-        def entry(hashed: Column) -> Column:
-            mask = F.get(self.masks, hashed.bitwiseAND(F.lit(self.groups - 1)))
-            return F.get(self.entries, F.shiftrightunsigned(hashed, GROUP_BITS).bitwiseXOR(mask).bitwiseAND(F.lit(self.size - 1)))
-
-        def rank_in(key: Column, found: Column) -> Column:
-            return F.when(F.shiftright(found, BITS) == key, found.bitwiseAND(F.lit(NONE).cast("long")))
-
-        key = F.shiftleft(left, BITS).bitwiseOR(right)
-        entry_of = lambda k: let(F.hash(k.bitwiseOR(F.lit(self.salt).cast("long"))), "bigint", entry)
-        ranked = let(key, "bigint", lambda k: let(entry_of(k), "bigint", lambda e: rank_in(k, e)))
-        return F.coalesce(ranked, F.lit(NONE).cast("long"))
+    entries: np.ndarray
+    masks: np.ndarray
+    singles: np.ndarray
+    doubles: np.ndarray
+    pieces: pa.Array
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of joined ids, or ``NONE``."""
+        key = (left.astype(np.int64) << BITS) | right
+        hashed = _hashes(key | self.salt)
+        place = ((hashed >> GROUP_BITS) ^ self.masks[hashed & (len(self.masks) - 1)]) & (len(self.entries) - 1)
+        entry = self.entries[place]
+        return np.where(entry >> BITS == key, entry & NONE, NONE).astype(np.int32)
+
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """The rank of each pair by its key."""
+        used = self.entries[self.entries >= 0]
+        return dict(zip((used >> BITS).tolist(), (used & NONE).tolist()))
 
 
 def _hashes(keys: np.ndarray) -> np.ndarray:
-    """What Spark's ``hash`` gives for whole numbers (Murmur 3, 32 bits, seed 42), without the sign."""
+    """Murmur 3 of whole numbers (32 bits, seed 42, as Spark's ``hash``), without the sign."""
     def turned(x: np.ndarray, by: int) -> np.ndarray:
         return (x << np.uint32(by)) | (x >> np.uint32(32 - by))
 
@@ -151,21 +128,20 @@ def _places(keys: np.ndarray) -> tuple[int, int, list[int], np.ndarray]:
 
 
 def rank_map(ranks: Mapping[bytes, int]) -> RankMap:
-    """The literals for a vocabulary: pairs, ids of the 256 single bytes, and pieces by id."""
+    """The look-up arrays for a vocabulary: pairs, ids of the 256 single bytes, and pieces by id."""
     pairs = [
         (((ranks[piece[:i]] << BITS) | ranks[piece[i:]]), rank)
         for piece, rank in ranks.items() for i in range(1, len(piece)) if piece[:i] in ranks and piece[i:] in ranks
     ]
     salt, size, masks, places = _places(np.array([key for key, _ in pairs], np.int64))
-    entries = [0] * size
-    for place, (key, rank) in zip(places, pairs):
-        entries[place] = (key << BITS) | rank
-    pieces: list[str | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    entries = np.full(size, -1, np.int64)
+    entries[places] = [(key << BITS) | rank for key, rank in pairs]
+    pieces: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
-        pieces[rank] = piece.decode(BYTES)
-    singles = _literal([ranks[bytes([b])] for b in range(256)], "bigint")
-    doubles = _literal([ranks.get(bytes([b, c]), NONE) for b in range(256) for c in range(256)], "bigint")
-    return RankMap(salt, size, 1 << GROUP_BITS, _literal(entries, "bigint"), _literal(masks, "int"), singles, doubles, _literal(pieces, "string"))
+        pieces[rank] = piece
+    singles = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+    doubles = np.array([ranks.get(bytes([b, c]), NONE) for b in range(256) for c in range(256)], np.int32)
+    return RankMap(salt, entries, np.array(masks, np.int64), singles, doubles, pa.array(pieces, pa.large_binary()))
 
 
 def words(text: Column, pattern: str = PATTERN) -> Column:
@@ -179,105 +155,167 @@ def words(text: Column, pattern: str = PATTERN) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?U){pattern}"), 0)
 
 
-def word_ids(word: Column, table: RankMap) -> Column:
-    """The ids that are left of a word's bytes when no neighbours can be joined any more.
+def _folded(codes: np.ndarray, sizes: np.ndarray, table: RankMap) -> tuple[np.ndarray, np.ndarray]:
+    """The ids left of words (a row of bytes each) when no neighbours can be joined any more, and their numbers.
 
-    The fold's state is an array with one number for each piece left: the rank of joining it with its right neighbour,
-    its place, its id. So the smallest number is the next pair to join, and its rank is the id it gets. A step replaces
-    that number and its left neighbour's and takes the right one out; a word costs the square of its length.
+    A step joins the pair with the lowest rank, the leftmost of several, of every word that still has one.
     """
-    def bits(value: int) -> Column:
-        return F.lit(value).cast("long")
-
-    def packed(rank: Column, place: Column, ident: Column) -> Column:
-        return F.shiftleft(rank, BITS + PLACE).bitwiseOR(place).bitwiseOR(ident)
-
-    ident = lambda x: x.bitwiseAND(bits(NONE))
-    place = lambda x: x.bitwiseAND(bits(((1 << PLACE) - 1) << BITS))
-
-    def start(codes: Column) -> Column:
-        def first(code: Column, i: Column) -> Column:
-            rank = F.coalesce(F.get(table.doubles, F.shiftleft(code, 8).bitwiseOR(F.get(codes, i + 1))), bits(NONE))
-            return packed(rank, F.shiftleft(i.cast("long"), BITS), F.get(table.singles, code))
-
-        return F.transform(codes, first)
-
-    def step(state: Column, _: Column) -> Column:
-        def join(low: Column) -> Column:
-            both = F.shiftright(low, BITS + PLACE)
-
-            def at(i: Column) -> Column:  # place of the lowest number, from 1
-                before = F.get(state, i - 2)
-                here = packed(table.rank(both, ident(F.get(state, i + 1))), place(low), both)
-                left = packed(table.rank(ident(before), both), place(before), ident(before))
-                return let(here, STATE, lambda h: let(left, STATE, lambda l: changed(i, before, l, h)))
-
-            def changed(i: Column, before: Column, left: Column, here: Column) -> Column:
-                others = F.array_remove(F.array_remove(state, F.get(state, i)), low)
-                linked = F.when(i == 1, others).otherwise(F.array_insert(F.array_remove(others, before), i - 1, left))
-                return F.array_insert(linked, i, here)
-
-            return let(F.array_position(state, low).cast("int"), STATE, at)
-
-        return let(F.array_min(state), STATE, lambda low: F.when(low >= bits(NONE << (BITS + PLACE)), state).otherwise(join(low)))
-
-    # A byte is held as the character of the same number.
-    codes = F.transform(F.split(F.decode(word.cast("binary"), BYTES), ""), lambda c: F.ascii(c))
-    folded = let(let(codes, STATE, start), STATE, lambda first: F.aggregate(first, first, step))
-    return F.transform(folded, lambda x: ident(x).cast("int"))
-
-
-def known_words(docs: DataFrame, table: RankMap, ranks: Mapping[bytes, int], text: str, pattern: str, most: int) -> tuple[Column, int]:
-    """The ids of the ``most`` most frequent words of at most ``LONGEST`` bytes, each encoded once, as one literal.
-
-    Counted over all documents, with sums inside the tasks before the shuffle. What comes to the driver is bounded by
-    ``most`` times ``LONGEST``. A word that is a piece has that piece's id; pieces that the merges of their own bytes do
-    not give are therefore listed too, whether they are frequent or not. The literal is an array of small maps, a
-    word's place in it the last bits of its hash; its size comes second.
-    """
-    spark = docs.sparkSession
-    each = docs.select(F.explode(words(F.col(text), pattern)).alias("word")).where(F.octet_length("word") <= LONGEST)
-    counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    own = [(word, rank) for piece, rank in ranks.items() if (word := piece.decode(errors="ignore")).encode() == piece]
-    pieces = spark.createDataFrame(pa.table({"word": [w for w, _ in own], "rank": pa.array([r for _, r in own], pa.int32())}))
-    top = counts.where(F.col("n") > 1).orderBy(F.desc("n"), "word").limit(most).select("word")
-    spread = durable(top).unionByName(pieces.select("word")).distinct().join(F.broadcast(pieces), "word", "left")  # one row per piece of the vocabulary
-    folded = table.bound(lambda t: word_ids(F.col("word"), t))
-    wanted = durable(spread.select("word", F.when(F.col("rank").isNotNull(), F.array("rank")).otherwise(folded).alias("ids")))
-    size = 1 << max(wanted.count() - 1, 1).bit_length() - 1
-    entry = F.map_from_entries(F.collect_list(F.struct("word", "ids")))
-    maps = ["{}"] * size
-    for place, text in wanted.groupBy(F.hash("word").bitwiseAND(F.lit(size - 1))).agg(F.to_json(entry)).toArrow().to_pandas().itertuples(index=False):
-        maps[place] = text
-    return F.from_json(F.lit(f"[{','.join(maps)}]"), "array<map<string,array<int>>>"), size
+    ids, sizes = table.singles[codes], sizes.copy()
+    out, left, row = ids.copy(), sizes.copy(), np.arange(len(ids))
+    ranks = table.doubles[codes[:, :-1].astype(np.int32) << 8 | codes[:, 1:]]
+    ranks[np.arange(ranks.shape[1]) >= sizes[:, None] - 1] = NONE
+    while ranks.shape[1] and len(row):
+        low = ranks.argmin(axis=1)
+        best = ranks[np.arange(len(row)), low]
+        more = best < NONE
+        if not more.all():
+            done = row[~more]
+            out[done, : ids.shape[1]], left[done] = ids[~more], sizes[~more]
+            ids, ranks, sizes, row, low, best = ids[more], ranks[more], sizes[more], row[more], low[more], best[more]
+            if not len(row):
+                break
+        sizes -= 1
+        width, every = int(sizes.max()), np.arange(len(row))
+        ids = np.where(np.arange(width) > low[:, None], ids[:, 1 : width + 1], ids[:, :width])
+        ids[every, low] = best
+        last = np.full((len(row), 1), NONE, np.int32)
+        ranks = np.where(np.arange(width) > low[:, None], np.hstack([ranks[:, 1:], last])[:, :width], ranks[:, :width])
+        ranks[every, low] = NONE
+        some = np.flatnonzero(low < sizes - 1)
+        ranks[some, low[some]] = table.rank(best[some], ids[some, low[some] + 1])
+        some = np.flatnonzero(low > 0)
+        ranks[some, low[some] - 1] = table.rank(ids[some, low[some] - 1], best[some])
+        ranks = ranks[:, : max(width - 1, 0)]
+    out[row, : ids.shape[1]], left[row] = ids, sizes
+    return out, left
+
+
+def _folded_long(word: bytes, table: RankMap) -> list[int]:
+    """The ids left of one word; a heap holds the pairs, so that its cost hardly grows faster than the word."""
+    ids = table.singles[np.frombuffer(word, np.uint8)].tolist()
+    after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+    heap: list[tuple[int, int, int]] = []
+
+    def add(i: int, j: int) -> None:
+        if i >= 0 and j < len(ids):
+            key = ids[i] << BITS | ids[j]
+            if (rank := table.pairs.get(key)) is not None:
+                heapq.heappush(heap, (rank, i, key))
+
+    for i in range(len(ids) - 1):
+        add(i, i + 1)
+    while heap:
+        rank, i, key = heapq.heappop(heap)
+        j = after[i]
+        if ids[i] < 0 or j >= len(ids) or ids[i] << BITS | ids[j] != key:
+            continue  # one of the pair has been joined since
+        ids[i], ids[j], after[i] = rank, -1, after[j]
+        if after[j] < len(ids):
+            before[after[j]] = i
+        add(before[i], i)
+        add(i, after[i])
+    return [x for x in ids if x >= 0]
+
+
+def _blocks(sizes: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Places of words of at most ``LONGEST`` bytes, up to ``most`` at a time, whose sizes differ by a factor of two at most."""
+    order = np.argsort(sizes, kind="stable")
+    cuts = [0, *np.searchsorted(sizes[order], 2 ** np.arange(LONGEST.bit_length()), "right")]
+    for low, high in zip(cuts, cuts[1:]):
+        for at in range(low, high, max(most, 1)):
+            yield order[at : min(high, at + max(most, 1))]
+
+
+def word_ids(words: pa.Array, table: RankMap, most: int = AT_ONCE) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of distinct words one after the other, and the number of each word's ids. A word that is a piece is its id."""
+    words = words.cast(pa.large_binary())
+    piece = pc.index_in(words, value_set=table.pieces, skip_nulls=True).fill_null(-1).to_numpy(zero_copy_only=False)
+    counts = np.ones(len(words), np.int64)
+    rest = np.flatnonzero(piece < 0)
+    folded = words.take(pa.array(rest))
+    offsets = np.frombuffer(folded.buffers()[1], np.int64)[folded.offset : folded.offset + len(folded) + 1] if len(folded) else np.zeros(1, np.int64)
+    data, sizes = np.frombuffer(folded.buffers()[2] or b"", np.uint8), np.diff(offsets)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # words, their numbers of ids, ids
+    for some in _blocks(sizes, most):
+        if len(some):
+            at = offsets[some][:, None] + np.arange(int(sizes[some].max()))
+            ids, left = _folded(data[np.minimum(at, len(data) - 1)], sizes[some], table)
+            found.append((rest[some], left, ids[np.arange(ids.shape[1]) < left[:, None]]))
+    for i in np.flatnonzero(sizes > LONGEST).tolist():
+        ids = np.array(_folded_long(data[offsets[i] : offsets[i + 1]].tobytes(), table), np.int32)
+        found.append((rest[i : i + 1], np.array([len(ids)]), ids))
+    for some, left, _ in found:
+        counts[some] = left
+    ends = np.cumsum(counts)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
+    whole = np.flatnonzero(piece >= 0)
+    out[ends[whole] - 1] = piece[whole]
+    for some, left, ids in found:
+        out[_spread(ends[some] - left, left)] = ids
+    return out, counts
+
+
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places ``starts[i]``, ``starts[i] + 1`` … of each i, ``counts[i]`` of them, one after the other."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+
+
+def _encoded(rows: pa.Array, table: RankMap, most: int) -> pa.Array:
+    """Lists of ids for lists of words: each distinct word is encoded once."""
+    lengths = pc.list_value_length(rows).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = rows.flatten().dictionary_encode()
+    ids, counts = word_ids(coded.dictionary, table, most)
+    starts, at = np.cumsum(counts) - counts, coded.indices.to_numpy().astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(counts[at])])[np.concatenate([[0], np.cumsum(lengths)])]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids[_spread(starts[at], counts[at])]))
 
 
 def encoded(
-    docs: DataFrame, ranks: Mapping[bytes, int], text: str = "text", ids: str = "ids", pattern: str = PATTERN, most: int = FREQUENT, table: RankMap | None = None
+    docs: DataFrame, ranks: Mapping[bytes, int], text: str = "text", ids: str = "ids", pattern: str = PATTERN, most: int = AT_ONCE, table: RankMap | None = None
 ) -> DataFrame:
     """``docs`` with an array of the token ids of the whole text, as the ``tiktoken`` library encodes ordinary text.
 
-    The words of all documents are counted; the most frequent are encoded once and looked up in a literal map, all
-    others are encoded where they stand, so that no text is shuffled and no word is a hot key. A null or empty text has
-    no ids. Rows are handled one by one: repeated rows and null keys stay as they are. A column called like ``ids`` is
-    replaced. White space, letters and numbers are those of the Unicode version of the Java runtime.
+    Texts are cut into words by Spark and go in Arrow batches to the tasks' Python, where the distinct words of a part
+    of a batch are folded together, up to ``most`` at a time. No text is shuffled, no word is a hot key, and nothing of
+    the table comes to the driver. A null or empty text has no ids. Rows are handled one by one: repeated rows and null
+    keys stay as they are. A column called like ``ids`` is replaced. White space, letters and numbers are those of the
+    Unicode version of the Java runtime.
     """
     table = table or rank_map(ranks)
-    known, size = known_words(docs, table, ranks, text, pattern, most)
 
-    def ids_of(maps: Column, bound: RankMap) -> Column:
-        found = lambda w: F.get(maps, F.hash(w).bitwiseAND(F.lit(size - 1)))[w]
-        return F.flatten(F.transform(words(F.col(text), pattern), lambda w: F.coalesce(found(w), word_ids(w, bound))))
+    @F.arrow_udf("array<int>")
+    def ids_of(rows: pa.Array) -> pa.Array:
+        sizes = pc.list_value_length(rows).to_numpy(zero_copy_only=False)
+        size = rows.flatten().nbytes // max(int(sizes.sum()), 1) + 1  # bytes a word, about
+        parts = [_encoded(rows[low:high], table, most) for low, high in slices(sizes * size, PART)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
-    return docs.withColumn(ids, table.bound(lambda bound: let(known, IDS, lambda maps: ids_of(maps, bound))))
+    return docs.withColumn(ids, ids_of(words(F.col(text), pattern)))
 
 
 def decoded(ids: Column, table: RankMap) -> Column:
     """The bytes of an array of ids: their pieces one after the other. Null stays null; an id without a piece is an error."""
-    found = lambda pieces: F.encode(F.array_join(pieces, ""), BYTES)
-    pieces = let(table.pieces, "array<string>", lambda all_: F.transform(ids, lambda i: F.get(all_, i)))
-    return let(pieces, "binary", lambda each: F.when(~F.exists(each, F.isnull), found(each)).otherwise(
-        F.raise_error(F.lit("an id has no piece")).cast("binary")))
+    pieces = table.pieces
+
+    @F.arrow_udf("binary")
+    def bytes_of(rows: pa.Array) -> pa.Array:
+        lengths = pc.list_value_length(rows).fill_null(0).to_numpy(zero_copy_only=False)
+        found = []
+        for low, high in slices(lengths * 4, PART):
+            part = rows[low:high]
+            flat = part.flatten()
+            if flat.null_count or len(flat) and not (0 <= pc.min(flat).as_py() and pc.max(flat).as_py() < len(pieces)):
+                raise ValueError("an id has no piece")
+            each = pieces.take(flat)
+            if each.null_count:
+                raise ValueError("an id has no piece")
+            ends = np.concatenate([[0], np.cumsum(pc.binary_length(each).to_numpy())])
+            ends = ends[np.concatenate([[0], np.cumsum(lengths[low:high], dtype=np.int64)])]
+            joined = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(ends.astype(np.int64)), each.buffers()[2] or pa.py_buffer(b"")])
+            found.append(pc.if_else(part.is_null(), pa.scalar(None, pa.large_binary()), joined).cast(pa.binary()))
+        return pa.concat_arrays(found) if found else pa.array([], pa.binary())
+
+    return bytes_of(ids)
 
 
 def round_trip(docs: DataFrame, ranks: Mapping[bytes, int], text: str = "text") -> DataFrame:

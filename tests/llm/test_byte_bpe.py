@@ -90,3 +90,29 @@ def test_query(spark):
         want.add((row["doc_id"], len(ids), sha(",".join(map(str, ids)).encode()), sha((row["text"] or "").encode())))
     rows = QUERIES["op11_byte_bpe"](spark, FOLDER).collect()
     assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+
+
+def test_a_pair_of_the_first_id(spark):
+    """The pair (0, 0) has no rank here; an empty place of the look-up must not stand for it."""
+    ranks = {bytes([b]): b + 1 for b in range(256)} | {b"ab": 0}
+    assert [r["ids"] for r in check(spark.createDataFrame([("abab",), ("ababab" * 20,)], "text string"), ranks)] == [[0] * 2, [0] * 60]
+
+
+def test_rare_words_need_no_table(spark, ranks):
+    """Every word occurs once: nothing is counted or collected beforehand, and each word is folded in its batch."""
+    draw = random.Random(5)
+    made = ["".join(draw.choice("abcdeghilmnorstuéßн日") for _ in range(draw.randrange(1, 60))) for _ in range(9000)]
+    docs = spark.createDataFrame([(i, " ".join(made[30 * i:30 * i + 30])) for i in range(300)], "doc_id long, text string")
+    spark.sparkContext.setJobGroup("encode", "encode")
+    rows = byte_bpe.encoded(docs, ranks)
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("encode")) == []
+    spark.sparkContext.setJobGroup("check", "check")
+    encode = library(ranks)
+    assert all(r["ids"] == encode(r["text"]) for r in rows.collect())
+
+
+def test_long_words_have_a_heap(ranks):
+    table, draw = byte_bpe.rank_map(ranks), random.Random(6)
+    for size in (65, 200, 5000):
+        word = "".join(draw.choice("abenrst日é") for _ in range(size))
+        assert byte_bpe._folded_long(word.encode(), table) == library(ranks)(word)
