@@ -32,11 +32,23 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 def letter_embedding(text: Column) -> Column:
-    """Deterministic stand-in for an embedding model: unit vector of letter counts. Not a model's output."""
-    def counts(low: Column) -> Column:
-        return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c)))).cast("double") for c in LETTERS])
-
-    return unit(let(F.lower(text), counts))
+    """Deterministic stand-in for an embedding model: unit vector of letter counts, counted by Arrow batches; null for a
+    text without such letters. Not a model's output."""
+    @F.arrow_udf("array<double>")
+    def vectors(low: pa.Array) -> pa.Array:
+        low = pc.fill_null(low.cast(pa.large_binary()), b"")
+        at = np.frombuffer(low.buffers()[1], np.int64)[low.offset : low.offset + len(low) + 1] if len(low) else np.zeros(1, np.int64)
+        letter = np.frombuffer(low.buffers()[2] or b"", np.uint8)[at[0] : at[-1]] - np.uint8(ord(LETTERS[0]))
+        row = np.repeat(np.arange(len(low)), np.diff(at))
+        places = (row * len(LETTERS) + letter)[letter < len(LETTERS)]
+        counts = np.bincount(places, minlength=len(low) * len(LETTERS)).reshape(len(low), len(LETTERS)).astype(float)
+        length = np.sqrt(np.square(counts).sum(axis=1))
+        some = length > 0
+        flat = (counts[some] / length[some, None]).ravel()
+        ends = np.concatenate([[0], np.cumsum(some)]) * len(LETTERS)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array(~some))
+
+    return vectors(F.lower(text))
 
 
 def unit(vector: Column) -> Column:

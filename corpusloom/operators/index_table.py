@@ -1,9 +1,10 @@
 """A term and vector index that follows its corpus: changed parents replace their chunks, statistics move by differences.
 
-Plain Parquet. ``forward`` holds one row per chunk with its term counts and vector, partitioned by a hash of the parent, so
-that a change rewrites only the partitions of its parents. ``terms`` and ``sizes`` hold, for each batch of changes, by how
-much document frequencies, the number of chunks and their lengths went up or down; sums over all batches are the
-statistics, and ``compact`` adds the batches up.
+Plain Parquet. ``forward`` holds one row per chunk with its term counts and vector, partitioned by a hash of the parent and
+by batch. A change adds the chunks that come and a mark for each parent it touches, and rewrites nothing: a mark puts the
+parent's chunks of earlier batches out of sight, until ``settle`` leaves them out. ``terms`` and ``sizes`` hold, for each
+batch of changes, by how much document frequencies, the number of chunks and their lengths went up or down; sums over all
+batches are the statistics, and ``compact`` adds the batches up. ``order`` numbers the batches.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from corpusloom.session import durable
 
 #: Partitions of the forward table; a parameter of an index that must stay the same.
 BUCKETS = 64
+#: Tasks that share the rows of a bucket, at most, when these are written.
+SPREAD = 8
+#: Up to so many parents go to the chunks by a broadcast; beyond it both are shuffled.
+BROADCAST = 1 << 20
 _CHANGES = {"terms": "term string, df long", "sizes": "n long, length long"}
 
 
@@ -42,17 +47,41 @@ class IndexTable:
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64("parent_id"), F.lit(self.buckets)).cast("int")
 
-    def forward(self, spark: SparkSession) -> DataFrame:
-        """One row per chunk; rows without an id only mark that a partition is empty."""
-        return spark.read.schema(self.schema).parquet(f"{self.path}/forward").where(F.col("child_id").isNotNull())
+    def stored(self, spark: SparkSession, marks: bool) -> DataFrame:
+        """The chunks of all batches, or the marks."""
+        fields = [f for f in self.schema.fields if f.name != "bucket"]
+        schema = T.StructType(fields + T.StructType.fromDDL("seq long, bucket int, batch string, mark int").fields)
+        return spark.read.schema(schema).parquet(f"{self.path}/forward").where(F.col("mark") == int(marks))
+
+    def forward(self, spark: SparkSession, of: DataFrame | None = None) -> DataFrame:
+        """One row per chunk that no later batch has replaced or deleted; ``of`` are the distinct parents wanted."""
+        rows = self.stored(spark, False).where(F.col("child_id").isNotNull())
+        if of is not None:  # first, so that only their chunks meet the marks
+            rows = rows.join(_beside(of.select("parent_id"), of.count()), "parent_id", "left_semi")
+        marks = self.stored(spark, True)
+        last = marks.groupBy(F.col("parent_id").alias("_parent")).agg(F.max("seq").alias("_seq"))
+        out = (F.col("parent_id") == F.col("_parent")) & (F.col("seq") < F.col("_seq"))
+        return rows.join(_beside(last, marks.count()), out, "left_anti").select(*self.schema.names)
 
     def changes(self, spark: SparkSession, kind: str) -> DataFrame:
         return spark.read.schema(f"{_CHANGES[kind]}, batch string").parquet(f"{self.path}/{kind}")
 
 
-def _overwrite(rows: DataFrame, path: str, by: str) -> None:
-    """Replace exactly the partitions that occur in ``rows``."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+def _beside(parents: DataFrame, count: int) -> DataFrame:
+    """Parents that are to meet chunks, which are many more and wide: these are not sorted, and not moved for few parents."""
+    return F.broadcast(parents) if count <= BROADCAST else parents.hint("shuffle_hash")
+
+
+def _overwrite(rows: DataFrame, path: str, *by: str, whole: bool = False) -> None:
+    """Replace exactly the partitions that occur in ``rows``, or the ``whole`` table."""
+    mode = "static" if whole else "dynamic"
+    rows.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(*by).parquet(path)
+
+
+def _add(index: IndexTable, rows: DataFrame, batch: str, whole: bool = False) -> None:
+    """Write rows (chunks, ``seq``, ``mark``) under the name of a batch. A bucket may be the work of several tasks."""
+    dealt = rows.withColumn("batch", F.lit(batch)).repartition("bucket", F.pmod(F.hash("child_id"), F.lit(SPREAD)))
+    _overwrite(dealt, f"{index.path}/forward", "bucket", "batch", "mark", whole=whole)
 
 
 def _chunks(index: IndexTable, children: DataFrame) -> DataFrame:
@@ -76,52 +105,55 @@ def _difference(new: DataFrame, old: DataFrame | None) -> tuple[DataFrame, DataF
 
 
 def create(index: IndexTable, children: DataFrame) -> None:
-    """Write the index of ``children`` (child_id, parent_id, text, and the columns to keep)."""
-    rows = _chunks(index, children)
-    _overwrite(rows.unionByName(_marks(index, rows.sparkSession, range(index.buckets))).repartition(index.buckets, "bucket"), f"{index.path}/forward", "bucket")
-    _record(index, "0", *_difference(index.forward(rows.sparkSession), None))
+    """Write the index of ``children`` (child_id, parent_id, text, and the columns to keep), in place of any other there."""
+    spark = children.sparkSession
+    _add(index, _chunks(index, children).withColumns({"seq": F.lit(0).cast("long"), "mark": F.lit(0)}), "0", whole=True)
+    _overwrite(spark.createDataFrame([(0, "0")], "seq long, batch string"), f"{index.path}/order", "batch", whole=True)
+    _record(index, "0", *_difference(index.stored(spark, False).where(F.col("child_id").isNotNull()), None), whole=True)
 
 
-def _marks(index: IndexTable, spark: SparkSession, buckets) -> DataFrame:
-    """Rows without an id for partitions that may have no other row: an overwrite leaves partitions alone that get none."""
-    numbers = spark.createDataFrame([(int(b),) for b in buckets], "bucket int")
-    return numbers.select(*[F.col("bucket") if f.name == "bucket" else F.lit(None).cast(f.dataType).alias(f.name) for f in index.schema.fields])
+def _number(index: IndexTable, spark: SparkSession, batch: str) -> int:
+    """The place of a batch in the order of batches, the next one for a new name."""
+    order = spark.read.schema("seq long, batch string").parquet(f"{index.path}/order")
+    found = order.agg(F.max(F.when(F.col("batch") == batch, F.col("seq"))).alias("own"), F.max("seq").alias("last")).first()
+    if found["own"] is not None:
+        return found["own"]
+    _overwrite(spark.createDataFrame([(found["last"] + 1, batch)], "seq long, batch string"), f"{index.path}/order", "batch")
+    return found["last"] + 1
 
 
-def _record(index: IndexTable, batch: str, frequencies: DataFrame, sizes: DataFrame) -> None:
+def _record(index: IndexTable, batch: str, frequencies: DataFrame, sizes: DataFrame, whole: bool = False) -> None:
     """Differences of a batch under its name; ``sizes``, written last, tells that they are whole."""
     for kind, rows in (("terms", frequencies), ("sizes", sizes)):
-        _overwrite(rows.withColumn("batch", F.lit(batch)), f"{index.path}/{kind}", "batch")
+        _overwrite(rows.withColumn("batch", F.lit(batch)), f"{index.path}/{kind}", "batch", whole=whole)
 
 
 def change(index: IndexTable, batch: str, children: DataFrame | None = None, deleted: DataFrame | None = None, *, spark: SparkSession | None = None) -> None:
     """Replace the chunks of every parent in ``children`` by those given, and drop those of the parents in ``deleted``.
 
     ``children`` holds all chunks of its parents; ``deleted`` has a column parent_id; a parent in both is replaced. Unknown
-    parents are simply new, or nothing to delete. Only the partitions of these parents are read and written.
+    parents are simply new, or nothing to delete. Only the buckets of these parents get files, and no file is rewritten.
 
     A batch that broke off is repeated under the same name: its differences, once whole, are not taken again, and
-    replacing partitions twice gives the same. Between both steps searches see new statistics over old chunks.
+    its rows take the place of those it wrote. Between both steps searches see new statistics over old chunks.
     """
     spark = spark or (children if children is not None else deleted).sparkSession
-    new = durable(_chunks(index, children)) if children is not None else None
-    touched = [d.select("parent_id") for d in (new, deleted) if d is not None]
-    parents = touched[0] if len(touched) == 1 else touched[0].unionByName(touched[1])
+    new = durable(_chunks(index, children)) if children is not None else spark.createDataFrame([], index.schema)
+    parents = new.select("parent_id") if deleted is None else new.select("parent_id").unionByName(deleted.select("parent_id"))
     parents = durable(parents.where(F.col("parent_id").isNotNull()).distinct().withColumn("bucket", index.bucket()))
-    buckets = sorted(r["bucket"] for r in parents.select("bucket").distinct().collect())  # at most index.buckets numbers
-    if not buckets:
+    if parents.isEmpty() and new.isEmpty():
         return
-    held = index.forward(spark).where(F.col("bucket").isin(buckets))
-    gone = parents.select("parent_id")
+    seq = _number(index, spark, batch)
     if index.changes(spark, "sizes").where(F.col("batch") == batch).isEmpty():
-        old = held.join(gone, "parent_id", "left_semi")
-        came = new if new is not None else spark.createDataFrame([], index.schema)
-        _record(index, batch, *_difference(came, old))
-    rows = held.join(gone, "parent_id", "left_anti").select(*index.schema.names)
-    if new is not None:
-        rows = rows.unionByName(new)
-    rows = durable(rows.unionByName(_marks(index, spark, buckets)))  # written apart, as the partitions are still being read
-    _overwrite(rows.repartition("bucket"), f"{index.path}/forward", "bucket")
+        _record(index, batch, *_difference(new, index.forward(spark, parents)))
+    marks = parents.select(*[F.col(f.name) if f.name in parents.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in index.schema.fields])
+    _add(index, new.withColumn("mark", F.lit(0)).unionByName(marks.withColumn("mark", F.lit(1))).withColumn("seq", F.lit(seq).cast("long")), batch)
+
+
+def settle(index: IndexTable, spark: SparkSession) -> None:
+    """Write ``forward`` anew without marks and without what they put out of sight. No search or change may run meanwhile."""
+    live = durable(index.forward(spark))
+    _add(index, live.withColumns({"seq": F.lit(0).cast("long"), "mark": F.lit(0)}), "0", whole=True)
 
 
 def compact(index: IndexTable, spark: SparkSession, batches: Sequence[str], into: str) -> None:

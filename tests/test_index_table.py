@@ -98,3 +98,45 @@ def test_everything_goes(spark, tmp_path):
     empty = index_table.IndexTable(str(tmp_path / "empty"), keep="page int")
     index_table.create(empty, frame(spark, []))
     check(spark, empty, [])
+
+
+def stands(spark, index, rows):
+    """Chunks and statistics as those of an index built anew."""
+    got, want = index_table.searchable(index, spark), sparse.build_index(frame(spark, rows))
+    assert sorted((r["child_id"], r["page"]) for r in index.forward(spark).collect()) == sorted((r[0], r[3]) for r in rows)
+    for name, columns in (("postings", ["term", "child_id", "tf", "dl"]), ("term_stats", ["term", "df"]), ("corpus", ["n", "avgdl"])):
+        have, need = (sorted(tuple(r) for r in getattr(side, name).select(*columns).collect()) for side in (got, want))
+        assert have == need
+
+
+def test_a_change_rewrites_nothing(spark, tmp_path):
+    """A change of every bucket adds files and leaves those that are there as they are."""
+    draw = random.Random(12)
+    index = index_table.IndexTable(str(tmp_path / "index"), keep="page int", buckets=5)
+    rows = chunks(draw, [f"p{i}" for i in range(60)])
+    index_table.create(index, frame(spark, rows))
+    before = files(spark, index)
+    new = chunks(draw, [f"p{i}" for i in range(0, 60, 2)])
+    index_table.change(index, "half", frame(spark, new), spark.createDataFrame([("p1",), ("p3",)], "parent_id string"))
+    assert before < files(spark, index)
+    rows = [r for r in rows if int(r[1][1:]) % 2 and r[1] not in ("p1", "p3")] + new
+    stands(spark, index, rows)
+    index_table.settle(index, spark)
+    assert index.stored(spark, True).isEmpty() and index.stored(spark, False).count() == len(rows)
+    stands(spark, index, rows)
+    index_table.change(index, "later", frame(spark, chunks(draw, [])), spark.createDataFrame([("p2",)], "parent_id string"))
+    stands(spark, index, [r for r in rows if r[1] != "p2"])
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_marks_shuffled_or_broadcast(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(index_table, "BROADCAST", most)
+    draw = random.Random(13)
+    index = index_table.IndexTable(str(tmp_path / "index"), keep="page int", buckets=3)
+    rows = chunks(draw, [f"p{i}" for i in range(30)])
+    index_table.create(index, frame(spark, rows))
+    for step in range(3):  # the same parents go and come again
+        new = chunks(draw, ["p1", "p2", f"p{step + 5}"])
+        index_table.change(index, f"b{step}", frame(spark, new), spark.createDataFrame([("p9",), ("p2",)], "parent_id string"))
+        rows = [r for r in rows if r[1] not in ("p1", "p2", f"p{step + 5}", "p9")] + new
+        stands(spark, index, rows)

@@ -198,3 +198,15 @@ def test_metadata_filter(spark):
     assert ids({"kind": {"exists": True}}) == [1, 2] and ids({"kind": "a"}) == [1] and ids({}) == [1, 2, 3]
     with pytest.raises(ValueError):
         metadata_filter({"n": {"near": 1}})
+
+
+def test_letter_embedding_counts_in_arrow(spark):
+    """Unit vectors of letter counts; null for texts without letters a-z; no interpreted expression per letter."""
+    texts = ["Abba Z", None, "", "日本 123", "K İx", "ß" * 3 + "é", "zz" * 5000]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    rows = frame.select("i", F.lower("text").alias("low"), dense.letter_embedding(F.col("text")).alias("v"))
+    assert "ArrowEvalPython" in rows._jdf.queryExecution().executedPlan().toString()
+    for row in rows.collect():
+        counts = [float((row["low"] or "").count(c)) for c in dense.LETTERS]
+        length = sum(x * x for x in counts) ** 0.5
+        assert row["v"] == ([x / length for x in counts] if length else None)
