@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import metrics as M
-from corpusloom.functions.text import terms
+from corpusloom.functions.text import terms, words
 from corpusloom.operators import dense, ranking, sparse
 from corpusloom.session import durable, few
 from corpusloom.plans.registry import (
@@ -315,23 +315,49 @@ def passage_search_quality(t: Tables) -> DataFrame:
 def containing_documents(t: Tables) -> DataFrame:
     """(query_id, file_id) of documents that hold a passage word for word.
 
-    A passage's rarest word is looked up first; only documents with that word are compared.
+    A passage's rarest whole word is looked up first; only documents with that word are compared. The edges of a passage may
+    cut its first and last word: where it has no other, documents are compared that have a word with the longer of them
+    inside. A passage without any word is compared with every document.
     """
-    from corpusloom.functions.text import words
-
-    inner = t.passages().select("query_id", F.explode(F.array_distinct(whole_words(F.col("text")))).alias("word"))
-    wanted = durable(inner.select("word").distinct())
-    doc_words = t.files().select("file_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(wanted, "word", "left_semi")
+    asked = durable(t.passages().dropna().distinct().withColumn("words", folded_words(F.col("text"))))
+    held = t.files().select("file_id", F.explode(F.array_distinct(folded_words(F.col("text")))).alias("word"))
+    inner = asked.select("query_id", "text", F.explode(F.array_distinct(whole_words(F.col("words")))).alias("word"))
+    first, last = F.get("words", F.lit(0)), F.element_at("words", -1)
+    piece = F.when(F.length(first) < F.length(last), last).otherwise(first)
+    short = durable(asked.where(F.size("words").between(1, 2)).select("query_id", "text", piece.alias("piece")))
+    around = short.select("piece", F.col("piece").alias("word")).limit(0)
+    if not short.isEmpty():
+        around = durable(words_around(held.select("word").distinct(), short.select("piece").distinct()))
+    wanted = durable(inner.select("word").union(around.select("word")).distinct())
+    doc_words = held.join(wanted, "word", "left_semi")
     sizes = doc_words.groupBy("word").agg(F.count("*").alias("df"))
-    rare = inner.join(sizes, "word").groupBy("query_id").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
-    pairs = rare.join(doc_words, "word").select("query_id", "file_id")
-    texts = pairs.join(t.files().select("file_id", F.col("text").alias("body")), "file_id").join(t.passages(), "query_id")
-    return texts.where(F.col("body").contains(F.col("text"))).select("query_id", "file_id")
+    rare = inner.join(sizes, "word").groupBy("query_id", "text").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
+    looked_up = rare.unionByName(short.join(around, "piece").drop("piece"))
+    pairs = looked_up.join(doc_words, "word").select("query_id", "file_id", "text").distinct()
+    bodies = t.files().select("file_id", F.col("text").alias("body"))
+    holds = F.col("body").contains(F.col("text"))
+    found = pairs.join(bodies, "file_id").where(holds).select("query_id", "file_id")
+    bare = asked.where(F.size("words") == 0).select("query_id", "text")
+    return found if bare.isEmpty() else found.unionByName(bodies.join(bare, holds).select("query_id", "file_id"))
 
 
-def whole_words(text):
-    """Words that cannot be cut by the passage's edges: all but the first and the last."""
-    from corpusloom.functions.text import words
+def folded_words(text: Column) -> Column:
+    """Words to look up. What follows a sigma decides its lower case, and the edge of a passage hides that: one form for all."""
+    return words(F.replace(F.replace(text, F.lit("Σ"), F.lit("σ")), F.lit("ς"), F.lit("σ")))
 
-    found = words(text)
+
+def whole_words(found: Column) -> Column:
+    """Words that cannot be cut by the passage's edges: all but the first and the last."""
     return F.slice(found, 2, F.greatest(F.size(found) - 2, F.lit(0)))
+
+
+def words_around(vocabulary: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(piece, word) for the distinct words that have a distinct piece inside.
+
+    Both meet by the first three characters of a piece, so that not every piece is compared with every word.
+    """
+    starts = F.regexp_extract_all("word", F.lit("(?=(.{1,3}))"), 1)  # of what begins at each place of the word
+    grams = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.array(s, F.substring(s, 1, 2), F.substring(s, 1, 1)))))
+    keyed = pieces.withColumn("gram", F.substring("piece", 1, 3))
+    met = vocabulary.select("word", F.explode(grams).alias("gram")).join(keyed, "gram")
+    return met.where(F.col("word").contains(F.col("piece"))).select("piece", "word")

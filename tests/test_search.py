@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import words
 from corpusloom.operators import dense, ranking, sparse
 from corpusloom.operators.filters import metadata_filter
-from corpusloom.plans import catalog
+from corpusloom.plans import catalog, search
+from corpusloom.plans.registry import Tables
 
 WORDS = [f"w{i}" for i in range(30)]
 
@@ -210,3 +211,23 @@ def test_letter_embedding_counts_in_arrow(spark):
         counts = [float((row["low"] or "").count(c)) for c in dense.LETTERS]
         length = sum(x * x for x in counts) ** 0.5
         assert row["v"] == ([x / length for x in counts] if length else None)
+
+
+def test_short_passages_are_found_in_documents(spark, tmp_path):
+    """Passages of any number of words, cut anywhere: every document that holds one, none that does not."""
+    bodies = ["the quick brown fox", "Foxes, quickly!", "brown\nfox", "大向量检索 fox 好", "量检 x", "ΟΔΟΣ. ΟΔΟΣΑΒ ab", "...", "a_b - c", "", None, "İx fox", "𝒜𝒷𝒸 fox", "no match"]
+    documents = [(i, b, "en", "s", 0) for i, b in enumerate(bodies)] + [(0, "another fox", "en", "s", 0), (1, "Foxes, quickly!", "en", "s", 0)]
+    rng = np.random.default_rng(8)
+    passages = ["fox", "ox", "o", "quick brown", "ick bro", "ck", "n\nf", "量", "量检", "向量检", "检索 f", "ΔΟΣ", "ΟΣ ab", "ΟΔΟΣ", "x", "X", "..", " - ", ".", "", "𝒷", "quick brown fo", None, "absent", "zz top", "?"]
+    for body in filter(None, bodies):
+        for _ in range(6):
+            at, to = sorted(rng.integers(0, len(body) + 1, 2))
+            passages.append(body[at:to])
+    asked = [*enumerate(passages), (0, "Foxes, quickly"), (None, "fox"), (3, "quick brown")]
+    spark.createDataFrame(documents, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = search.containing_documents(Tables(spark, str(tmp_path))).distinct().collect()
+    want = {(q, d) for q, p in asked for d, b, *_ in documents if q is not None and p is not None and b is not None and p in b}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    refs = {r["query_id"]: r["refs"] for r in catalog.QUERIES["passage_search_quality"](spark, str(tmp_path)).collect() if r["query_id"] is not None}
+    assert refs == {q: sum(x == q for x, _ in want) for q, _ in asked if q is not None}
