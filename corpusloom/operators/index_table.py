@@ -1,8 +1,8 @@
 """A term and vector index that follows its corpus: changed parents replace their chunks, statistics move by differences.
 
 Plain Parquet. ``forward`` holds one row per chunk with its term counts and vector, partitioned by a hash of the parent and
-by batch. A change adds the chunks that come and a mark for each parent it touches, and rewrites nothing: a mark puts the
-parent's chunks of earlier batches out of sight, until ``settle`` leaves them out. ``terms`` and ``sizes`` hold, for each
+by batch. A change adds the chunks that come and a mark for each parent that goes, and rewrites nothing: a parent's chunks
+and marks put its chunks of earlier batches out of sight, until ``settle`` leaves these out. ``terms`` and ``sizes`` hold, for each
 batch of changes, by how much document frequencies, the number of chunks and their lengths went up or down; sums over all
 batches are the statistics, and ``compact`` adds the batches up. ``order`` numbers the batches.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from corpusloom.functions.text import STOP_WORDS, terms
 from corpusloom.operators import sparse
-from corpusloom.session import durable
+from corpusloom.session import durable, shuffles_freed
 
 #: Partitions of the forward table; a parameter of an index that must stay the same.
 BUCKETS = 64
@@ -47,21 +47,31 @@ class IndexTable:
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64("parent_id"), F.lit(self.buckets)).cast("int")
 
-    def stored(self, spark: SparkSession, marks: bool) -> DataFrame:
-        """The chunks of all batches, or the marks."""
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """The chunks and marks of all batches."""
         fields = [f for f in self.schema.fields if f.name != "bucket"]
         schema = T.StructType(fields + T.StructType.fromDDL("seq long, bucket int, batch string, mark int").fields)
-        return spark.read.schema(schema).parquet(f"{self.path}/forward").where(F.col("mark") == int(marks))
+        return spark.read.schema(schema).parquet(f"{self.path}/forward")
+
+    def stored(self, spark: SparkSession, marks: bool) -> DataFrame:
+        """The chunks of all batches, or the marks."""
+        return self.rows(spark).where(F.col("mark") == int(marks))
 
-    def forward(self, spark: SparkSession, of: DataFrame | None = None) -> DataFrame:
-        """One row per chunk that no later batch has replaced or deleted; ``of`` are the distinct parents wanted."""
-        rows = self.stored(spark, False).where(F.col("child_id").isNotNull())
+    def forward(self, spark: SparkSession, of: DataFrame | None = None, before: int | None = None) -> DataFrame:
+        """One row per chunk that no later batch has replaced or deleted; ``of`` are the distinct parents wanted, ``before``
+        shows the index as it was before the batch of that number."""
+        earlier = F.lit(True) if before is None else F.col("seq") < before
+        rows = self.stored(spark, False).where(F.col("child_id").isNotNull() & earlier)
         if of is not None:  # first, so that only their chunks meet the marks
             rows = rows.join(_beside(of.select("parent_id"), of.count()), "parent_id", "left_semi")
-        marks = self.stored(spark, True)
-        last = marks.groupBy(F.col("parent_id").alias("_parent")).agg(F.max("seq").alias("_seq"))
+        last = durable(self.touched(spark).where(earlier).groupBy(F.col("parent_id").alias("_parent")).agg(F.max("seq").alias("_seq")))
         out = (F.col("parent_id") == F.col("_parent")) & (F.col("seq") < F.col("_seq"))
-        return rows.join(_beside(last, marks.count()), out, "left_anti").select(*self.schema.names)
+        return rows.join(_beside(last, last.count()), out, "left_anti").select(*self.schema.names)
+
+    def touched(self, spark: SparkSession) -> DataFrame:
+        """(parent_id, seq) of the parents that changes replaced or deleted, as often as they have chunks or marks."""
+        rows = self.rows(spark).where((F.col("seq") > 0) & F.col("parent_id").isNotNull())
+        return rows.select("parent_id", "seq")
 
     def changes(self, spark: SparkSession, kind: str) -> DataFrame:
         return spark.read.schema(f"{_CHANGES[kind]}, batch string").parquet(f"{self.path}/{kind}")
@@ -75,13 +85,20 @@ def _beside(parents: DataFrame, count: int) -> DataFrame:
 def _overwrite(rows: DataFrame, path: str, *by: str, whole: bool = False) -> None:
     """Replace exactly the partitions that occur in ``rows``, or the ``whole`` table."""
     mode = "static" if whole else "dynamic"
-    rows.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(*by).parquet(path)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", mode).option("compression", "zstd").partitionBy(*by).parquet(path)
+
+
+def deal(index: IndexTable, rows: DataFrame) -> DataFrame:
+    """Rows with a parent_id dealt as the index lies; a bucket may be the work of several tasks.
+
+    Parents dealt before they are cut and embedded move as texts, several times smaller than the rows of the index.
+    """
+    return rows.repartition(index.bucket(), F.pmod(F.hash("parent_id"), F.lit(SPREAD)))
 
 
 def _add(index: IndexTable, rows: DataFrame, batch: str, whole: bool = False) -> None:
-    """Write rows (chunks, ``seq``, ``mark``) under the name of a batch. A bucket may be the work of several tasks."""
-    dealt = rows.withColumn("batch", F.lit(batch)).repartition("bucket", F.pmod(F.hash("child_id"), F.lit(SPREAD)))
-    _overwrite(dealt, f"{index.path}/forward", "bucket", "batch", "mark", whole=whole)
+    """Write dealt rows (chunks, ``seq``, ``mark``) under the name of a batch."""
+    _overwrite(rows.withColumn("batch", F.lit(batch)), f"{index.path}/forward", "bucket", "batch", "mark", whole=whole)
 
 
 def _chunks(index: IndexTable, children: DataFrame) -> DataFrame:
@@ -104,12 +121,17 @@ def _difference(new: DataFrame, old: DataFrame | None) -> tuple[DataFrame, DataF
     return frequencies, indexed.agg(total(F.col("sign")).alias("n"), total(F.col("sign") * F.col("dl")).alias("length"))
 
 
-def create(index: IndexTable, children: DataFrame) -> None:
-    """Write the index of ``children`` (child_id, parent_id, text, and the columns to keep), in place of any other there."""
+def create(index: IndexTable, children: DataFrame, *, dealt: bool = False) -> None:
+    """Write the index of ``children`` (child_id, parent_id, text, and the columns to keep), in place of any other there.
+
+    ``dealt`` tells that ``children`` were made of parents that went through ``deal``.
+    """
     spark = children.sparkSession
-    _add(index, _chunks(index, children).withColumns({"seq": F.lit(0).cast("long"), "mark": F.lit(0)}), "0", whole=True)
-    _overwrite(spark.createDataFrame([(0, "0")], "seq long, batch string"), f"{index.path}/order", "batch", whole=True)
-    _record(index, "0", *_difference(index.stored(spark, False).where(F.col("child_id").isNotNull()), None), whole=True)
+    with shuffles_freed(spark):
+        rows = _chunks(index, children if dealt else deal(index, children))
+        _add(index, rows.withColumns({"seq": F.lit(0).cast("long"), "mark": F.lit(0)}), "0", whole=True)
+        _overwrite(spark.createDataFrame([(0, "0")], "seq long, batch string"), f"{index.path}/order", "batch", whole=True)
+        _record(index, "0", *_difference(index.stored(spark, False).where(F.col("child_id").isNotNull()), None), whole=True)
 
 
 def _number(index: IndexTable, spark: SparkSession, batch: str) -> int:
@@ -128,32 +150,41 @@ def _record(index: IndexTable, batch: str, frequencies: DataFrame, sizes: DataFr
         _overwrite(rows.withColumn("batch", F.lit(batch)), f"{index.path}/{kind}", "batch", whole=whole)
 
 
-def change(index: IndexTable, batch: str, children: DataFrame | None = None, deleted: DataFrame | None = None, *, spark: SparkSession | None = None) -> None:
+def change(
+    index: IndexTable, batch: str, children: DataFrame | None = None, deleted: DataFrame | None = None, *,
+    spark: SparkSession | None = None, dealt: bool = False,
+) -> None:
     """Replace the chunks of every parent in ``children`` by those given, and drop those of the parents in ``deleted``.
 
-    ``children`` holds all chunks of its parents; ``deleted`` has a column parent_id; a parent in both is replaced. Unknown
-    parents are simply new, or nothing to delete. Only the buckets of these parents get files, and no file is rewritten.
+    ``children`` holds all chunks of its parents (``dealt`` as in ``create``); ``deleted`` has a column parent_id; a parent
+    in both is replaced. Unknown parents are simply new, or nothing to delete. Only the buckets of these parents get files,
+    and no file is rewritten.
 
-    A batch that broke off is repeated under the same name: its differences, once whole, are not taken again, and
-    its rows take the place of those it wrote. Between both steps searches see new statistics over old chunks.
+    Chunks are made once, as they are written; differences are taken from what was written and from the index as it was
+    before. A batch that broke off is repeated under the same name: its rows take the place of those it wrote, and its
+    differences, once whole, are not taken again. Between both steps searches see new chunks under old statistics.
     """
     spark = spark or (children if children is not None else deleted).sparkSession
-    new = durable(_chunks(index, children)) if children is not None else spark.createDataFrame([], index.schema)
-    parents = new.select("parent_id") if deleted is None else new.select("parent_id").unionByName(deleted.select("parent_id"))
-    parents = durable(parents.where(F.col("parent_id").isNotNull()).distinct().withColumn("bucket", index.bucket()))
-    if parents.isEmpty() and new.isEmpty():
-        return
-    seq = _number(index, spark, batch)
-    if index.changes(spark, "sizes").where(F.col("batch") == batch).isEmpty():
-        _record(index, batch, *_difference(new, index.forward(spark, parents)))
-    marks = parents.select(*[F.col(f.name) if f.name in parents.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in index.schema.fields])
-    _add(index, new.withColumn("mark", F.lit(0)).unionByName(marks.withColumn("mark", F.lit(1))).withColumn("seq", F.lit(seq).cast("long")), batch)
+    with shuffles_freed(spark):
+        new = spark.createDataFrame([], index.schema) if children is None else _chunks(index, children if dealt else deal(index, children))
+        rows = new.withColumn("mark", F.lit(0))
+        if deleted is not None:
+            gone = deal(index, deleted.select("parent_id").where(F.col("parent_id").isNotNull()).distinct()).withColumn("bucket", index.bucket())
+            marks = gone.select(*[F.col(f.name) if f.name in gone.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in index.schema.fields])
+            rows = rows.unionByName(marks.withColumn("mark", F.lit(1)))
+        seq = _number(index, spark, batch)
+        _add(index, rows.withColumn("seq", F.lit(seq).cast("long")), batch)
+        if index.changes(spark, "sizes").where(F.col("batch") == batch).isEmpty():
+            parents = durable(index.touched(spark).where(F.col("seq") == seq).select("parent_id").distinct())
+            new = index.stored(spark, False).where(F.col("seq") == seq)
+            _record(index, batch, *_difference(new, index.forward(spark, parents, before=seq)))
 
 
 def settle(index: IndexTable, spark: SparkSession) -> None:
     """Write ``forward`` anew without marks and without what they put out of sight. No search or change may run meanwhile."""
-    live = durable(index.forward(spark))
-    _add(index, live.withColumns({"seq": F.lit(0).cast("long"), "mark": F.lit(0)}), "0", whole=True)
+    with shuffles_freed(spark):
+        live = durable(index.forward(spark))
+        _add(index, deal(index, live).withColumns({"seq": F.lit(0).cast("long"), "mark": F.lit(0)}), "0", whole=True)
 
 
 def compact(index: IndexTable, spark: SparkSession, batches: Sequence[str], into: str) -> None:

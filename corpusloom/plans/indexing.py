@@ -21,12 +21,12 @@ def stored(t: Tables, replace: bool = True, delete: bool = True) -> index_table.
     labels = t.labels.select(F.col("doc_id").alias("file_id"), "quality", "toxic")
 
     def chunks(parents: DataFrame) -> DataFrame:
-        return dense.embed(chunking.window_children(parents), "text", dense.letter_embedding)
+        return dense.embed(chunking.window_children(index_table.deal(index, parents)), "text", dense.letter_embedding)
 
-    index_table.create(index, chunks(t.parents()))
+    index_table.create(index, chunks(t.parents()), dealt=True)
     if replace:
         again = t.parents().join(labels.where("quality = 1").select("file_id"), "file_id", "left_semi")
-        index_table.change(index, "replace", chunks(again.withColumn("text", F.concat("text", F.lit(" second write")))))
+        index_table.change(index, "replace", chunks(again.withColumn("text", F.concat("text", F.lit(" second write")))), dealt=True)
     if delete:
         gone = t.parents().join(labels.where("toxic = 1").select("file_id"), "file_id", "left_semi")
         index_table.change(index, "delete", deleted=gone.select("parent_id"))
