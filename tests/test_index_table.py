@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom import session
 from corpusloom.operators import index_table, sparse
 
 WORDS = [f"w{i}" for i in range(15)]
@@ -140,3 +141,29 @@ def test_marks_shuffled_or_broadcast(spark, tmp_path, monkeypatch, most):
         index_table.change(index, f"b{step}", frame(spark, new), spark.createDataFrame([("p9",), ("p2",)], "parent_id string"))
         rows = [r for r in rows if r[1] not in ("p1", "p2", f"p{step + 5}", "p9")] + new
         stands(spark, index, rows)
+
+
+def test_chunks_are_made_once_and_dealt_as_texts(spark, tmp_path, monkeypatch):
+    """Rows of the index go from the text to their files without a shuffle or a table in between; nothing shuffled stays."""
+    draw = random.Random(14)
+    tables, plans, frees = [], [], []
+    durable, overwrite = index_table.durable, index_table._overwrite
+
+    def written(rows, path, *by, whole=False):
+        if path.endswith("forward"):
+            plans.append(rows._jdf.queryExecution().executedPlan().toString())
+            frees.append(spark.conf.get(session.FREES))
+        overwrite(rows, path, *by, whole=whole)
+
+    monkeypatch.setattr(index_table, "durable", lambda df: tables.append(df.columns) or durable(df))
+    monkeypatch.setattr(index_table, "_overwrite", written)
+    index = index_table.IndexTable(str(tmp_path / "index"), keep="page int", buckets=5)
+    rows = chunks(draw, [f"p{i}" for i in range(20)])
+    index_table.create(index, index_table.deal(index, frame(spark, rows)), dealt=True)
+    new = chunks(draw, ["p1", "p2"])
+    index_table.change(index, "b", index_table.deal(index, frame(spark, new)), dealt=True)
+    assert len(plans) == 2 and all(p.count("Exchange") == 1 and "counts" not in p[p.index("Exchange") :] for p in plans)
+    assert not any("counts" in columns for columns in tables)
+    assert frees == ["true"] * 2 and spark.conf.get(session.FREES) == "false"
+    monkeypatch.undo()
+    stands(spark, index, [r for r in rows if r[1] not in ("p1", "p2")] + new)
